@@ -125,13 +125,13 @@ def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     med = exact_quantiles(df, keys, value, [0.5]).select(*keys, "n", F.col("q")[0].alias("med"))
     spread = df.groupBy(*keys).agg(F.stddev_samp(value).alias("sd"))
     if keys:
-        joined = df.select(*keys, value).join(med.select(*keys, "med"), keys)
-        dev = joined.withColumn("_d", F.abs(F.col(value) - F.col("med")))
-        mad = median(dev, keys, "_d", "mad")
+        dev = df.select(*keys, value).join(med.select(*keys, "med"), keys)
+    else:
+        dev = df.select(value, med.select("med").scalar().alias("med"))
+    mad = median(dev.withColumn("_d", F.abs(F.col(value) - F.col("med"))), keys, "_d", "mad")
+    if keys:
         return med.join(mad, keys).join(spread, keys)
-    centre = med.first()["med"]
-    dev = df.select(F.abs(F.col(value) - F.lit(centre)).alias("_d"))
-    return med.crossJoin(median(dev, [], "_d", "mad")).crossJoin(spread)
+    return med.select("n", "med", mad.scalar().alias("mad"), spread.scalar().alias("sd"))
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
