@@ -6,7 +6,7 @@ quadratic congruence modulo a prime; every product stays below 2**63.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 2147483647
@@ -31,6 +31,18 @@ def uniform(row_id: Column, rep: Column) -> Column:
     return ((b * b + i % PRIME) % PRIME) / PRIME
 
 
+def with_uniform(df: DataFrame, row_id: Column, rep: Column, name: str) -> DataFrame:
+    """The same draw as a column, built in steps so that no step is repeated."""
+    i, r = row_id.cast("bigint"), rep.cast("bigint")
+    a, b = F.col("_mix_a"), F.col("_mix_b")
+    return (
+        df.withColumn("_mix_a", (i * 48271 + r * 69621 + 12345) % PRIME)
+        .withColumn("_mix_b", (a * a + a * 48271 + r) % PRIME)
+        .withColumn(name, ((b * b + i % PRIME) % PRIME) / PRIME)
+        .drop("_mix_a", "_mix_b")
+    )
+
+
 def uniform_sql(row_id: str, rep: str) -> str:
     p = PRIME
     a = f"((({row_id}) * 48271 + ({rep}) * 69621 + 12345) % {p})"

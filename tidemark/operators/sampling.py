@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import poisson, row_hash, uniform
+from tidemark.functions.hashing import poisson, row_hash, uniform, with_uniform
 from tidemark.operators.quantiles import exact_quantiles
 
 RANGE = float(1 << 32)
@@ -74,7 +74,9 @@ def replicate_sums(
     one row per key and replicate before anything is shuffled.
     """
     drawn = df.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(first + reps - 1))))
-    drawn = drawn.withColumn("_k", poisson(uniform(row_id, F.col("rep")))).where("_k > 0")
+    drawn = with_uniform(drawn, row_id, F.col("rep"), "_u")
+    # no filter on zero counts: it would be pushed below and repeat the whole draw
+    drawn = drawn.withColumn("_k", poisson(F.col("_u")))
     return drawn.groupBy(*keys, "rep").agg(
         F.sum("_k").alias("n"), *[F.sum(F.col("_k") * e).alias(n) for n, e in sums.items()])
 
@@ -89,7 +91,7 @@ def interval(reps: DataFrame, keys: list[str], stat: str, level: float = 0.95) -
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, row_id: str, reps: int = 2000) -> DataFrame:
     """Mean with a bootstrap interval per key."""
     sums = replicate_sums(df, keys, F.col(row_id), reps, {"s": F.col(value)})
-    ci = interval(sums.withColumn("m", F.col("s") / F.col("n")), keys, "m")
+    ci = interval(sums.withColumn("m", F.try_divide("s", "n")), keys, "m")
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")).join(ci, keys)
 
 
@@ -104,7 +106,7 @@ def bootstrap_weighted(
     sums = replicate_sums(target, keys, F.col(row_id), reps, {
         "sx": F.col(value), "sw": F.col(weight), "swx": F.col(weight) * F.col(value)})
     out = sums.join(F.broadcast(base_sums), "rep")
-    mean, iw = F.col("sx") / F.col("n"), F.try_divide("swx", "sw")
+    mean, iw = F.try_divide("sx", "n"), F.try_divide("swx", "sw")
     excess = mean - F.col("base_mean")
     return out.select(
         *keys, "rep", mean.alias("mean"), iw.alias("iw"), (mean - iw).alias("correction"),
@@ -141,6 +143,7 @@ def line_replicates(df: DataFrame, keys: list[str], x: str, y: str, row_id: str,
     """Slope and intercept per replicate from five sums; flat replicates dropped."""
     s = replicate_sums(df, keys, F.col(row_id), reps, {
         "sx": F.col(x), "sy": F.col(y), "sxy": F.col(x) * F.col(y), "sxx": F.col(x) * F.col(x)})
+    s = s.where("n > 0")
     n = F.col("n")
     vx = F.col("sxx") / n - (F.col("sx") / n) * (F.col("sx") / n)
     slope = (F.col("sxy") / n - F.col("sx") / n * F.col("sy") / n) / vx

@@ -31,8 +31,8 @@ def errors(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderpriority").alias("model"),
         F.lit(HORIZON).alias("horizon"),
         F.col("o_orderkey").alias("traj_id"),
-        (F.col("o_totalprice") / 50000).alias("ade_traj"),
-        (F.col("o_totalprice") / 25000).alias("fde_traj"),
+        (F.col("o_totalprice") / 49999).alias("ade_traj"),
+        (F.col("o_totalprice") / 24999).alias("fde_traj"),
         F.lit(15).alias("n_steps_pred"),
     )
 
@@ -42,8 +42,8 @@ ERRORS = """errors AS (
          CAST(year(o_orderdate) AS INTEGER) AS year,
          '2024-01-01_10-00_g' || (o_custkey % 6) || '.log' AS log_file,
          'g' || (o_custkey % 6) AS proc_set_file, o_orderpriority AS model,
-         '30->15' AS horizon, o_orderkey AS traj_id, o_totalprice / 50000 AS ade_traj,
-         o_totalprice / 25000 AS fde_traj, CAST(15 AS INTEGER) AS n_steps_pred
+         '30->15' AS horizon, o_orderkey AS traj_id, o_totalprice / 49999 AS ade_traj,
+         o_totalprice / 24999 AS fde_traj, CAST(15 AS INTEGER) AS n_steps_pred
   FROM orders)"""
 
 
