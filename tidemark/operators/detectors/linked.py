@@ -35,7 +35,7 @@ def _smoother(c: dict) -> tuple[str, dict]:
 
 def _resolve(c: dict, facts: dict) -> dict:
     """Numbers of a configuration; a callable takes the facts of the series."""
-    return {k: (v(facts) if callable(v) else v) for k, v in c.items()}
+    return {k: (v(facts) if callable(v) else v) for k, v in c.items() if not k.startswith("_")}
 
 
 class _Piece:
@@ -56,8 +56,9 @@ class _Piece:
         key = (kind, tuple(sorted(params.items())))
         if key not in self.cache:
             whole = bool(self.at[0] == 0)
-            out = smoothing.apply(kind, params, self.raw, whole, self.stop)
-            skip = 0 if whole else smoothing.reach(kind, params)[0]
+            smooth, before, _ = c["_smooth"]
+            out = smooth(self.raw, params, whole, self.stop)
+            skip = 0 if whole else before(params)
             first = int(np.argmax(self.own))
             last = first + int(self.own.sum())
             self.cache[key] = (out[min(skip, first):first], out[first:last], self.at[first:last])
@@ -65,7 +66,7 @@ class _Piece:
 
     def run(self, c: dict, state: list[float] | None, lead: tuple[float, float]):
         p = _resolve(c, self.facts)
-        kernel = kernels.DETECTORS[c["detector"]]
+        kernel = c["_kernel"]
         pre, x, at = self.signal(c)
         if state is None:
             state = kernel.cold(p)
@@ -98,7 +99,7 @@ def detect(
     """
     facts = facts or []
     keys, idx = list(s.keys), s.idx
-    configs = [_with_step(c) for c in configs]
+    configs = [_bound(c) for c in configs]
     spark = s.spark
     size = rows or session.chunk_rows(spark)
     pre_smoothed = all(_smoother(c)[0] == "none" for c in configs)
@@ -207,8 +208,13 @@ def detect(
     return table.select(*keys, "cfg", F.explode("hits").alias(idx))
 
 
-def _with_step(c: dict) -> dict:
-    """The critical KS distance is found once here, not in every task."""
+def _bound(c: dict) -> dict:
+    """The configuration with its kernels, as registered on the driver.
+
+    The critical KS distance is found once here, not in every task.
+    """
+    kind, _ = _smoother(c)
+    c = {**c, "_kernel": kernels.DETECTORS[c["detector"]], "_smooth": smoothing.SMOOTHERS[kind]}
     if c["detector"] != "recent_sample" or "step" in c:
         return c
     step = kernels.ks_critical_step(float(c["alpha"]), int(c["window_size"]), int(c["stat_size"]))
@@ -217,7 +223,7 @@ def _with_step(c: dict) -> dict:
 
 def _loose(c: dict) -> dict:
     """Configuration without series facts, enough to ask for the reach."""
-    return {k: v for k, v in c.items() if not callable(v)}
+    return {k: v for k, v in c.items() if not k.startswith("_") and not callable(v)}
 
 
 def _leads(pieces, s, value, configs, facts, key_schema) -> DataFrame:
@@ -227,7 +233,7 @@ def _leads(pieces, s, value, configs, facts, key_schema) -> DataFrame:
     for c in configs:
         kind, params = _smoother(c)
         distinct.setdefault((kind, tuple(sorted(params.items()))), []).append(c["cfg"])
-    probes = {f"s{i}": ({"smoother": (k[0], dict(k[1]))}, names)
+    probes = {f"s{i}": ({"smoother": (k[0], dict(k[1])), "_smooth": smoothing.SMOOTHERS[k[0]]}, names)
               for i, (k, names) in enumerate(distinct.items())}
 
     def totals(key, pdf):

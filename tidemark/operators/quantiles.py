@@ -80,18 +80,11 @@ def quantile_grid(
     """(keys, j, q): quantiles at ``points`` equal steps from 0 to 1, one row each.
 
     Ranks use whole-number arithmetic, so a row of the cumulative table finds the
-    grid slots it serves without looking at the others.
+    grid slots it serves without looking at the others.  ``percentile`` searches
+    its whole map once per probability and is much slower for a grid.
     """
-    spark = df.sparkSession
-    if split is None:
-        split = largest_key(df, keys)[1] > session.group_rows(spark)
     steps = points - 1
-    if not split:
-        # one parsed text instead of thousands of literal objects
-        probs = ", ".join(f"{i / steps!r}D" for i in range(points))
-        packed = df.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, array({probs}))").alias("_q"))
-        return packed.select(*keys, F.posexplode("_q").alias("j", "q"))
-    cum = cumulative(df.where(F.col(value).isNotNull()), keys, value, True)
+    cum = cumulative(df.where(F.col(value).isNotNull()), keys, value, split)
     span = F.col("n") - 1
     ceil_div = lambda a, b: F.floor((a + b - 1) / b).cast("long")
     low, high = F.col("below"), F.col("below") + F.col("cnt") - 1

@@ -19,9 +19,10 @@ def rolling_mean(s: Series, value: str, w: int, name: str = "smooth") -> DataFra
 def smooth(s: Series, value: str, kind: str, params: dict, name: str = "smooth", carry: list[str] | None = None) -> DataFrame:
     """Any registered smoother; long series are smoothed chunk by chunk."""
     before, after = smoothing.reach(kind, params)
+    run = smoothing.SMOOTHERS[kind][0]  # as registered on the driver
 
     def kernel(pdf: pd.DataFrame, starts: bool, stops: bool) -> pd.DataFrame:
-        out = smoothing.apply(kind, params, pdf[value].to_numpy(), starts, stops)
+        out = run(pdf[value].to_numpy(dtype=float), params, starts, stops)
         return pdf.assign(**{name: out})
 
     return map_chunks(s, [value, *(carry or [])], kernel, f"`{name}` double", before, after)
