@@ -171,7 +171,7 @@ def recent_grid(spark, sf):
     return G.rounded(E.evaluate(detect(s, "ade_traj", c), s, [x["cfg"] for x in c], BASE, POST).drop("snr_op"), "far_per_1k", "snr_smooth", "efficiency")
 
 
-DELTAS = [0.5, 0.2, 0.1, 0.05]
+DELTAS = [0.3, 0.1]
 SWEEP = (A.ERRORS, A.STREAM, f"dl AS (SELECT unnest([{', '.join(map(str, DELTAS))}])::DOUBLE AS d)",
          """src AS (SELECT model || '/' || d AS k, idx, ade_traj AS x, greatest(2, sqrt(2 * ln(2 / d))) AS zc, 60 AS minw, 400 AS maxw, 40 AS pause FROM stream, dl)""",
          *split_sql("src"))
@@ -204,7 +204,7 @@ def limit_sweep(spark, sf):
 
 @query("grd04_heat_map", with_tables(*SWEEP, "n AS (SELECT model, count(*) AS n FROM errors GROUP BY model)",
        "c AS (SELECT model, d, count(ms.idx) AS n_alarms FROM n JOIN dl ON true LEFT JOIN ms ON ms.k = model || '/' || d GROUP BY model, d)", body="""
-SELECT model, min(n_alarms) FILTER (d = 0.5) AS d50, min(n_alarms) FILTER (d = 0.2) AS d20, min(n_alarms) FILTER (d = 0.1) AS d10, min(n_alarms) FILTER (d = 0.05) AS d05
+SELECT model, min(n_alarms) FILTER (d = 0.3) AS d30, min(n_alarms) FILTER (d = 0.1) AS d10
 FROM c GROUP BY model""", recursive=True))
 def heat_map(spark, sf):
     """Least alarms per model and delta, as a matrix."""
