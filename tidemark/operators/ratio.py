@@ -93,7 +93,7 @@ def fit_ratio(
     sample = M.hash_cap(both.withColumn("_id", F.concat_ws(":", F.col("_side"), F.col(row_id))), [key], "_id", 2000, seed)
     names = {f.name: f.dataType.simpleString() for f in both.schema.fields}
 
-    def widths(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def widths(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s = scaling[k[0]]
         x = (pdf[features].to_numpy(dtype=float) - s["mean"]) / s["std"]
         return pd.DataFrame({key: k[0], "subset": list(cols), "sigma": [_bandwidth(x[:, c]) for c in cols.values()]})
@@ -262,7 +262,7 @@ def two_sample_classifier(
     both = a.unionByName(b).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
     kind = dict(target.dtypes)[key]
 
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", row_id])
         s = scaling[k[0]]
         x, y = (pdf[features].to_numpy(dtype=float) - s["mean"]) / s["std"], pdf["y"].to_numpy()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["table_queries", "aggregate_queries", "window_queries", "shift_queries", "detector_queries", "change_queries"]
+MODULES = ["table_queries", "aggregate_queries", "window_queries", "shift_queries", "detector_queries", "change_queries", "stream_queries"]
 
 
 def all_queries():

@@ -64,8 +64,11 @@ def gate_sql(src: str) -> tuple[str, ...]:
         "gate AS (SELECT k, idx FROM gr WHERE hit)")
 
 
-MAD = f"""med AS (SELECT model, quantile_cont(ade_traj, 0.5) AS med FROM errors WHERE year = {BASE} GROUP BY model),
-mad AS (SELECT model, quantile_cont(abs(ade_traj - med), 0.5) AS mad FROM errors JOIN med USING (model) WHERE year = {BASE} GROUP BY model)"""
+# the whole series stands in when fewer than 100 baseline rows are there
+MAD = f"""nbase AS (SELECT model, count(*) FILTER (year = {BASE}) AS nb FROM errors GROUP BY model),
+bsel AS (SELECT model, ade_traj FROM errors JOIN nbase USING (model) WHERE year = {BASE} OR nb < 100),
+med AS (SELECT model, quantile_cont(ade_traj, 0.5) AS med FROM bsel GROUP BY model),
+mad AS (SELECT model, quantile_cont(abs(ade_traj - med), 0.5) AS mad FROM bsel JOIN med USING (model) GROUP BY model)"""
 SPLIT = dict(delta=0.2, min_window=60, max_window=400, cooldown=40)
 
 
@@ -117,8 +120,10 @@ TRIM = f"""t0 AS (SELECT model, idx // 20 AS block, idx, year, ade_traj, row_num
 t1 AS (SELECT model, block, avg(ade_traj) FILTER (r > 2 AND r <= 18) AS x, max(idx) FILTER (idx % 20 = 10) AS centre, count(*) AS n FROM t0 GROUP BY ALL),
 ty AS (SELECT model, block, year FROM (SELECT model, block, year, row_number() OVER (PARTITION BY model, block ORDER BY count(*) DESC, year) AS k FROM t0 GROUP BY model, block, year) WHERE k = 1),
 bl AS (SELECT model, block, x, centre, year FROM t1 JOIN ty USING (model, block) WHERE n = 20),
-bm AS (SELECT model, count(*) AS nb, quantile_cont(x, 0.5) AS med FROM bl WHERE year = {BASE} GROUP BY model),
-bd AS (SELECT model, max(nb) AS nb, quantile_cont(abs(x - med), 0.5) AS mad FROM bl JOIN bm USING (model) WHERE year = {BASE} GROUP BY model),
+bn AS (SELECT model, count(*) FILTER (year = {BASE}) AS nb FROM bl GROUP BY model),
+bs AS (SELECT model, nb, x FROM bl JOIN bn USING (model) WHERE year = {BASE} OR nb < 5),
+bm AS (SELECT model, quantile_cont(x, 0.5) AS med FROM bs GROUP BY model),
+bd AS (SELECT model, max(nb) AS nb, quantile_cont(abs(x - med), 0.5) AS mad FROM bs JOIN bm USING (model) GROUP BY model),
 src AS (SELECT model AS k, block AS idx, x, 0.05 * mad AS delta, 4 * mad AS thr, greatest(3, nb // 5) AS ready, greatest(2, nb // 20) AS pause FROM bl JOIN bd USING (model))"""
 
 
