@@ -1,7 +1,8 @@
 """Hash draws that any engine with 64-bit integers and md5 repeats exactly.
 
 Row sampling sorts by the first eight hex digits of an md5.  Replicates use a
-quadratic congruence modulo a prime; every product stays below 2**63.
+quadratic congruence modulo a prime; ids are reduced first, so every product
+stays below 2**63 whatever the size of an id.
 """
 
 from __future__ import annotations
@@ -25,20 +26,20 @@ def row_hash_sql(row_id: str, seed: str = "42") -> str:
 
 def uniform(row_id: Column, rep: Column) -> Column:
     """A draw in [0, 1) for a row and a replicate, both whole numbers."""
-    i, r = row_id.cast("bigint"), rep.cast("bigint")
+    i, r = F.pmod(row_id.cast("bigint"), F.lit(PRIME)), rep.cast("bigint")
     a = (i * 48271 + r * 69621 + 12345) % PRIME
     b = (a * a + a * 48271 + r) % PRIME
-    return ((b * b + i % PRIME) % PRIME) / PRIME
+    return ((b * b + i) % PRIME) / PRIME
 
 
 def with_uniform(df: DataFrame, row_id: Column, rep: Column, name: str) -> DataFrame:
     """The same draw as a column, built in steps so that no step is repeated."""
-    i, r = row_id.cast("bigint"), rep.cast("bigint")
+    i, r = F.pmod(row_id.cast("bigint"), F.lit(PRIME)), rep.cast("bigint")
     a, b = F.col("_mix_a"), F.col("_mix_b")
     return (
         df.withColumn("_mix_a", (i * 48271 + r * 69621 + 12345) % PRIME)
         .withColumn("_mix_b", (a * a + a * 48271 + r) % PRIME)
-        .withColumn(name, ((b * b + i % PRIME) % PRIME) / PRIME)
+        .withColumn(name, ((b * b + i) % PRIME) / PRIME)
         .drop("_mix_a", "_mix_b")
     )
 

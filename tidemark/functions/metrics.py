@@ -14,7 +14,9 @@ def far_per_1k(base_alarms: Column, base_rows: Column) -> Column:
 
 def operational_snr(post: Column, base: Column, base_rows: Column, post_rows: Column) -> Column:
     """Alarm rate after over alarm rate in the baseline; a sentinel without the latter."""
-    rate = F.try_divide((post * base_rows).cast("double"), (base * post_rows).cast("double"))
+    # products of counts leave the range of a long, so they are taken as doubles
+    p, b, br, pr = (c.cast("double") for c in (post, base, base_rows, post_rows))
+    rate = F.try_divide(p * br, b * pr)
     return F.least(
         F.when(base == 0, F.when(post > 0, PERFECT).otherwise(0.0))
         .when(post_rows == 0, 0.0).otherwise(rate), F.lit(PERFECT))
@@ -38,10 +40,12 @@ def year_coverage(counts: list[Column]) -> Column:
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson score interval of k out of n, per thousand; (0, 0) without rows."""
-    p = k / n
-    denom = 1 + z * z / n
-    centre = (p + z * z / (2 * n)) / denom
-    half = (z / denom) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    k, n = k.cast("double"), n.cast("double")
+    p = F.try_divide(k, n)
+    inverse = F.try_divide(F.lit(1.0), n)
+    denom = 1 + z * z * inverse
+    centre = (p + z * z / 2 * inverse) / denom
+    half = (z / denom) * F.sqrt(p * (1 - p) * inverse + z * z / 4 * inverse * inverse)
     low = F.when(n > 0, F.greatest(F.lit(0.0), centre - half) * 1000.0).otherwise(0.0)
     high = F.when(n > 0, (centre + half) * 1000.0).otherwise(0.0)
     return low, high

@@ -53,7 +53,7 @@ def hinkley_configs(k_thr: list[float], k_delta: list[float], min_instances=600,
 
 def with_baseline(s: Series, value: str, base: int, least: int = 100, period: str = "year") -> Series:
     """The series with its baseline deviation (``mad``) and baseline size on every row."""
-    stats = robust_baseline(s.df, s.keys, value, F.col(period) == base, least)
+    stats = session.cut(robust_baseline(s.df, s.keys, value, F.col(period) == base, least))
     return s.using(s.df.join(stats.select(*s.keys, "mad", "n_base"), s.keys))
 
 

@@ -9,7 +9,7 @@ between the two neighbouring ranks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import session
@@ -129,6 +129,11 @@ def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
     """Rows with the average rank of their value inside the key (ties share it)."""
-    cum = cumulative(df.where(F.col(value).isNotNull()), keys, value)
+    usable = df.where(F.col(value).isNotNull())
+    if largest_key(usable, keys)[1] <= session.group_rows(df.sparkSession):
+        place = F.rank().over(Window.partitionBy(*keys).orderBy(value))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
+        return usable.withColumn(name, place + (ties - 1) / 2)
+    cum = cumulative(usable, keys, value, True)
     ranked = cum.select(*keys, value, (F.col("below") + (F.col("cnt") + 1) / 2).alias(name))
-    return df.join(ranked, [*keys, value])
+    return usable.join(ranked, [*keys, value])

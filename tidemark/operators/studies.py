@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.functions import scalars
 from tidemark.functions.hashing import uniform
 from tidemark.operators import gates
@@ -19,7 +20,7 @@ from tidemark.operators.sampling import game_folds, permutation_key
 def fold_streams(df: DataFrame, keys: list[str], fold: str, order: list[str], period="year", game="match_id") -> dict[str, Series]:
     """Calibration and test series: every other game, re-indexed."""
     split = game_folds(df, period, game, fold)
-    marked = df.join(split, [period, game])
+    marked = session.cut(df.join(split, [period, game]))
     return {p: series(marked.where(F.col("split") == p).drop("split"), keys, order) for p in ("calib", "test")}
 
 
@@ -31,11 +32,13 @@ def hold_out(
 
     Returns the test metrics of the chosen configurations and their latencies.
     """
-    parts = fold_streams(df, keys, fold, order, game=game)
+    used_columns = dict.fromkeys([*keys, value, *order, "year", game])
+    parts = fold_streams(df.select(*used_columns), keys, fold, order, game=game)
     names = [c["cfg"] for c in configs]
     calib = evaluate(detect(parts["calib"], value, configs), parts["calib"], names, base, post)
-    best = winners(calib, keys, ["cfg"], limit).select(
-        *keys, "cfg", F.col("far_per_1k").alias("far_calib"), F.col("year_coverage").alias("cov_calib"))
+    # one row per series, written once so that the grid does not run again
+    best = session.cut(winners(calib, keys, ["cfg"], limit).select(
+        *keys, "cfg", F.col("far_per_1k").alias("far_calib"), F.col("year_coverage").alias("cov_calib")))
     # the names are bounded by the grid, however many series there are
     used = sorted(r["cfg"] for r in best.select("cfg").distinct().collect())
     alarms = detect(parts["test"], value, [c for c in configs if c["cfg"] in used])
@@ -137,7 +140,8 @@ def same_scale(
     a = detect(s, error, [error_config]).drop("cfg")
     names = [c["cfg"] for c in feature_configs]
     found = detect(s, feature, feature_configs)
-    best = winners(evaluate(found, s, names, base, post), keys, ["cfg"], limit).select(*keys, "cfg")
+    a, found = session.cut(a), session.cut(found)
+    best = session.cut(winners(evaluate(found, s, names, base, post), keys, ["cfg"], limit).select(*keys, "cfg"))
     b = found.join(best, [*keys, "cfg"], "left_semi").drop("cfg")
     label = lambda df, gate: df.select(*keys, F.concat(F.lit(f"{gate}@"), F.col("W").cast("string")).alias("cfg"), s.idx)
     parts = label(gates.and_gate(a, b, keys, widths, debounce), "queue").unionByName(
