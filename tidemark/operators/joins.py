@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import running, series
@@ -156,5 +156,5 @@ def expand(df: DataFrame, grid: list[dict], columns: dict[str, str]) -> DataFram
 
 def admissible_or_all(df: DataFrame, keys: list[str], ok: Column) -> DataFrame:
     """Rows that pass a limit, or all rows of a key when none passes."""
-    any_ok = F.max(ok.cast("int")).over(Window.partitionBy(*keys))
-    return df.withColumn("_any", any_ok).where(ok | (F.col("_any") == 0)).drop("_any")
+    any_ok = df.groupBy(*keys).agg(F.bool_or(ok).alias("_any"))
+    return df.join(any_ok, keys).where(ok | ~F.col("_any")).drop("_any")

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.metrics import smoothed_snr
-
-RULE = ["year_coverage", "far_per_1k", "snr_smooth"]
+from tidemark.operators.joins import admissible_or_all
 
 
 def rank_rule(df: DataFrame, keys: list[str], name: str, tie: list[str]) -> DataFrame:
@@ -19,9 +18,7 @@ def rank_rule(df: DataFrame, keys: list[str], name: str, tie: list[str]) -> Data
 
 def winners(df: DataFrame, keys: list[str], tie: list[str], limit: float = 0.20) -> DataFrame:
     """Best admissible row of each key, or the best of all when none is admissible."""
-    ok = F.col("far_per_1k") <= limit
-    any_ok = F.max(ok.cast("int")).over(Window.partitionBy(*keys))
-    pool = df.withColumn("_any", any_ok).where(ok | (F.col("_any") == 0)).drop("_any")
+    pool = admissible_or_all(df, keys, F.col("far_per_1k") <= limit)
     return rank_rule(pool, keys, "_rank", tie).where("_rank = 1").drop("_rank")
 
 

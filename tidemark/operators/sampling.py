@@ -26,19 +26,13 @@ def hash_cap(df: DataFrame, keys: list[str], row_id: str, cap: int, seed: int =
     share = (cap + 8.0 * (cap ** 0.5) + 40.0) / F.col("_n")
     sizes = hashed.groupBy(*keys_in).agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_bound", F.when(share >= 1.0, RANGE).otherwise(share * RANGE))
-    bounded = hashed.join(sizes, keys_in)
-    kept = bounded.groupBy(*keys_in).agg(
-        F.max("_n").alias("_m"), F.count_if(F.col("_h") < F.col("_bound")).alias("_k"))
-    short = [r.asDict() for r in kept.where(
-        F.col("_k") < F.least(F.lit(cap), F.col("_m"))).select(*keys_in).limit(1000).collect()]
-    keep = F.col("_h") < F.col("_bound")
-    for r in short:
-        cond = F.lit(True)
-        for k, v in r.items():
-            cond = cond & F.col(k).eqNullSafe(F.lit(v))
-        keep = keep | cond
+    kept = hashed.join(sizes, keys_in).groupBy(*keys_in).agg(
+        F.max("_n").alias("_n"), F.max("_bound").alias("_bound"), F.count_if(F.col("_h") < F.col("_bound")).alias("_k"))
+    bounds = kept.select(*keys_in, F.when(
+        F.col("_k") < F.least(F.lit(cap), F.col("_n")), RANGE).otherwise(F.col("_bound")).alias("_bound"))
+    bounded = hashed.join(bounds, keys_in).where(F.col("_h") < F.col("_bound"))
     w = Window.partitionBy(*keys_in).orderBy("_h", row_id)
-    out = bounded.where(keep).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap)
+    out = bounded.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap)
     return out.select(*df.columns)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import smoothing
-from tidemark.operators.ordered import Series, framed, map_chunks, running
+from tidemark.operators.ordered import Series, framed, map_chunks, running, series
 
 
 def rolling_mean(s: Series, value: str, w: int, name: str = "smooth") -> DataFrame:
@@ -151,7 +151,6 @@ def first_crossing(scores: DataFrame, keys: list[str], score: str, limit, ready,
 def interleaved(df: DataFrame, game: str, track: list[str], time: str) -> DataFrame:
     """Tracks of both teams in order of their first time stamp."""
     starts = df.groupBy(game, *track).agg(F.min(time).alias("t0"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(game).orderBy("t0", *track)
-    return starts.withColumn("place", F.row_number().over(w).cast("bigint") - 1)
+    return series(starts, [game], ["t0", *track], "place").df
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
+from tidemark.operators.detectors import kernels
+from tidemark.operators.detectors.linked import detect
 from tidemark.operators.joins import history
 from tidemark.operators.ordered import framed, map_chunks, running, series
 from tidemark.operators.smoothers import sliding_windows
@@ -49,26 +51,48 @@ def one_per_frame(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
         *keys, "_r.*")
 
 
+class Spacing:
+    """Fires on rows more than ``step`` after the last row that fired."""
+
+    settles = True
+
+    @staticmethod
+    def reach(p: dict) -> int:
+        return int(p.get("warm", 256))
+
+    @staticmethod
+    def cold(p: dict) -> list[float]:
+        return [-1e300]
+
+    @staticmethod
+    def run(p, state, pre, x, lead):
+        last, step = float(state[0]), float(p["step"])
+        # a row that far from its neighbour is kept whatever happened before
+        clear = np.diff(np.concatenate([[last], x])) > step
+        if clear.all():
+            return np.arange(len(x)), [float(x[-1]) if len(x) else last]
+        fired = []
+        for i in range(len(x)):
+            if clear[i] or x[i] - last > step:
+                fired.append(i)
+                last = float(x[i])
+        return np.asarray(fired, dtype=np.int64), [last]
+
+
+kernels.register("spacing", Spacing)
+
+
 def drop_bursts(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Rows more than 0.01 s after the last row that was kept.
 
-    A row whose direct predecessor is that far away is kept whatever happened
-    before, so the rows fall into short runs that are decided on their own.
+    Most series have no such rows; when none is found the rows pass unchanged.
     """
     s = series(df, keys, [time], "_n")
     gap = framed(s, lambda w: {"_gap": F.col(time) - F.lag(time).over(w)}, 1)
-    anchored = gap.withColumn("_anchor", (F.col("_gap").isNull() | (F.col("_gap") > SHORTEST_STEP)).cast("int"))
-    runs = running(anchored, keys, ["_n"], {"_before": F.col("_anchor")})
-    runs = runs.withColumn("_run", F.col("_before") + F.col("_anchor"))
-    packed = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(time, *[
-        c for c in df.columns if c not in [*keys, time]]))).alias("_rows"))
-    none = F.filter("_rows", lambda r: F.lit(False))
-    kept = F.aggregate(
-        "_rows", none,
-        lambda acc, r: F.when(
-            (F.size(acc) == 0) | (r[time] - F.element_at(acc, -1)[time] > SHORTEST_STEP),
-            F.concat(acc, F.array(r))).otherwise(acc))
-    return packed.select(*keys, F.explode(kept).alias("_r")).select(*keys, "_r.*")
+    if gap.where(F.col("_gap") <= SHORTEST_STEP).limit(1).isEmpty():
+        return df
+    kept = detect(s, time, [{"cfg": "kept", "detector": "spacing", "step": SHORTEST_STEP}])
+    return s.df.join(kept.drop("cfg"), [*keys, "_n"], "left_semi").drop("_n")
 
 
 def fill_gaps(df: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:

@@ -511,3 +511,61 @@ def _rolling_max(x, p, starts, stops):
     import pandas as pd
 
     return pd.Series(x).rolling(p["w"], min_periods=1).max().to_numpy()
+
+
+class Ceiling:
+    """A detector added by a user: fires above a level, then rests."""
+
+    settles = True
+
+    @staticmethod
+    def reach(p: dict) -> int:
+        return int(p["rest"]) + 1
+
+    @staticmethod
+    def cold(p: dict) -> list[float]:
+        return [0.0]
+
+    @staticmethod
+    def run(p, state, pre, x, lead):
+        import numpy as np
+
+        quiet, fired = int(state[0]), []
+        for i, v in enumerate(x):
+            if quiet:
+                quiet -= 1
+            elif v > p["level"]:
+                fired.append(i)
+                quiet = int(p["rest"])
+        return np.asarray(fired, dtype=np.int64), [float(quiet)]
+
+
+@query("udf02_custom_detector", with_tables(A.ERRORS, A.STREAM, """
+cr AS (SELECT model, idx, ade_traj > 9.0 AS hit, 0 AS quiet FROM stream WHERE idx = 0
+  UNION ALL SELECT model, idx, quiet = 0 AND x > 9.0, quiet FROM (SELECT s.model, s.idx, s.ade_traj AS x,
+    CASE WHEN cr.hit THEN 20 ELSE greatest(cr.quiet - 1, 0) END AS quiet FROM cr JOIN stream s ON s.model = cr.model AND s.idx = cr.idx + 1))""",
+    body="SELECT model, idx FROM cr WHERE hit", recursive=True))
+def custom_detector(spark, sf):
+    from tidemark.operators.detectors import kernels
+
+    kernels.register("ceiling", Ceiling)
+    return detect(A.stream(spark, sf), "ade_traj", [{"cfg": "c", "detector": "ceiling", "level": 9.0, "rest": 20}]).drop("cfg")
+
+
+@query("udf04_grouped_statistics", with_tables(A.ERRORS, A.WEIGHTED, body="""
+SELECT year, round(sum(w * ade_traj) / sum(w), 6) AS weighted_mean, round(sum(w) * sum(w) / (count(*) * sum(w * w)), 6) AS ess FROM weighted GROUP BY year"""))
+def grouped_statistics(spark, sf):
+    """Weighted mean and effective size as plain aggregate expressions."""
+    sw = F.sum("w")
+    out = A.weighted(spark, sf).groupBy("year").agg(
+        (F.sum(F.col("w") * F.col("ade_traj")) / sw).alias("weighted_mean"), (sw * sw / (F.count(F.lit(1)) * F.sum(F.col("w") * F.col("w")))).alias("ess"))
+    return G.rounded(out, "weighted_mean", "ess")
+
+
+@query("udf05_grid_rows", with_tables(A.ERRORS, body="""
+SELECT model, d AS delta, w AS min_window, count(*) AS n FROM errors, (SELECT unnest([1e-4, 1e-5, 1e-6, 1e-7])::DOUBLE AS d), (SELECT unnest([200, 400, 600, 1000]) AS w) GROUP BY model, d, w"""))
+def grid_rows(spark, sf):
+    """The configuration grid as rows beside the (aggregated) data."""
+    n = A.errors(spark, sf).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    cells = [{"delta": d, "min_window": w} for d in D.SPLIT_GRID["delta"] for w in D.SPLIT_GRID["min_window"]]
+    return J.expand(n, cells, {"delta": "double", "min_window": "int"})
