@@ -191,7 +191,7 @@ class RecentSample:
         held, since = int(state[0]), int(state[1])
         ref, new = int(p["window_size"]), int(p["stat_size"])
         unit = ref * new // math.gcd(ref, new)
-        limit = p.get("step") or ks_critical_step(float(p["alpha"]), ref, new)
+        limit = int(p["step"])  # found once on the driver, see ks_critical_step
         full = np.concatenate([pre[len(pre) - held:] if held else pre[:0], x])
         start, at, end = 0, held, len(full)
         fired = []

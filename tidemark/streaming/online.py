@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+import tidemark
 from tidemark import session
 from tidemark.operators import gates  # noqa: F401  (registers the gate kernels)
 from tidemark.operators.detectors import kernels
@@ -38,10 +40,8 @@ def _frame(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 class OnlineDetector(StatefulProcessor):
     """One detector per key; emits the position and the order value of each alarm."""
 
-    def __init__(self, key: str, order: list[str], value: str, config: dict):
-        self.key, self.order, self.value = key, order, value
-        self.params = {k: v for k, v in config.items() if not callable(v)}
-        self.kernel = kernels.DETECTORS[config["detector"]]
+    def __init__(self, key: str, order: list[str], value: str, params: dict, kernel: type):
+        self.key, self.order, self.value, self.params, self.kernel = key, order, value, params, kernel
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", NUMBERS)
@@ -133,14 +133,29 @@ class PlaySegments(StatefulProcessor):
 
 
 def _transform(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    """Attach a processor; it is sent with its code, not by name.
+
+    The state schema is read in a helper process that does not see the files sent
+    to the workers, so the processor must not need an import of this package.
+    """
+    session.ship(df.sparkSession)
+    cloudpickle.register_pickle_by_value(tidemark)
+    try:
+        return df.groupBy(key).transformWithStateInPandas(
+            statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    finally:
+        cloudpickle.unregister_pickle_by_value(tidemark)
 
 
 def online_alarms(df: DataFrame, key: str, order: list[str], value: str, config: dict) -> DataFrame:
     use_state_store(df.sparkSession)
     kind = dict(df.dtypes)[key]
-    return _transform(df.select(key, *dict.fromkeys([*order, value])), key, OnlineDetector(key, order, value, config),
+    params = {k: v for k, v in config.items() if not callable(v)}
+    if config["detector"] == "recent_sample":
+        params.setdefault("step", kernels.ks_critical_step(
+            float(config["alpha"]), int(config["window_size"]), int(config["stat_size"])))
+    processor = OnlineDetector(key, order, value, params, kernels.DETECTORS[config["detector"]])
+    return _transform(df.select(key, *dict.fromkeys([*order, value])), key, processor,
                       f"`{key}` {kind}, idx bigint, at bigint")
 
 
