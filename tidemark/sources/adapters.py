@@ -121,7 +121,7 @@ steps AS (SELECT game, team, robot_id, frame, t, x, y, pos, vx, vy FROM steps0 W
 def divisions(spark: SparkSession, sf: str) -> DataFrame:
     """Division of four of the six games, from the nation and region tables."""
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).where("n_nationkey < 4").select(
+    return n.join(r, n.n_regionkey == r.r_regionkey).where("n_nationkey < 4").select(
         F.concat(F.lit("g"), F.col("n_nationkey").cast("string")).alias("proc_set_file"),
         F.when(F.col("r_regionkey") % 2 == 0, "A").otherwise("B").alias("division"))
 
