@@ -27,7 +27,9 @@ def plain_fill(times):
     return out
 
 
-def test_gap_fill(spark):
+@pytest.mark.parametrize("longest", [1000, 1])
+def test_gap_fill(spark, monkeypatch, longest):
+    monkeypatch.setattr(tracks, "LONGEST_RUN", longest)
     rng = np.random.default_rng(0)
     gaps = np.r_[0.009, 0.015, 0.022, 0.5, 0.004, 0.004, 0.004, 0.015, rng.uniform(0.003, 0.08, 60)]
     t = 5.0 + np.r_[0.0, np.cumsum(gaps)]

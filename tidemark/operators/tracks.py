@@ -11,7 +11,7 @@ from tidemark.functions import scalars
 from tidemark.operators.detectors import kernels
 from tidemark.operators.detectors.linked import detect
 from tidemark.operators.joins import history
-from tidemark.operators.ordered import framed, map_chunks, running, series
+from tidemark.operators.ordered import framed, largest_key, map_chunks, running, series
 from tidemark.operators.smoothers import sliding_windows
 
 # fixed values: referee commands that start play, and the frame rate
@@ -19,6 +19,7 @@ START_COMMANDS = [2, 3]
 FRAME_RATE = 60.0
 SHORTEST_STEP = 0.01
 LONGEST_STEP = 0.022
+LONGEST_RUN = 1000  # rows of one run that built-in functions decide
 
 
 def play_segments(detections: DataFrame, commands: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
@@ -85,14 +86,24 @@ kernels.register("spacing", Spacing)
 def drop_bursts(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Rows more than 0.01 s after the last row that was kept.
 
-    Most series have no such rows; when none is found the rows pass unchanged.
+    A row that far from its direct predecessor is kept whatever happened before,
+    so the rows fall into runs that are decided on their own.  Runs counted to be
+    short are decided by built-in functions, longer ones by a chunk kernel.
     """
     s = series(df, keys, [time], "_n")
     gap = framed(s, lambda w: {"_gap": F.col(time) - F.lag(time).over(w)}, 1)
-    if gap.where(F.col("_gap") <= SHORTEST_STEP).limit(1).isEmpty():
-        return df
-    kept = detect(s, time, [{"cfg": "kept", "detector": "spacing", "step": SHORTEST_STEP}])
-    return s.df.join(kept.drop("cfg"), [*keys, "_n"], "left_semi").drop("_n")
+    anchored = gap.withColumn("_anchor", (F.col("_gap").isNull() | (F.col("_gap") > SHORTEST_STEP)).cast("int"))
+    runs = running(anchored, keys, ["_n"], {"_before": F.col("_anchor")})
+    runs = runs.withColumn("_run", F.col("_before") + F.col("_anchor"))
+    if largest_key(runs, [*keys, "_run"])[1] > LONGEST_RUN:
+        kept = detect(s, time, [{"cfg": "kept", "detector": "spacing", "step": SHORTEST_STEP}])
+        return s.df.join(kept.drop("cfg"), [*keys, "_n"], "left_semi").drop("_n")
+    rest = [c for c in df.columns if c not in [*keys, time]]
+    packed = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(time, *rest))).alias("_rows"))
+    none = F.filter("_rows", lambda r: F.lit(False))
+    fits = lambda acc, r: (F.size(acc) == 0) | (r[time] - F.element_at(acc, -1)[time] > SHORTEST_STEP)
+    kept = F.aggregate("_rows", none, lambda acc, r: F.when(fits(acc, r), F.concat(acc, F.array(r))).otherwise(acc))
+    return packed.select(*keys, F.explode(kept).alias("_r")).select(*keys, "_r.*")
 
 
 def fill_gaps(df: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
