@@ -16,6 +16,7 @@ DOCUMENT_QUERIES = {
     "op1_entropy_mix": ("mixing", "mix_table"),
     "op7_virtual_slots": ("sharding", "shard_table"),
     "op8_covering_simhash": ("simhash", "near_duplicate_table"),
+    "op9_secret_automaton": ("secret_scan", "secret_table"),
 }
 
 ORACLES: dict[str, str] = {}
