@@ -7,34 +7,50 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.chat import chat_table
 from tidemark.llm.common import table
 from tidemark.session import ship
 
-#: query: (module, function from documents to the result)
-DOCUMENT_QUERIES = {
-    "op1_entropy_mix": ("mixing", "mix_table"),
-    "op7_virtual_slots": ("sharding", "shard_table"),
-    "op8_covering_simhash": ("simhash", "near_duplicate_table"),
-    "op9_secret_automaton": ("secret_scan", "secret_table"),
+#: query: (table, module, function from the table to the result)
+QUERIES = {
+    "op1_entropy_mix": ("documents", "mixing", "mix_table"),
+    "op4_url_model": ("pages", "url_filter", "url_table"),
+    "op7_virtual_slots": ("documents", "sharding", "shard_table"),
+    "op8_covering_simhash": ("documents", "simhash", "near_duplicate_table"),
+    "op9_secret_automaton": ("documents", "secret_scan", "secret_table"),
 }
 
 ORACLES: dict[str, str] = {}
 
 
-def _on_documents(module: str, function: str) -> Callable[[SparkSession, str], DataFrame]:
+def _on_table(source: str, module: str, function: str) -> Callable[[SparkSession, str], DataFrame]:
     apply = getattr(importlib.import_module(f"tidemark.llm.{module}"), function)
 
     @wraps(apply)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         ship(spark)
-        return apply(table(spark, sf, "documents"))
+        return apply(table(spark, sf, source))
 
     return run
 
 
+def chat_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations and one whose texts hold control strings."""
+    probe = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+
+
+def chats(spark: SparkSession, sf: str) -> DataFrame:
+    return chat_table(chat_turns(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on_documents(*where) for name, where in DOCUMENT_QUERIES.items()}
+    return {name: _on_table(*where) for name, where in QUERIES.items()} | {"op3_chat_log": chats}
 
 
 def oracle_sql() -> dict[str, str]:
