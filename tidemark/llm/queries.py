@@ -17,6 +17,7 @@ from tidemark.session import ship
 QUERIES = {
     "op1_entropy_mix": ("documents", "mixing", "mix_table"),
     "op4_url_model": ("pages", "url_filter", "url_table"),
+    "op6_flac_media": ("documents", "flac", "media_table"),
     "op7_virtual_slots": ("documents", "sharding", "shard_table"),
     "op8_covering_simhash": ("documents", "simhash", "near_duplicate_table"),
     "op9_secret_automaton": ("documents", "secret_scan", "secret_table"),
