@@ -25,12 +25,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def attach(df: DataFrame, side: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
-    """Join a stored side table; it is broadcast only after a count of its rows and text bytes."""
-    strings = [f.name for f in side.schema.fields if f.dataType.simpleString() == "string"]
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(8 * len(side.columns)))
+def fits(side: DataFrame) -> bool:
+    """True when a count of rows, text bytes and list items proves that a side table may be broadcast."""
+    kinds = {f.name: f.dataType.typeName() for f in side.schema.fields}
+    parts = [F.octet_length(c) for c, k in kinds.items() if k in ("string", "binary")]
+    parts += [32 * F.greatest(F.size(c), F.lit(0)) for c, k in kinds.items() if k == "array"]
+    width = sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(8 * len(kinds)))
     n, size = side.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return df.join(F.broadcast(side) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else side, on, how)
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def attach(df: DataFrame, side: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """Join a stored side table, by broadcast where its counted size allows it."""
+    return df.join(F.broadcast(side) if fits(side) else side, on, how)
 
 
 def unit(*cols: Column | str) -> Column:

@@ -9,6 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import line_dedup
 from tidemark.llm.chat import chat_table
 from tidemark.llm.common import table
 from tidemark.session import ship
@@ -21,9 +22,10 @@ QUERIES = {
     "op7_virtual_slots": ("documents", "sharding", "shard_table"),
     "op8_covering_simhash": ("documents", "simhash", "near_duplicate_table"),
     "op9_secret_automaton": ("documents", "secret_scan", "secret_table"),
+    "op10_line_windows": ("documents", "line_dedup", "line_table"),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_line_windows": line_dedup.SQL}
 
 
 def _on_table(source: str, module: str, function: str) -> Callable[[SparkSession, str], DataFrame]:
