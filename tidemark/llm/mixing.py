@@ -18,16 +18,18 @@ have target 0; repeated rows share one draw; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, stored, unit, words
+from tidemark.llm.common import attach, fits, stored, unit, words
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BINS = 65_536
 STEPS = 40
-TOLERANCE = 1e-4
+TOLERANCE = 1e-3
+GRID = (-32.0, -16.0, -8.0, -4.0, -2.0, -1.0, -0.5, -0.25, 0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+BETWEEN = 7
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -62,41 +64,57 @@ def _rate(lam, size, scale, cap: int):
 def solve(sizes: DataFrame, targets: DataFrame, cap: int = CAP, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """Multipliers of the dual: targets with ``lam`` and ``scale`` (the mean size).
 
-    A step is one pass over the histogram with one row per source beside it. Sources at
-    their limit need no multiplier: ``lam`` stays null and the rate is the cap. The
+    A first pass over the histogram tries the multipliers of GRID and starts each source at the best;
+    every further pass is a Newton step of all sources, held inside a bracket that points tried
+    between its ends tighten (the cap puts a kink into the sums where a very long document reaches it).
+    Sources at their limit need no multiplier: ``lam`` stays null and the rate is the cap. The
     tolerance is relative to the target; the cut of the draws closes the rest.
     """
     free = (F.col("target") < F.col("source_size") * cap) & (F.col("source_size") > 0)
-    none = F.lit(None).cast("double")
-    state = targets.withColumn("scale", F.greatest(F.col("source_size") / F.col("n"), F.lit(1.0))).withColumns(
-        {"lam": F.when(free, F.lit(0.0)), "lo": none, "hi": none, "miss": F.when(free, F.lit(1.0))})
-    fixed, state = state.where(~free), stored(state.where(free), "mix-state")
-    keys = [F.col(c) for c in state.columns]
+    scaled = targets.withColumn("scale", F.greatest(F.col("source_size") / F.col("n"), F.lit(1.0)))
+    fixed = scaled.where(~free).withColumn("lam", F.lit(None).cast("double"))
+    state, small = scaled.where(free), fits(targets)
+    keys = ["source", "n", "source_size", "target", "scale"]
+    side = sizes.select(F.col("source").alias("_s"), "size", F.col("n").alias("_n"))
+
+    def summed(state: DataFrame, more: list[str], *sums: Column) -> DataFrame:
+        both = side.join(F.broadcast(state) if small else state, F.col("source").eqNullSafe(F.col("_s")))
+        return both.groupBy(*keys, *more).agg(*sums)
+
+    def words_at(lam: Column) -> Column:
+        return F.col("_n") * F.col("size") * _rate(lam, F.col("size"), F.col("scale"), cap)
+
+    def exact(c: Column) -> Column:
+        return F.sum(c.cast("decimal(38,9)")).cast("double")  # the order of rows changes nothing
+
+    tried = summed(state, [], *[exact(words_at(F.lit(x))).alias(f"_g{i}") for i, x in enumerate(GRID)])
+    found = [(F.lit(x), F.col(f"_g{i}") - F.col("target")) for i, x in enumerate(GRID)]
+    best = F.array_min(F.array(*[F.struct(F.abs(over).alias("over"), x.alias("lam")) for x, over in found]))["lam"]
+    state = stored(tried.select(
+        *keys, best.alias("lam"), F.array_max(F.array(*[F.when(over <= 0, x) for x, over in found])).alias("lo"),
+        F.array_min(F.array(*[F.when(over > 0, x) for x, over in found])).alias("hi"), F.lit(1.0).alias("miss")), "mix-state")
     for _ in range(steps):
-        at = F.least(F.col("lam") * F.col("size") / F.col("scale"), F.log(F.lit(float(cap))))
-        mass = F.col("_n") * F.col("size") * F.exp(at)
-        slope = F.when(F.exp(at) < cap, mass * F.col("size") / F.col("scale")).otherwise(0.0)
-        side = sizes.select(F.col("source").alias("_s"), "size", F.col("n").alias("_n"))
-        sums = attach(side, state, F.col("source").eqNullSafe(F.col("_s"))).groupBy(*keys).agg(
-            F.sum(mass.cast("decimal(38,9)")).cast("double").alias("_g"),
-            F.sum(slope.cast("decimal(38,9)")).cast("double").alias("_h"))
-        over = F.col("_g") - F.col("target")
+        lam, size = F.col("lam"), F.col("size")
+        low, high = F.coalesce("lo", lam - 16), F.coalesce("hi", lam + 16)
+        at = [lam] + [low + (high - low) * i / (BETWEEN + 1) for i in range(1, BETWEEN + 1)]
+        curve = F.when(_rate(lam, size, F.col("scale"), cap) < cap, words_at(lam) * size / F.col("scale")).otherwise(0.0)
+        sums = summed(state, ["lam", "lo", "hi"], exact(curve).alias("_h"), *[exact(words_at(x)).alias(f"_g{i}") for i, x in enumerate(at)])
+        seen = [(x, F.col(f"_g{i}") - F.col("target")) for i, x in enumerate(at)]
         sums = sums.withColumns({
-            "_lo": F.when(over <= 0, F.col("lam")).otherwise(F.col("lo")),
-            "_hi": F.when(over > 0, F.col("lam")).otherwise(F.col("hi")),
-            "_miss": F.abs(over) / F.greatest(F.col("target"), F.lit(1.0)),
-            "_to": F.col("lam") - over / F.when(F.col("_h") > 0, F.col("_h"))})
-        inside = (F.col("_to") > F.coalesce("_lo", F.col("lam") - 8)) & (F.col("_to") < F.coalesce("_hi", F.col("lam") + 8))
-        halved = F.when(F.col("_lo").isNull(), F.col("_hi") * 2 - 1).when(
-            F.col("_hi").isNull(), F.col("_lo") * 2 + 1).otherwise((F.col("_lo") + F.col("_hi")) / 2)
+            "_lo": F.array_max(F.array("lo", *[F.when(over <= 0, x) for x, over in seen])),
+            "_hi": F.array_min(F.array("hi", *[F.when(over > 0, x) for x, over in seen])),
+            "_best": F.array_min(F.array(*[F.struct(F.abs(over).alias("over"), x.alias("lam")) for x, over in seen])),
+            "_to": lam - seen[0][1] / F.when(F.col("_h") > 0, F.col("_h"))})
+        below, above = F.coalesce("_lo", F.col("_hi") - 16), F.coalesce("_hi", F.col("_lo") + 16)
+        to = F.when((F.col("_to") > below) & (F.col("_to") < above), F.col("_to")).otherwise((below + above) / 2)
+        miss = F.col("_best.over") / F.greatest(F.col("target"), F.lit(1.0))
         state = stored(sums.select(
-            "source", "n", "source_size", "target", "scale",
-            F.when(F.col("_miss") > tolerance, F.round(F.when(inside, F.col("_to")).otherwise(halved), 12)).otherwise(F.col("lam")).alias("lam"),
-            F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_miss").alias("miss")), "mix-state")
+            *keys, F.round(F.when(miss > tolerance, to).otherwise(F.col("_best.lam")), 12).alias("lam"),
+            F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), miss.alias("miss")), "mix-state")
         worst = state.agg(F.max("miss")).first()[0]
         if worst is None or worst <= tolerance:
             break
-    return fixed.unionByName(state).select("source", "n", "source_size", "target", "scale", "lam")
+    return fixed.unionByName(state.select(*keys, "lam"))
 
 
 def _copies(lam, scale, size, draw, cap: int):
