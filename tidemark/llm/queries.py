@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import line_dedup
 from tidemark.llm.chat import chat_table
 from tidemark.llm.common import table
+from tidemark.llm.decontaminate import leak_table
 from tidemark.llm.quality import quality_table
 from tidemark.session import ship
 
@@ -53,13 +54,18 @@ def chats(spark: SparkSession, sf: str) -> DataFrame:
     return chat_table(chat_turns(spark, sf))
 
 
+def leaks(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    return leak_table(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def quality(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     return quality_table(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on_table(*where) for name, where in QUERIES.items()} | {"op3_chat_log": chats, "op5_weak_labels": quality}
+    return {name: _on_table(*where) for name, where in QUERIES.items()} | {"op3_chat_log": chats, "op5_weak_labels": quality, "op2_latent_leaks": leaks}
 
 
 def oracle_sql() -> dict[str, str]:
