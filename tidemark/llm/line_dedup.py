@@ -56,7 +56,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with the text cut, and the cut ranges as ``line_ranges`` (empty where nothing was cut)."""
-    names = docs.columns
+    names = [c for c in docs.columns if c != "line_ranges"]  # a column of that name is replaced
     cut = stored(repeated_ranges(docs, width), "line-ranges").select(
         F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), F.col("ranges").alias("_ranges"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))

@@ -315,13 +315,13 @@ def scorer(model: Model):
 
 
 def with_scores(docs: DataFrame, model: Model, text: str | Column = "text") -> DataFrame:
-    """docs with ``bad_chance``."""
+    """docs with ``bad_chance`` (a column of that name is replaced)."""
     return docs.withColumn("bad_chance", scorer(model)(text))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
     """The rows of docs that the scorer does not reject."""
-    return with_scores(docs, train(docs, labels)).where(F.col("bad_chance") < limit).select(*docs.columns)
+    return docs.where(scorer(train(docs, labels))(F.col("text")) < limit)
 
 
 def quality_table(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:

@@ -112,10 +112,10 @@ def number(placed: DataFrame, maps: DataFrame, load: DataFrame, version: int, or
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """Documents with ``shard`` and ``vslot``; the texts are not shuffled."""
-    clean = docs.drop("vslot", "shard")
+    clean = docs.drop("vslot", "shard")  # columns of these names are replaced
     slot = slot_of(slots, F.col("doc_id"), text_crc())
     maps, _ = slot_maps(clean, slot, text_size(), slots, shards)
-    return place(clean, slot, maps, 1)
+    return place(clean, slot, maps, 1).select(*clean.columns, "shard", "vslot")
 
 
 def shard_table(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:

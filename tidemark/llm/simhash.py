@@ -57,14 +57,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
+        texts = batch.column(2).cast(pa.binary())
         marks = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row, from the whole text."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
+    """(doc_id, text_hash, fp) of every row, from the whole text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, text_hash long, fp long")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -105,18 +106,29 @@ def links(nodes: DataFrame, radius: int = RADIUS, pair_limit: int = PAIR_LIMIT)
 
 
 def groups(marked: DataFrame, radius: int = RADIUS, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """(fp, rep, component_id): the smallest id of each fingerprint and of all it is linked with."""
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    """(fp, chosen, component_id): of all rows a fingerprint is linked with, the one with the smallest id
+    (doc_id and text_hash; rows without an id come last) and its id."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = stored(marked.groupBy("fp").agg(F.min(place).alias("own")), "simhash-nodes")
     tied = components(links(nodes, radius, pair_limit), "a", "b")
-    rooted = nodes.join(tied, nodes["fp"] == tied["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "rep", "component_id")
+    rooted = nodes.join(tied, nodes["fp"] == tied["node"], "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("own").alias("chosen"))
+    return rooted.join(least, "root").select("fp", "chosen", F.col("chosen.doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     marked = stored(fingerprints(docs, shingle), "simhash-marks")
-    return marked.join(groups(marked, radius).select("fp", "component_id"), "fp")
+    return marked.join(groups(marked, radius).select("fp", "component_id"), "fp").drop("text_hash")
+
+
+def kept_documents(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of docs per group: that with the smallest id."""
+    marked = stored(fingerprints(docs, shingle), "simhash-marks")
+    chosen = groups(marked, radius).select("chosen.*").distinct().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    once = docs.join(chosen, same, "left_semi").withColumn("_hash", F.xxhash64("text"))
+    return once.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
 
 
 def near_duplicate_table(docs: DataFrame) -> DataFrame:

@@ -111,10 +111,12 @@ def limit_of(judged: DataFrame, step: float = STEP) -> float:
 
 
 def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
-    """pages with host, path, rule, score and verdict behind their own columns."""
+    """pages with url_host, url_path, url_rule, url_score and url_verdict (columns of these names are replaced)."""
+    pages = pages.drop(*[f"url_{c}" for c in ("host", "path", "rule", "score", "verdict")])
     url = F.col("url")
     verdicts = F.create_map(*[F.lit(x) for pair in rules for x in pair])
-    parsed = pages.select(*pages.columns, F.lower(F.coalesce(url, F.lit(""))).alias("_text"), host_of(url).alias("_host"), path_of(url).alias("_path"))
+    parsed = pages.select(*pages.columns, F.lower(F.coalesce(url, F.lit(""))).alias("_text"),
+                          host_of(url).alias("_host"), path_of(url).alias("_path"))
     parsed = parsed.withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules))
     parsed = parsed.withColumn("_kind", F.get(F.map_values(F.map_filter(verdicts, lambda k, _: k == F.col("_rule"))), 0))
     held = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
@@ -124,13 +126,14 @@ def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
     model = stored(gram_scores(counts, depth), "url-model")
     scores = stored(text_scores(texts.select("text").distinct(), model, depth), "url-scores")
     limit = limit_of(texts.where(held & F.col("kind").isNotNull()).join(scores, "text"))
-    out = parsed.join(scores.withColumnRenamed("text", "_t"), F.col("_text") == F.col("_t"), "left")
-    said = F.coalesce("_kind", F.when(F.col("score") < limit, "block").otherwise("allow"))
-    return out.select(*pages.columns, *[F.col(f"_{c}").alias(f"url_{c}") for c in ("host", "path", "rule")], F.col("score").alias("url_score"), said.alias("url_verdict"))
+    out = parsed.join(scores.select(F.col("text").alias("_t"), F.col("score").alias("_score")), F.col("_text") == F.col("_t"), "left")
+    said = F.coalesce("_kind", F.when(F.col("_score") < limit, "block").otherwise("allow"))
+    return out.select(*pages.columns, *[F.col(f"_{c}").alias(f"url_{c}") for c in ("host", "path", "rule", "score")], said.alias("url_verdict"))
 
 
 def kept_pages(pages: DataFrame, rules=RULES) -> DataFrame:
-    return judge(pages, rules).where("url_verdict = 'allow'").select(*pages.columns)
+    own = F.struct(*pages.columns).alias("_page")
+    return judge(pages.select(own, "url"), rules).where("url_verdict = 'allow'").select("_page.*")
 
 
 def url_table(pages: DataFrame) -> DataFrame:
