@@ -270,8 +270,11 @@ def read_meta(data: bytes) -> tuple[int, int, bytes, np.ndarray, int]:
             info = body
         elif kind == 3:
             found = np.frombuffer(body, np.dtype([("sample", ">u8"), ("byte", ">u8"), ("n", ">u2")]))
-            points = found["byte"][found["sample"] != 0xFFFFFFFFFFFFFFFF].astype(np.int64)
+            each = (found["sample"] == np.arange(len(found)) * BLOCK).all() and (found["n"] == BLOCK).all()
+            points = found["byte"].astype(np.int64) if each else points  # else frames are read in turn
         at += 4 + size
+        if at >= len(data) or kind == 0 and size != 34:
+            raise DamagedMedia("metadata of a wrong length")
     packed = struct.unpack(">Q", info[10:18])[0]
     if packed >> 41 & 7:
         raise DamagedMedia("one channel is expected")
@@ -424,7 +427,17 @@ def _residuals(bits: _Bits, s: np.ndarray, rows: np.ndarray, order, coef, shift,
 
 def decode(files: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     """(samples as unsigned bytes, (sample offset, samples, byte offset, bytes) of every frame) of each file."""
+    try:
+        return _decode(files)
+    except (IndexError, KeyError, OverflowError, struct.error) as e:  # lengths and codes that lead out of the file
+        raise DamagedMedia("the file leads out of itself") from e
+
+
+def _decode(files: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     metas = [read_meta(f) for f in files]
+    for data, (_, _, _, points, begin) in zip(files, metas):
+        if len(points) and (points[0] or (np.diff(points) <= 0).any() or points[-1] >= len(data) - begin):
+            raise DamagedMedia("the seek table is out of order")
     out: list[list] = [[] for _ in files]
     tables: list[list] = [[] for _ in files]
     seekable = [i for i, m in enumerate(metas) if len(m[3]) and m[0] == 8 and len(m[3]) * BLOCK == m[1]]
@@ -435,7 +448,7 @@ def decode(files: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     done = []
     for data, meta, pieces, table in zip(files, metas, out, tables):
         pcm = b"".join(pieces)
-        if len(pcm) != meta[1] or hashlib.md5((np.frombuffer(pcm, np.uint8) ^ 0x80).tobytes()).digest() != meta[2]:
+        if meta[0] != 8 or len(pcm) != meta[1] or hashlib.md5((np.frombuffer(pcm, np.uint8) ^ 0x80).tobytes()).digest() != meta[2]:
             raise DamagedMedia("the samples do not have the stored digest")
         done.append((pcm, np.concatenate(table)))
     return done
