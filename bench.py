@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -27,7 +28,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g",
-        spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
+        spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__checkpoint__dir=tempfile.mkdtemp(prefix="tidemark-bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = all_queries()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in queries]

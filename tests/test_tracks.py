@@ -27,9 +27,7 @@ def plain_fill(times):
     return out
 
 
-@pytest.mark.parametrize("longest", [1000, 1])
-def test_gap_fill(spark, monkeypatch, longest):
-    monkeypatch.setattr(tracks, "LONGEST_RUN", longest)
+def test_gap_fill(spark):
     rng = np.random.default_rng(0)
     gaps = np.r_[0.009, 0.015, 0.022, 0.5, 0.004, 0.004, 0.004, 0.015, rng.uniform(0.003, 0.08, 60)]
     t = 5.0 + np.r_[0.0, np.cumsum(gaps)]
@@ -40,6 +38,21 @@ def test_gap_fill(spark, monkeypatch, longest):
     np.testing.assert_allclose([a for a, _ in got], [a for a, _ in want], atol=1e-9)
 
 
+def test_ties_do_not_depend_on_chunks(spark):
+    rows = [("a", i // 3 / 50, float(x)) for i, x in enumerate(np.random.default_rng(1).permutation(1500))]
+    df = spark.createDataFrame(rows, "k string, t double, x double").repartition(5)
+    whole = tracks.drop_bursts(df, ["k"], "t").agg({"x": "sum", "t": "count"}).first()
+    spark.conf.set("spark.tidemark.chunkRows", "300")
+    spark.conf.set("spark.tidemark.groupRows", "200")
+    try:
+        split = tracks.drop_bursts(df, ["k"], "t").agg({"x": "sum", "t": "count"}).first()
+    finally:
+        spark.conf.unset("spark.tidemark.chunkRows")
+        spark.conf.unset("spark.tidemark.groupRows")
+    least = sum(min(rows[i + j][2] for j in range(3)) for i in range(0, 1500, 3))
+    assert whole == split and whole["sum(x)"] == least and whole["count(t)"] == 500
+
+
 def test_segments_follow_commands(spark):
     cmd = spark.createDataFrame([("g", 1.0, 0, 9), ("g", 2.0, 1, 2), ("g", 3.0, 2, 3), ("g", 5.0, 3, 0), ("g", 6.0, 4, 1), ("g", 7.0, 5, 3)],
                                 "k string, t double, i bigint, command int")
@@ -85,7 +98,8 @@ def test_long_tracks_are_smoothed_in_chunks(small_chunks):
     rng = np.random.default_rng(2)
     xy = rng.normal(size=(n, 2)).cumsum(axis=0)
     pdf = pd.DataFrame({"k": "a", "t": np.arange(n) / 60, "x": xy[:, 0], "y": xy[:, 1], "psi": rng.uniform(-3, 3, n), "mask": rng.random(n) > 0.2})
-    got = tracks.smooth_tracks(small_chunks.createDataFrame(pdf), ["k"], "t", sensor=0.7, reach=200).toPandas().sort_values("idx")
+    pdf.loc[200:520, "mask"] = False  # a stretch longer than a chunk
+    got = tracks.smooth_tracks(small_chunks.createDataFrame(pdf), ["k"], "t", sensor=0.7).toPandas().sort_values("idx")
     p, v = tracks.smooth_positions(xy, pdf["mask"].to_numpy(), 1.0, 0.7)
     np.testing.assert_allclose(got[["sx", "sy"]], p, atol=1e-6)
     np.testing.assert_allclose(got[["vx", "vy"]], v, atol=1e-6)

@@ -51,11 +51,11 @@ def uniform_sql(row_id: str, rep: str) -> str:
     return f"((({b} * {b} + ({row_id}) % {p}) % {p}) / {p})"
 
 
-# fixed values: cumulative probabilities of a Poisson variable with mean one
+# fixed values: cumulative probabilities of a Poisson variable with mean one, down to the resolution of a draw
 POISSON_STEPS = [
     0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
     0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.999998874797402, 0.9999998885745217,
+    0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892,
 ]
 
 

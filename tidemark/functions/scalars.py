@@ -55,19 +55,21 @@ def strip_suffix(c: Column | str, suffix: str) -> Column:
     return F.regexp_replace(col(c), f"{suffix.replace('.', chr(92) + '.')}$", "")
 
 
+# fixed values: what match names leave out of log names
+STAMP = r"^\d{4}-\d{2}-\d{2}_\d{2}-\d{2}_"
+ODD = r"[^A-Za-z0-9_-]+"
+
+
 def match_name(year: Column, teams: Column, log_file: Column, fallback: Column) -> Column:
-    """A short name: year plus teams, else plus the log name without its date."""
-    team_part = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(teams, " vs ", "_vs_"), " ", ""), r"[^A-Za-z0-9_]+", "")
-    base = F.regexp_replace(F.regexp_replace(log_file, r"^.*/", ""), r"\.log", "")
-    base = F.regexp_replace(base, r"^\d{4}-\d{2}-\d{2}_\d{2}-\d{2}_", "")
-    base = F.regexp_replace(base, r"[^A-Za-z0-9_-]+", "_")
-    named = lambda part: F.concat_ws("_", year.cast("string"), part)
-    return (
-        F.when(F.coalesce(F.length(teams), F.lit(0)) > 0, named(team_part))
-        .when(F.coalesce(F.length(log_file), F.lit(0)) > 0, F.substring(named(base), 1, 80))
-        .otherwise(named(F.regexp_replace(fallback, r"\.pkl", "")))
-    )
+    """The year and the most telling name there is: both teams, the log without path, ending and time
+    stamp, or the file of the track set. Nothing is cut off, so different logs keep different names."""
+    given = lambda c: F.when(F.length(c) > 0, c)
+    log = F.replace(F.element_at(F.split(given(log_file), "/"), -1), F.lit(".log"), F.lit(""))
+    pair = F.translate(F.replace(given(teams), F.lit(" vs "), F.lit("_vs_")), " -", "")
+    named = F.coalesce(
+        F.regexp_replace(pair, ODD, ""), F.regexp_replace(F.regexp_replace(log, STAMP, ""), ODD, "_"),
+        F.replace(fallback, F.lit(".pkl"), F.lit("")))
+    return F.concat_ws("_", year.cast("string"), named)
 
 
 def division_of(log_file: Column) -> Column:

@@ -84,9 +84,8 @@ def fit_ratio(
     """
     subsets = subsets or {"all": features}
     scaling = pooled_scaling(base, target, key, features)
-    fewest = min([n_centres, *[min(s["n_base"], s["n"]) for s in scaling.values()]])
     picked = M.hash_cap(base.select(row_id, *features), [], row_id, n_centres, seed).orderBy(row_id)
-    centres = picked.limit(n_centres).toPandas()[features].to_numpy(dtype=float)[:max(fewest, 1)]
+    centres = picked.limit(n_centres).toPandas()[features].to_numpy(dtype=float)
     both = base.select(row_id, *features).withColumn("_side", F.lit(0)).withColumn(key, F.explode(F.array(*[F.lit(k) for k in scaling])))
     both = both.unionByName(target.select(row_id, *features, key).withColumn("_side", F.lit(1)))
     cols = {n: [features.index(f) for f in fs] for n, fs in subsets.items()}
@@ -102,8 +101,9 @@ def fit_ratio(
         widths, f"`{key}` {names[key]}, subset string, sigma double").collect()}
     models = {}
     for k, s in scaling.items():
+        own = centres[:max(1, min(n_centres, s["n_base"], s["n"]))]  # no more than the rows of this key's pair of samples
         for name, c in cols.items():
-            models[(k, name)] = {**s, "cols": c, "sigma": sigma[(k, name)], "centres": ((centres - s["mean"]) / s["std"])[:, c]}
+            models[(k, name)] = {**s, "cols": c, "sigma": sigma[(k, name)], "centres": ((own - s["mean"]) / s["std"])[:, c]}
 
     def products(side: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import poisson, row_hash, uniform, with_uniform
+from tidemark.operators.joins import small
 from tidemark.operators.quantiles import exact_quantiles
 
 RANGE = float(1 << 32)
@@ -16,22 +17,27 @@ def hash_cap(df: DataFrame, keys: list[str], row_id: str, cap: int, seed: int =
 
     Hashes are uniform, so nearly all rows of a large key lie above a bound that
     its size gives; they are dropped where they are read and only about ``cap``
-    rows per key are ranked.  A key left with too few rows gets no bound.
+    rows per key are ranked.  A key left with too few rows gets no bound.  Without
+    keys the bound is a literal; with keys the table of bounds (one row per key) is
+    broadcast when a count allows it.
     """
     hashed = df.withColumn("_h", row_hash(row_id, seed))
+    share = lambda n: (cap + 8.0 * (cap ** 0.5) + 40.0) / n
     if not keys:
-        hashed, keys_in = hashed.withColumn("_all", F.lit(0)), ["_all"]
-    else:
-        keys_in = keys
-    share = (cap + 8.0 * (cap ** 0.5) + 40.0) / F.col("_n")
-    sizes = hashed.groupBy(*keys_in).agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_bound", F.when(share >= 1.0, RANGE).otherwise(share * RANGE))
-    kept = hashed.join(sizes, keys_in).groupBy(*keys_in).agg(
+        n = df.count()
+        bound = RANGE if not n or share(n) >= 1.0 else share(n) * RANGE
+        if bound < RANGE and hashed.where(F.col("_h") < bound).count() < min(cap, n):
+            bound = RANGE
+        return hashed.where(F.col("_h") < bound).orderBy("_h", row_id).limit(cap).select(*df.columns)
+    part = F.col("_n")
+    sizes = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_bound", F.when(share(part) >= 1.0, RANGE).otherwise(share(part) * RANGE))
+    kept = hashed.join(small(sizes), keys).groupBy(*keys).agg(
         F.max("_n").alias("_n"), F.max("_bound").alias("_bound"), F.count_if(F.col("_h") < F.col("_bound")).alias("_k"))
-    bounds = kept.select(*keys_in, F.when(
+    bounds = kept.select(*keys, F.when(
         F.col("_k") < F.least(F.lit(cap), F.col("_n")), RANGE).otherwise(F.col("_bound")).alias("_bound"))
-    bounded = hashed.join(bounds, keys_in).where(F.col("_h") < F.col("_bound"))
-    w = Window.partitionBy(*keys_in).orderBy("_h", row_id)
+    bounded = hashed.join(small(bounds), keys).where(F.col("_h") < F.col("_bound"))
+    w = Window.partitionBy(*keys).orderBy("_h", row_id)
     out = bounded.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap)
     return out.select(*df.columns)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,7 +13,7 @@ from tidemark.functions import scalars
 from tidemark.operators.detectors import kernels
 from tidemark.operators.detectors.linked import detect
 from tidemark.operators.joins import history
-from tidemark.operators.ordered import framed, largest_key, map_chunks, running, series
+from tidemark.operators.ordered import framed, map_chunks, running, series
 from tidemark.operators.smoothers import sliding_windows
 
 # fixed values: referee commands that start play, and the frame rate
@@ -19,7 +21,7 @@ START_COMMANDS = [2, 3]
 FRAME_RATE = 60.0
 SHORTEST_STEP = 0.01
 LONGEST_STEP = 0.022
-LONGEST_RUN = 1000  # rows of one run that built-in functions decide
+FADED = 1e-14
 
 
 def play_segments(detections: DataFrame, commands: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
@@ -86,24 +88,14 @@ kernels.register("spacing", Spacing)
 def drop_bursts(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Rows more than 0.01 s after the last row that was kept.
 
-    A row that far from its direct predecessor is kept whatever happened before,
-    so the rows fall into runs that are decided on their own.  Runs counted to be
-    short are decided by built-in functions, longer ones by a chunk kernel.
+    Rows are ordered by time and then by all other columns, so rows of one time stamp are decided
+    alike whatever the length of a run.  A row that far from its direct predecessor is kept
+    whatever happened before; the chunk kernel decides the rest.
     """
-    s = series(df, keys, [time], "_n")
-    gap = framed(s, lambda w: {"_gap": F.col(time) - F.lag(time).over(w)}, 1)
-    anchored = gap.withColumn("_anchor", (F.col("_gap").isNull() | (F.col("_gap") > SHORTEST_STEP)).cast("int"))
-    runs = running(anchored, keys, ["_n"], {"_before": F.col("_anchor")})
-    runs = runs.withColumn("_run", F.col("_before") + F.col("_anchor"))
-    if largest_key(runs, [*keys, "_run"])[1] > LONGEST_RUN:
-        kept = detect(s, time, [{"cfg": "kept", "detector": "spacing", "step": SHORTEST_STEP}])
-        return s.df.join(kept.drop("cfg"), [*keys, "_n"], "left_semi").drop("_n")
     rest = [c for c in df.columns if c not in [*keys, time]]
-    packed = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(time, *rest))).alias("_rows"))
-    none = F.filter("_rows", lambda r: F.lit(False))
-    fits = lambda acc, r: (F.size(acc) == 0) | (r[time] - F.element_at(acc, -1)[time] > SHORTEST_STEP)
-    kept = F.aggregate("_rows", none, lambda acc, r: F.when(fits(acc, r), F.concat(acc, F.array(r))).otherwise(acc))
-    return packed.select(*keys, F.explode(kept).alias("_r")).select(*keys, "_r.*")
+    s = series(df, keys, [time, *rest], "_n")
+    kept = detect(s, time, [{"cfg": "kept", "detector": "spacing", "step": SHORTEST_STEP}])
+    return s.df.join(kept.drop("cfg"), [*keys, "_n"], "left_semi").drop("_n")
 
 
 def fill_gaps(df: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
@@ -157,18 +149,37 @@ def smooth_positions(seen: np.ndarray, mask: np.ndarray, process: float, sensor:
     return out[:, 0, :], out[:, 1, :]
 
 
+def fading_rows(process: float, sensor: float, faded: float = FADED) -> int:
+    """Measured rows after which a measurement has lost its influence, from the settled elimination."""
+    step, q = np.array([[1.0, 1.0], [0.0, 1.0]]), process ** 2
+    own, cross = q * np.eye(2) + q * (step.T @ step) + np.diag([sensor ** 2, 0.0]), -q * step.T
+    block = own
+    for _ in range(100_000):
+        settled = own - cross.T @ np.linalg.inv(block) @ cross
+        if np.allclose(settled, block, rtol=1e-13, atol=0):
+            break
+        block = settled
+    rate = float(np.abs(np.linalg.eigvals(np.linalg.inv(block) @ cross)).max())
+    return 50 + math.ceil(math.log(faded) / math.log(min(rate, 1 - 1e-6)))
+
+
 def smooth_tracks(
     df: DataFrame, keys: list[str], time: str, process: float = 1.0, sensor: float = 1.0,
-    shortest: int = 101, heading: bool = True, reach: int = 400,
+    shortest: int = 101, heading: bool = True,
 ) -> DataFrame:
     """Smoothed x, y, vx, vy (and heading) of each track longer than ``shortest``.
 
-    The influence of a measurement fades geometrically with distance, so long
-    tracks are smoothed in chunks with ``reach`` rows on both sides.
+    The influence of a measurement fades geometrically with the measured rows between, at a
+    rate that the noise terms give, and not at all across rows without a measurement. Long tracks are
+    smoothed in chunks whose margins hold enough rows for that beside the longest stretch without one.
     """
     long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len")).where(F.col("_len") > shortest)
     s = series(df.join(long.select(*keys), keys, "left_semi"), keys, [time], "idx")
 
+    seen = series(s.df.where("mask").select(*keys, "idx"), keys, ["idx"], "_m")
+    hidden = framed(seen, lambda w: {"_gap": F.col("idx") - F.lag("idx", 1, -1).over(w)}, 1).agg(F.max("_gap")).first()[0]
+    reach = fading_rows(process, sensor) + 2 * int(hidden or s.longest)
+
     def kernel(pdf: pd.DataFrame, starts: bool, stops: bool) -> pd.DataFrame:
         mask = pdf["mask"].to_numpy()
         p, v = smooth_positions(pdf[["x", "y"]].to_numpy(dtype=float), mask, process, sensor)

@@ -401,14 +401,12 @@ def multi_grain(spark, sf):
 
 
 @query("agg32_probe_choice", with_tables(A.ERRORS, """
-p AS (SELECT model, ade_traj, fde_traj, row_number() OVER (PARTITION BY model ORDER BY traj_id) AS k FROM errors),
-m AS (SELECT model, avg(ade_traj) AS a, avg(fde_traj - 4.5) AS b FROM p WHERE k <= 256 GROUP BY model)""", body="""
+m AS (SELECT model, avg(ade_traj) AS a, avg(fde_traj - 4.5) AS b FROM errors GROUP BY model)""", body="""
 SELECT model, round(a, 6) AS ade_velocity, round(b, 6) AS ade_increment,
        CASE WHEN a <= b THEN 'velocity' ELSE 'increment' END AS mode FROM m"""))
 def probe_choice(spark, sf):
-    """The reading of a forecast that fits the first 256 rows of a model better."""
-    s = J.series(A.errors(spark, sf), ["model"], ["traj_id"])
-    m = s.df.where("idx < 256").groupBy("model").agg(
+    """The reading of a forecast that fits the rows of a model better."""
+    m = A.errors(spark, sf).groupBy("model").agg(
         F.avg("ade_traj").alias("ade_velocity"), F.avg(F.col("fde_traj") - 4.5).alias("ade_increment"))
     return G.rounded(m.withColumn("mode", F.when(
         F.col("ade_velocity") <= F.col("ade_increment"), "velocity").otherwise("increment")), "ade_velocity", "ade_increment")

@@ -137,16 +137,23 @@ def window_spread(spark, sf):
     return G.rounded(q.select("game", "feature", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90")), "p50", "p90")
 
 
-@query("dst07_ks_critical")
+@query("dst07_ks_critical", with_tables(A.ERRORS, f"""
+e AS (SELECT year, ade_traj FROM errors), base AS (SELECT ade_traj FROM e WHERE year = {A.BASE_YEAR}),
+v AS (SELECT y.year, x.ade_traj AS v FROM (SELECT DISTINCT year FROM e WHERE year > {A.BASE_YEAR}) y, (SELECT DISTINCT ade_traj FROM e) x),
+one AS (SELECT year, ade_traj AS v, count(*) AS c FROM e GROUP BY year, ade_traj), zero AS (SELECT ade_traj AS v, count(*) AS c FROM base GROUP BY ade_traj),
+cum AS (SELECT v.year, sum(coalesce(one.c, 0)) OVER w AS a, sum(coalesce(zero.c, 0)) OVER w AS b
+        FROM v LEFT JOIN one ON one.year = v.year AND one.v = v.v LEFT JOIN zero ON zero.v = v.v WINDOW w AS (PARTITION BY v.year ORDER BY v.v)),
+ks AS (SELECT year, max(abs(a / n - b / m)) AS ks, any_value(n) AS n, any_value(m) AS m
+       FROM cum JOIN (SELECT year, count(*)::DOUBLE AS n FROM e GROUP BY year) USING (year), (SELECT count(*)::DOUBLE AS m FROM base) GROUP BY year)""", body="""
+SELECT year, round(ks, 6) AS ks, round(sqrt(-ln(0.025) / 2 * (n + m) / (n * m)), 9) AS critical, ks >= sqrt(-ln(0.025) / 2 * (n + m) / (n * m)) AS drift FROM ks"""))
 def ks_critical(spark, sf):
-    """Is the distance of each year to the base year beyond the exact critical value?"""
-    from tidemark.operators.detectors.kernels import ks_critical_step
-
-    capped = M.hash_cap(A.errors(spark, sf), ["year"], "traj_id", 200)
-    base = capped.where(F.col("year") == A.BASE_YEAR)
-    ks = D.ks_against(capped.where(F.col("year") > A.BASE_YEAR), ["year"], "ade_traj", base)
-    limit = ks_critical_step(0.05, 200, 200) / 200
-    return G.rounded(ks.select("year", "ks", F.lit(limit).alias("critical"), (F.col("ks") >= limit - 1e-12).alias("drift")), "ks")
+    """Is the distance of each year to the base year beyond the critical value for all rows of both?"""
+    e = A.errors(spark, sf)
+    sizes = e.groupBy("year").agg(F.count(F.lit(1)).cast("double").alias("rows_of_year"))
+    m = e.where(F.col("year") == A.BASE_YEAR).count()
+    ks = D.ks_against(e.where(F.col("year") > A.BASE_YEAR), ["year"], "ade_traj", e.where(F.col("year") == A.BASE_YEAR)).join(sizes, "year")
+    limit = F.sqrt(-F.log(F.lit(0.025)) / 2 * (F.col("rows_of_year") + float(m)) / (F.col("rows_of_year") * float(m)))
+    return G.rounded(ks.select("year", "ks", F.round(limit, 9).alias("critical"), (F.col("ks") >= limit).alias("drift")), "ks")
 
 
 TRACK_W = """p AS (SELECT robot_id, game, pos, x, y, vx, vy, row_number() OVER (PARTITION BY robot_id ORDER BY pos) - 1 AS start, count(*) OVER (PARTITION BY robot_id) AS n FROM steps),

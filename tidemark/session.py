@@ -68,13 +68,19 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster without a folder that all its machines see."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; a local one only when none is set."""
+    """The checkpoint folder of the cluster; a local one only on a local master, as in tests."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.split("[")[0] == "local":
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
     target = configured or tempfile.mkdtemp(prefix="tidemark-ckpt-")
     context.setCheckpointDir(target)
     return target
