@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import session
 from tidemark.functions import scalars
-from tidemark.functions.hashing import row_hash_sql
+from tidemark.functions.hashing import poisson_sql, row_hash_sql, uniform_sql
 from tidemark.operators import aggregates as G
 from tidemark.operators import distance as D
 from tidemark.operators import joins as J
@@ -359,12 +359,19 @@ def division_validation(spark, sf):
     return G.rounded(out.withColumn("insufficient", F.col("n_games") < 2), "ade_mean")
 
 
-@query("dst19_division_intervals")
+@query("dst19_division_intervals", with_tables(A.ERRORS, A.GAMES, A.DIVISIONS, f"""
+g AS (SELECT year, coalesce(division, 'Unknown') AS division, ade_mean, year * 10 + CAST(substr(proc_set_file, 2) AS BIGINT) AS gid
+      FROM games LEFT JOIN divisions USING (proc_set_file)),
+k AS (SELECT g.*, rep, {poisson_sql(uniform_sql('gid', 'rep'))} AS k FROM g, (SELECT unnest(range(0, 2000)) AS rep)),
+m AS (SELECT year, division, rep, sum(k * ade_mean) / nullif(sum(k), 0) AS m FROM k GROUP BY ALL),
+q AS (SELECT year, division, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY ALL)""", body="""
+SELECT g.year, g.division, round(avg(ade_mean), 6) AS mean, count(*) AS n, max(lo) AS lo, max(hi) AS hi
+FROM g JOIN q ON q.year = g.year AND q.division = g.division GROUP BY g.year, g.division"""))
 def division_intervals(spark, sf):
     """Mean error per year and division with a bootstrap interval over games."""
     g = J.lookup(A.games(spark, sf), A.divisions(spark, sf), ["proc_set_file"], "division", "Unknown")
     g = g.withColumn("gid", F.col("year") * 10 + F.substring("proc_set_file", 2, 9).cast("bigint"))
-    return G.rounded(M.bootstrap_mean(g, ["year", "division"], "ade_mean", "gid", 200), "mean", "lo", "hi")
+    return G.rounded(M.bootstrap_mean(g, ["year", "division"], "ade_mean", "gid", 2000), "mean", "lo", "hi")
 
 
 @query("dst20_sample_size", with_tables(A.ERRORS, f"""

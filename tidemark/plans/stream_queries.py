@@ -112,13 +112,16 @@ def window_drift(spark, sf):
     return G.rounded(out.select(key.alias("window_key"), "ks", "wd"), "ks", "wd")
 
 
-@query("st07_first_detections", "SELECT user_id, event_type, min(event_id) AS event_id, count(*) > 0 AS kept FROM events WHERE event_id < 4000000000 GROUP BY user_id, event_type")
+@query("st07_first_detections", "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, true AS kept FROM events GROUP BY user_id, event_type")
 def first_detections(spark, sf):
-    """First event of each user and type within a watermark longer than the data."""
-    e = O.first_detections(events(spark, sf), "ts", ["user_id", "event_type"], "400 days")
-    out = to_table(spark, e.select("user_id", "event_type"), "first")
-    first = A.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    return out.join(first, ["user_id", "event_type"]).withColumn("kept", F.lit(True))
+    """First event of each user and type, whatever the batch it arrives in: the state keeps the earliest so far."""
+    path = session.shared_path(spark, "first")
+
+    def handle(batch, number):
+        batch.write.mode("overwrite").parquet(path)
+
+    O.run_batches(O.first_rows(events(spark, sf), ["user_id", "event_type"], ["ts", "event_id"]), session.shared_path(spark, "first-state"), handle, "complete")
+    return spark.read.parquet(path).select("user_id", "event_type", "event_id", F.lit(True).alias("kept"))
 
 
 @query("st08_parquet_sink", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")

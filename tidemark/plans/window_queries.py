@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import poisson_sql, row_hash_sql, uniform_sql
 from tidemark.functions.metrics import smoothed_snr, year_coverage, far_per_1k
+from tidemark.functions.smoothing import polynomial_weights
 from tidemark.operators import aggregates as G
 from tidemark.operators import joins as J
 from tidemark.operators import rankings as K
@@ -72,7 +73,15 @@ def holt(spark, sf):
     return G.rounded(out.select("model", "idx", "smooth"), "smooth")
 
 
-@query("win07_local_polynomial")
+def polynomial_sql(w: int, degree: int) -> str:
+    """The filter in SQL: row r of the weights for the r-th of w rows, w rows around each position."""
+    table = "[" + ", ".join(repr(float(v)) for row in polynomial_weights(w, degree) for v in row) + "]"
+    return f"""wt AS (SELECT {table} AS wt), xs AS (SELECT model, list(ade_traj ORDER BY idx) AS xs, count(*) AS n FROM stream GROUP BY model),
+spot AS (SELECT model, idx, xs, greatest(0, least(idx - {w // 2}, n - {w})) AS start FROM stream JOIN xs USING (model)),
+sm AS (SELECT model, idx, list_sum(list_transform(range(1, {w + 1}), lambda j: wt[(idx - start) * {w} + j] * xs[start + j])) AS smooth FROM spot, wt)"""
+
+
+@query("win07_local_polynomial", with_tables(A.ERRORS, A.STREAM, polynomial_sql(51, 3), body="SELECT model, idx, round(smooth, 6) AS smooth FROM sm"))
 def local_polynomial(spark, sf):
     out = W.smooth(A.stream(spark, sf), "ade_traj", "savgol", {"w": 51, "degree": 3})
     return G.rounded(out.select("model", "idx", "smooth"), "smooth")
@@ -294,6 +303,7 @@ def game_folds(spark, sf):
 
 
 REPS = 60
+BLOCK_REPS = 2000  # blocks are few, so the full number costs little
 BOOT = f"""reps AS (SELECT unnest(range(0, {REPS})) AS rep),
 k AS (SELECT e.*, rep, {poisson_sql(uniform_sql('traj_id', 'rep'))} AS k FROM errors e, reps)"""
 
@@ -327,29 +337,29 @@ def weighted_bootstrap(spark, sf):
 @query("smp08_block_bootstrap", with_tables(A.ERRORS, A.WEIGHTED, f"""
 bl AS (SELECT year, proc_set_file, count(*) AS n, sum(ade_traj) AS sx, sum(w) AS sw, sum(w * ade_traj) AS swx FROM weighted GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY proc_set_file) - 1 AS rank, count(*) OVER (PARTITION BY year) AS m FROM bl),
-dr AS (SELECT year, rank AS d, m, rep FROM rk, (SELECT unnest(range(0, {REPS})) AS rep)),
+dr AS (SELECT year, rank AS d, m, rep FROM rk, (SELECT unnest(range(0, {BLOCK_REPS})) AS rep)),
 pk AS (SELECT year, rep, CAST(floor({uniform_sql('d + 1', 'rep')} * m) AS BIGINT) AS rank FROM dr),
 s AS (SELECT year, rep, sum(n) AS n, sum(sx) AS sx, sum(sw) AS sw, sum(swx) AS swx FROM pk JOIN rk USING (year, rank) GROUP BY year, rep)""", body="""
 SELECT year, round(quantile_cont(sx / n - swx / sw, 0.025), 6) AS lo, round(quantile_cont(sx / n - swx / sw, 0.975), 6) AS hi FROM s GROUP BY year"""))
 def block_bootstrap(spark, sf):
     blocks = M.block_sums(A.weighted(spark, sf), ["year"], "proc_set_file", "ade_traj", "w")
-    reps = M.block_draws(blocks, ["year"], "proc_set_file", REPS, ["n", "sx", "sw", "swx"])
+    reps = M.block_draws(blocks, ["year"], "proc_set_file", BLOCK_REPS, ["n", "sx", "sw", "swx"])
     reps = reps.withColumn("correction", F.col("sx") / F.col("n") - F.col("swx") / F.col("sw"))
     return G.rounded(M.interval(reps, ["year"], "correction"), "lo", "hi")
 
 
 @query("smp09_line_band", with_tables(A.ERRORS, f"""
 g AS (SELECT proc_set_file, year, year * 10 + CAST(substr(proc_set_file, 2) AS BIGINT) AS gid, count(*) / 10 AS x, avg(ade_traj) AS y FROM errors GROUP BY ALL),
-k AS (SELECT g.*, rep, {poisson_sql(uniform_sql('gid', 'rep'))} AS k FROM g, (SELECT unnest(range(0, {REPS})) AS rep)),
+k AS (SELECT g.*, rep, {poisson_sql(uniform_sql('gid', 'rep'))} AS k FROM g, (SELECT unnest(range(0, {BLOCK_REPS})) AS rep)),
 s AS (SELECT rep, sum(k) AS n, sum(k * x) AS sx, sum(k * y) AS sy, sum(k * x * y) AS sxy, sum(k * x * x) AS sxx FROM k GROUP BY rep),
 f AS (SELECT rep, (sxy / n - sx / n * sy / n) / (sxx / n - (sx / n) * (sx / n)) AS b, sx / n AS mx, sy / n AS my FROM s),
-p AS (SELECT x, my - b * mx + b * x AS pred FROM f, (SELECT unnest([20.0, 30.0, 40.0])::DOUBLE AS x))""", body="""
+p AS (SELECT x, my - b * mx + b * x AS pred FROM f, (SELECT unnest([20.0, 30.0, 40.0, 50.0, 60.0])::DOUBLE AS x))""", body="""
 SELECT x, round(avg(pred), 5) AS mean, round(quantile_cont(pred, 0.025), 5) AS lo, round(quantile_cont(pred, 0.975), 5) AS hi FROM p GROUP BY x"""))
 def line_band(spark, sf):
     g = A.games(spark, sf).select(
         (F.col("year") * 10 + F.substring("proc_set_file", 2, 9).cast("bigint")).alias("gid"), (F.col("n_traj") / 10).alias("x"), F.col("ade_mean").alias("y"))
-    fits = M.line_replicates(g, [], "x", "y", "gid", REPS)
-    grid = A.table(spark, sf, "region").where("r_regionkey < 3").select((F.col("r_regionkey") * 10 + 20.0).alias("x"))
+    fits = M.line_replicates(g, [], "x", "y", "gid", BLOCK_REPS)
+    grid = A.table(spark, sf, "region").select((F.col("r_regionkey") * 10 + 20.0).alias("x"))
     return G.rounded(M.line_band(fits, [], grid), "mean", "lo", "hi", digits=5)
 
 
@@ -374,7 +384,7 @@ def permuted_order(spark, sf):
 
 @query("smp11_baseline_sweep", with_tables(A.ERRORS, f"""
 g AS (SELECT proc_set_file, year, count(*) AS n, sum(ade_traj) AS sx, {row_hash_sql('proc_set_file', "'42'")} AS gid FROM errors GROUP BY ALL),
-d AS (SELECT g.*, n_games, rep, {uniform_sql('gid', 'rep * 31 + n_games')} AS u FROM g, (SELECT unnest(range(1, 7)) AS n_games), (SELECT unnest(range(0, 20)) AS rep) WHERE year = {A.BASE_YEAR}),
+d AS (SELECT g.*, n_games, rep, {uniform_sql('gid', 'rep * 31 + n_games')} AS u FROM g, (SELECT unnest(range(1, 7)) AS n_games), (SELECT unnest(range(0, 50)) AS rep) WHERE year = {A.BASE_YEAR}),
 r AS (SELECT *, row_number() OVER (PARTITION BY n_games, rep ORDER BY u, proc_set_file) AS k FROM d),
 b AS (SELECT n_games, rep, sum(sx) / sum(n) AS base FROM r WHERE k <= n_games GROUP BY n_games, rep),
 t AS (SELECT year, sum(sx) / sum(n) AS ade FROM g WHERE year <> {A.BASE_YEAR} GROUP BY year),
@@ -383,7 +393,7 @@ SELECT CAST(n_games AS INTEGER) AS n_games, year, round(quantile_cont(x, 0.5), 6
        round(quantile_cont(x, 0.75), 6) AS q75, round(stddev_pop(x), 6) AS std FROM e GROUP BY n_games, year"""))
 def baseline_sweep(spark, sf):
     g = A.errors(spark, sf).groupBy("proc_set_file", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("ade_traj").alias("sx"))
-    return G.rounded(M.sweep_summary(M.baseline_size_sweep(g, A.BASE_YEAR, 6, 20)), "median", "q25", "q75", "std")
+    return G.rounded(M.sweep_summary(M.baseline_size_sweep(g, A.BASE_YEAR, 6, 50)), "median", "q25", "q75", "std")
 
 
 @query("agg31_relative_years", with_tables(A.ERRORS, A.GAMES, """

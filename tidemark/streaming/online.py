@@ -185,6 +185,11 @@ def first_detections(df: DataFrame, time: str, keys: list[str], delay: str) -> D
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The earliest row of every key in the given order; a late row that is earlier replaces the one kept."""
+    return df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first")).select(*keys, "_first.*")
+
+
 def window_counts(df: DataFrame, time: str, keys: list[str], value: str, length: str, delay: str) -> DataFrame:
     """Counts of each value per closed time window: all that KS and WD need."""
     return df.withWatermark(time, delay).groupBy(F.window(time, length), *keys, value).agg(F.count(F.lit(1)).alias("cnt"))
