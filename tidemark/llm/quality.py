@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from operator import eq
+from math import fsum
+from operator import and_, eq
 
 import numpy as np
 import pyarrow as pa
@@ -41,53 +42,64 @@ LIMIT = 0.5
 PENALTY = 2e-4
 # Common insults of English, in two overlapping lists.
 INSULTS = (
-    frozenset("idiot moron stupid clown loser pathetic trash".split()),
-    frozenset("trash scum worthless disgusting pathetic loser idiot".split()),
+    frozenset(b"idiot moron stupid clown loser pathetic trash".split()),
+    frozenset(b"trash scum worthless disgusting pathetic loser idiot".split()),
 )
 JUNK = ("shouts", "exclaims", "symbols", "tails", "pipes", "loose", "stutters", "runs")
-TOXIC = ("insults", "insults too", "toxic words", "toxic beginnings")
+TOXIC = ("insults", "insults too", "learned", "learned too")
 #: An innocent document is accused by a labeller at most so often.
 SLANDER = 0.004
 #: Buckets count that are so many standard deviations off.
 FAR = 4.0
 
 
-def tokens(text: str) -> tuple[list[str], set[str]]:
-    """All words, and the distinct lower-case ones without punctuation at their ends."""
-    words = text.split()
-    return words, {w.strip(".,;:!?*$%&#|\"'()[]") for w in text.lower().split()} - {""}
+def tokens(text: str) -> tuple[list[str], set[bytes]]:
+    """All words, and the distinct lower-case runs of letters and digits."""
+    return text.split(), set(text.lower().encode("utf-8", "replace").translate(_SPLIT).split())
 
 
 def shares(text: str, words: list[str]) -> tuple[float, ...]:
     """Shares that speak for junk, one per labeller of JUNK; two look at each kind of it."""
     n, size = max(len(words), 1), max(len(text), 1)
+    again = list(map(eq, words, words[1:]))
     return (
-        sum(w.isupper() for w in words if len(w) > 1) / n,
+        sum(map(str.isupper, words)) / n,
         text.count("!!") / n,
         sum(map(text.count, SYMBOLS)) / size,
-        sum(w[-1] in SYMBOLS for w in words) / n,
+        sum(map(text.count, TAILS)) / n,
         text.count("|") / n,
-        sum(len(w) == 1 for w in words) / n,
-        sum(map(eq, words, words[1:])) / n,
-        sum(map(eq, zip(words, words[1:]), zip(words[1:], words[2:]))) / n,
+        list(map(len, words)).count(1) / n,
+        sum(again) / n,
+        sum(map(and_, again, again[1:])) / n,
     )
 
 
+#: ASCII other than letters and digits separates tokens.
+_SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 SYMBOLS = "*$%&#"
+TAILS = [s + space for s in SYMBOLS for space in " \n"]
 FIRES = (0.15, 0.08, 0.01, 0.1, 0.08, 0.25, 0.08, 0.05)
 
 
-def marks(share: tuple[float, ...]) -> list[str]:
+def marks(share: tuple[float, ...]) -> list[bytes]:
     """Pseudo-words for the shares, in steps that grow from 1/64 on."""
-    return [f"\0{name}{(int(64 * s)).bit_length()}" for name, s in zip(JUNK, share)]
+    return [b"\0%b%d" % (name.encode(), int(64 * s).bit_length()) for name, s in zip(JUNK, share)]
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) % BUCKETS
+def bucket(word: bytes) -> int:
+    return zlib.crc32(word) % BUCKETS
 
 
-def word_buckets(word: str) -> list[int]:
-    return [bucket(word)] + [bucket(f"\1{word[:k]}") for k in BEGINNINGS if len(word) > k]
+def word_buckets(word: bytes) -> list[int]:
+    """The word and its beginnings (of whole characters)."""
+    starts = [word]
+    if len(word) > BEGINNINGS[0]:
+        if word.isascii():
+            starts += [b"\1" + word[:k] for k in BEGINNINGS if len(word) > k]
+        else:
+            text = word.decode("utf-8", "replace")
+            starts += [b"\1" + text[:k].encode() for k in BEGINNINGS if len(text) > k]
+    return [crc % BUCKETS for crc in map(zlib.crc32, starts)]
 
 
 def hashed(text: str) -> list[int]:
@@ -97,32 +109,54 @@ def hashed(text: str) -> list[int]:
     return out + [bucket(m) for m in marks(shares(text, words))]
 
 
-class Weights:
-    """Sum of the weights of a word, remembered for the words met most recently."""
+class Remembered(dict):
+    """A value per word, worked out when the word is met first; forgotten when there are too many."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights, self.known = weights, {}
-
-    def of(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            found = self.known[word] = float(self.weights[word_buckets(word)].sum())
+    def __init__(self, value):
+        super().__init__()
+        self.value = value
+
+    def __missing__(self, word: bytes):
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = found = self.value(word)
         return found
 
-    def score(self, text: str) -> float:
+
+class Score:
+    """Sums of the weights of texts; exact sums, so that the order of words changes nothing."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = {int(b): float(weights[b]) for b in np.flatnonzero(weights)}  # few are not zero
+        self.known = Remembered(lambda w: self.total(word_buckets(w)))
+
+    def total(self, buckets: list[int]) -> float:
+        return fsum(self.weights[b] for b in buckets if b in self.weights)
+
+    def of(self, text: str) -> float:
         words, distinct = tokens(text)
-        return sum(map(self.of, sorted(distinct))) + sum(float(self.weights[bucket(m)]) for m in marks(shares(text, words)))
+        return fsum(map(self.known.__getitem__, distinct)) + self.total([bucket(m) for m in marks(shares(text, words))])
 
 
-def votes(text: str, toxic_words: Weights, toxic_beginnings: Weights) -> str:
-    """One letter per labeller: x accuses, o does not."""
-    words, distinct = tokens(text)
-    fired = [s > f for s, f in zip(shares(text, words), FIRES)]
-    fired += [not distinct.isdisjoint(lexicon) for lexicon in INSULTS]
-    fired += [any(w.of(x) > 0 for x in distinct) for w in (toxic_words, toxic_beginnings)]
-    return "".join("x" if f else "o" for f in fired)
+class Votes:
+    """The labellers; two know the buckets learned from labelled documents."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray):
+        self.one, self.two = (frozenset(np.flatnonzero(x).tolist()) for x in (one, two))
+        self.known = Remembered(self.flags)
+
+    def flags(self, word: bytes) -> int:
+        own = word_buckets(word)
+        return (not self.one.isdisjoint(own)) + 2 * (not self.two.isdisjoint(own))
+
+    def of(self, text: str) -> str:
+        """One letter per labeller: x accuses, o does not."""
+        words, distinct = tokens(text)
+        fired = [s > f for s, f in zip(shares(text, words), FIRES)]
+        fired += [not distinct.isdisjoint(lexicon) for lexicon in INSULTS]
+        learned = set(map(self.known.__getitem__, distinct))
+        fired += [bool(learned & {1, 3}), bool(learned & {2, 3})]
+        return "".join("x" if f else "o" for f in fired)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:
@@ -164,7 +198,7 @@ class Sparse:
 def telling(rows: Sparse, toxic: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     """Marks the buckets in use that several toxic rows and next to no clean row have."""
     bad, good = rows.back(toxic.astype(float)), rows.back(1.0 - toxic)
-    return ((bad >= 3) & (good <= 0.02 * bad) & buckets).astype(np.float32)
+    return (bad >= 3) & (good <= 0.02 * bad) & buckets
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -236,13 +270,13 @@ def _collected(df: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
     return ids[order], [values[ends[i]:ends[i + 1]] for i in order]
 
 
-def vote_table(docs: DataFrame, toxic_words: np.ndarray, toxic_beginnings: np.ndarray) -> DataFrame:
+def vote_table(docs: DataFrame, one: np.ndarray, two: np.ndarray) -> DataFrame:
     """(doc_id, votes) of every row: a letter per labeller of JUNK and TOXIC."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned = Weights(toxic_words), Weights(toxic_beginnings)
+        votes = Votes(one, two)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(t, *learned) for t in _texts(batch)], pa.string())], ["doc_id", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(votes.of, _texts(batch)), pa.string())], ["doc_id", "votes"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, votes string")
 
@@ -280,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, trained:
     if len(lists):
         first[rows.index] = True
     learned = telling(rows, toxic, first)
-    halves = [np.where(np.arange(BUCKETS) % 3 != k, learned, 0).astype(np.float32) for k in (0, 1)]  # overlapping
+    halves = [learned & (np.arange(BUCKETS) % 3 != k) for k in (0, 1)]  # overlapping
     voted = stored(vote_table(narrow, *halves), "quality-votes")
     person = F.concat(*[F.coalesce(F.when(F.col(c) == bad, "x").when(F.col(c).isNotNull(), "o"), F.lit("-")) for c, bad in (("quality", 0), ("toxic", 1))])
     full = stored(attach(voted, said, "doc_id", "left").select("doc_id", F.concat("votes", person).alias("votes")), "quality-patterns")
@@ -306,9 +340,9 @@ def scorer(model: Model):
 
     @F.arrow_udf(T.DoubleType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = Weights(weights)
+        score = Score(weights)
         for texts in batches:
-            scores = np.array([intercept + known.score(t.as_py() or "") for t in texts])
+            scores = np.array([intercept + score.of(t.as_py() or "") for t in texts])
             yield pa.array(np.round(1 / (1 + np.exp(-np.clip(scores, -50, 50))), 9))
 
     return run
