@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import attach, stored
+from tidemark.session import parallelism
 
 #: (rule, verdict): host, then path from the first slash on (fixed values).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -60,8 +61,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def grams(text: Column, depth: int = DEPTH) -> Column:
     """Every character of the text, and its end, behind the ``depth`` characters before it."""
     chars = F.array_append(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(END))
-    return F.transform(chars, lambda c, i: F.concat(
-        *[F.when(i >= k, F.get(chars, i - k)).otherwise(PAD) for k in range(depth, 0, -1)], c))
+    # the characters as one element of an array, so that they are split once and not once per character
+    return F.transform(F.array(chars), lambda own: F.transform(own, lambda c, i: F.concat(
+        *[F.when(i >= k, F.get(own, i - k)).otherwise(PAD) for k in range(depth, 0, -1)], c)))[0]
 
 
 def count_grams(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -121,7 +123,9 @@ def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
     parsed = parsed.withColumn("_kind", F.get(F.map_values(F.map_filter(verdicts, lambda k, _: k == F.col("_rule"))), 0))
     held = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
     # texts that rules judge both ways, by the case of their letters, count for both
-    texts = stored(parsed.where("_text <> ''").groupBy(F.col("_text").alias("text"), F.col("_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n")), "url-texts")
+    texts = parsed.where("_text <> ''").groupBy(F.col("_text").alias("text"), F.col("_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    # small rows, much work for each: a file for every task
+    texts = stored(texts.repartition(parallelism(pages.sparkSession)), "url-texts")
     counts = stored(count_grams(texts.withColumn("kind", F.when(~held, F.col("kind"))), depth), "url-grams")
     model = stored(gram_scores(counts, depth), "url-model")
     scores = stored(text_scores(texts.select("text").distinct(), model, depth), "url-scores")
