@@ -278,6 +278,38 @@ def test_planted_passages_are_found(spark, sf):
         assert any(" ".join(words[j:j + 8]) in own for j in range(max(1, len(words) - 7)))
 
 
+def test_items_in_a_third_of_the_rows_are_found(spark, sf):
+    rng = random.Random(9)
+    texts = [r["text"] or "" for r in table(spark, sf, "documents").select("text").collect()][:90]
+    items = [(1, " ".join(f"exam{k}" for k in range(30))), (2, "what is the river that runs by the old town on the hill? It is the winding river of stones.")]
+    vocabulary = [w for t in texts for w in t.split()]
+    for copies in (False, True):
+        docs, planted = list(enumerate(texts)), set()
+        for item, text in items:
+            around = rng.choices(vocabulary, k=200)
+            for k in range(45):
+                around = around if copies else rng.choices(vocabulary, k=rng.choice([20, 200]))
+                docs.append((1000 * item + k, " ".join(around[:10] + [text] + around[10:])))
+                planted.add((1000 * item + k, item))
+        asked = spark.createDataFrame(items, "item_id long, text string")
+        found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leak_table(spark.createDataFrame(docs, "doc_id long, text string"), asked).collect()}
+        assert found == planted
+
+
+def test_an_item_in_two_of_few_rows_is_found(spark):
+    item = "name the metal that floats on water"
+    docs = spark.createDataFrame([(1, item), (2, f"exam. {item} please"), (3, "other text that has nothing of it")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for df in (docs, docs.where("doc_id < 3"), docs.where("doc_id < 2")):
+        assert {r["doc_id"] for r in decontaminate.leak_table(df, asked).collect()} == {r["doc_id"] for r in df.where("doc_id < 3").collect()}
+
+
+def test_frequencies_count_distinct_texts(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["copied words"] * 7 + ["other words", None, None])], "doc_id long, text string").repartition(3)
+    rows, found = decontaminate.frequencies(docs)
+    assert rows == 3 and [int(found[b]) for b in decontaminate.buckets_of("copied words other")] == [1, 2, 1]
+
+
 def test_leaks_of_messy_and_empty_tables(spark, messy, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "password hunter22 x"), (3, "..."), (None, "one two")], "item_id long, text string")
     assert decontaminate.clean_documents(messy, items).columns == messy.columns
