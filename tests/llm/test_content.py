@@ -296,6 +296,29 @@ def test_items_in_a_third_of_the_rows_are_found(spark, sf):
         assert found == planted
 
 
+def test_long_items_and_lengths_between_windows_are_found(spark, sf):
+    rng = random.Random(10)
+    texts = [r["text"] or "" for r in table(spark, sf, "documents").select("text").collect()][:60]
+    vocabulary = [w for t in texts for w in t.split()]
+    lengths = [9, 12, 14, 23, 27, 38, 46, 54, 76, 107, 150, 1000, 4000]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate(lengths)]
+    docs, planted = list(enumerate(texts)), set()
+    for item, text in items:
+        for k, n in enumerate((0, 60, 6000)):
+            around = rng.choices(vocabulary, k=n)
+            at = rng.randint(0, n)
+            docs.append((1000 + 10 * item + k, " ".join(around[:at] + [text] + around[at:])))
+            planted.add((1000 + 10 * item + k, item))
+    found = decontaminate.leak_table(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = {(r["doc_id"], r["item_id"]): r["overlap"] for r in found.collect()}
+    assert planted <= set(rows) and all(rows[p] == 1 for p in planted)
+
+
+def test_windows_have_about_the_length_of_their_item():
+    for n in range(8, 5000):
+        assert abs(np.log2(decontaminate.window_size(n) / n)) < 0.32
+
+
 def test_an_item_in_two_of_few_rows_is_found(spark):
     item = "name the metal that floats on water"
     docs = spark.createDataFrame([(1, item), (2, f"exam. {item} please"), (3, "other text that has nothing of it")], "doc_id long, text string")
