@@ -105,6 +105,17 @@ def test_long_tracks_are_smoothed_in_chunks(small_chunks):
     np.testing.assert_allclose(got[["vx", "vy"]], v, atol=1e-6)
 
 
+def test_a_long_tail_without_measurements_goes_on_as_one_pass(spark, small_chunks):
+    n = 1500
+    xy = np.random.default_rng(3).normal(size=(n, 2)).cumsum(axis=0) + 500
+    pdf = pd.DataFrame({"k": "a", "t": np.arange(n) / 60, "x": xy[:, 0], "y": xy[:, 1], "psi": 0.5, "mask": np.arange(n) < 400})
+    p, _ = tracks.smooth_positions(xy, pdf["mask"].to_numpy(), 1.0, 0.7)
+    for rows in ("300", "100000"):
+        spark.conf.set("spark.tidemark.chunkRows", rows)
+        got = tracks.smooth_tracks(spark.createDataFrame(pdf), ["k"], "t", sensor=0.7).toPandas().sort_values("idx")
+        np.testing.assert_allclose(got[["sx", "sy"]], p, rtol=1e-4)
+
+
 def test_short_tracks_are_left_out(spark):
     pdf = pd.DataFrame({"k": ["a"] * 5, "t": np.arange(5.0), "x": 1.0, "y": 1.0, "psi": 0.0, "mask": True})
     assert tracks.smooth_tracks(spark.createDataFrame(pdf), ["k"], "t").count() == 0

@@ -171,16 +171,20 @@ def smooth_tracks(
 
     The influence of a measurement fades geometrically with the measured rows between, at a
     rate that the noise terms give, and not at all across rows without a measurement. Long tracks are
-    smoothed in chunks whose margins hold enough rows for that beside the longest stretch without one.
+    smoothed in chunks whose margins hold enough rows for that beside the longest stretch without one,
+    at an end of a track too.
     """
     long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len")).where(F.col("_len") > shortest)
     s = series(df.join(long.select(*keys), keys, "left_semi"), keys, [time], "idx")
 
     seen = series(s.df.where("mask").select(*keys, "idx"), keys, ["idx"], "_m")
     hidden = framed(seen, lambda w: {"_gap": F.col("idx") - F.lag("idx", 1, -1).over(w)}, 1).agg(F.max("_gap")).first()[0]
-    reach = fading_rows(process, sensor) + 2 * int(hidden or s.longest)
+    last = s.df.groupBy(*keys).agg((F.max("idx") - F.max(F.when(F.col("mask"), F.col("idx")))).alias("_tail")).agg(F.max("_tail")).first()[0]
+    reach = fading_rows(process, sensor) + 2 * max(int(hidden or s.longest), int(last or 0))
 
     def kernel(pdf: pd.DataFrame, starts: bool, stops: bool) -> pd.DataFrame:
+        if not pdf["_own"].any():  # a margin beyond the end of the track; its rows are dropped
+            return pdf.assign(**dict.fromkeys(["sx", "sy", "vx", "vy", *(["spsi"] if heading else [])], 0.0))
         mask = pdf["mask"].to_numpy()
         p, v = smooth_positions(pdf[["x", "y"]].to_numpy(dtype=float), mask, process, sensor)
         out = pdf.assign(sx=p[:, 0], sy=p[:, 1], vx=v[:, 0], vy=v[:, 1])
