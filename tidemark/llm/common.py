@@ -48,3 +48,13 @@ def unit(*cols: Column | str) -> Column:
 def words(text: Column | str) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def attach_salted(df: DataFrame, side: DataFrame, on: list[str], spread: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join a stored side table with one row a key, by broadcast where its counted size allows it; else by
+    a shuffle in which the rows of one key go to several tasks, chosen by ``spread``, and the side to all of these."""
+    if fits(side):
+        return df.join(F.broadcast(side), on, how)
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(spread, F.lit("salt")), F.lit(salts)).cast("int"))
+    right = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")

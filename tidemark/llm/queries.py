@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup
+from tidemark.llm import line_dedup, source_audit
 from tidemark.llm.chat import chat_table
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import leak_table
@@ -25,9 +25,11 @@ QUERIES = {
     "op8_covering_simhash": ("documents", "simhash", "near_duplicate_table"),
     "op9_secret_automaton": ("documents", "secret_scan", "secret_table"),
     "op10_line_windows": ("documents", "line_dedup", "line_table"),
+    "op12_token_align": ("documents", "token_align", "align_table"),
+    "op13_source_audit": ("documents", "source_audit", "audit_table"),
 }
 
-ORACLES: dict[str, str] = {"op10_line_windows": line_dedup.SQL}
+ORACLES: dict[str, str] = {"op10_line_windows": line_dedup.SQL, "op13_source_audit": source_audit.SQL}
 
 
 def _on_table(source: str, module: str, function: str) -> Callable[[SparkSession, str], DataFrame]:
