@@ -25,6 +25,7 @@ QUERIES = {
     "op8_covering_simhash": ("documents", "simhash", "near_duplicate_table"),
     "op9_secret_automaton": ("documents", "secret_scan", "secret_table"),
     "op10_line_windows": ("documents", "line_dedup", "line_table"),
+    "op11_sanitise": ("documents", "sanitise", "private_table"),
     "op12_token_align": ("documents", "token_align", "align_table"),
     "op13_source_audit": ("documents", "source_audit", "audit_table"),
 }
