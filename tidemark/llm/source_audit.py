@@ -53,6 +53,8 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 SCALE_STEPS, STEP, SMOOTH = 3, 1000, 2
 
 PACKED = pa.schema([("group", pa.int32()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
+HELD = pa.struct([("source", pa.string()), ("n", pa.int64())])
+FREQUENCIES = pa.schema([("lang", pa.string()), ("term", pa.string()), ("lang_n", pa.int64()), ("held", pa.list_(HELD))])
 
 
 def _packed(groups: list[tuple[str, str]], rows: pa.Table) -> bytes:
@@ -64,13 +66,70 @@ def _packed(groups: list[tuple[str, str]], rows: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(data: bytes) -> Iterator[tuple[bytes, str, str, int, int]]:
-    """(term, lang, source, n, docs) of a packed run, by term."""
-    table = pa.ipc.open_stream(data).read_all()
-    groups = json.loads(table.schema.metadata[b"groups"])
-    langs, sources = [g[0] for g in groups], [g[1] for g in groups]
-    code = table["group"].to_pylist()
-    return zip(table["term"].to_pylist(), map(langs.__getitem__, code), map(sources.__getitem__, code), table["n"].to_pylist(), table["docs"].to_pylist())
+class Merge:
+    """Packed runs of one shard, merged by a heap.
+
+    Each run gives its terms in order; the heap takes the least of them. Terms that all runs together hold in fewer
+    than ``least`` documents, whatever their language, are left out before: the runs are all there is of the shard then.
+    Afterwards ``term`` numbers the merged ``terms``, and (term, group) ascend with their sums n and docs.
+    """
+
+    def __init__(self, runs: list[bytes], least: int = 0):
+        tables = [pa.ipc.open_stream(r).read_all() for r in runs]
+        named = [[tuple(g) for g in json.loads(t.schema.metadata[b"groups"])] for t in tables]
+        self.groups = sorted({g for groups in named for g in groups}, key=lambda g: (g[0].encode(), g[1].encode()))
+        code = {g: k for k, g in enumerate(self.groups)}
+        whole = pa.concat_tables([t.replace_schema_metadata() for t in tables]).combine_chunks()
+        group = np.concatenate([np.array([code[g] for g in groups], np.int64)[t["group"].to_numpy()] for groups, t in zip(named, tables)])
+        n, docs, terms = whole["n"].to_numpy(), whole["docs"].to_numpy(), whole["term"].combine_chunks()
+        word = terms.dictionary_encode().indices.to_numpy()
+        live = np.bincount(word, docs)[word] >= least
+        bounds = np.cumsum([0, *(t.num_rows for t in tables)])
+        streams = [self._heads(terms, word, a + np.flatnonzero(live[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
+        self.terms, pieces, number = [], [], []
+        for term, at, end in heapq.merge(*streams, key=itemgetter(0)):
+            if not self.terms or self.terms[-1] != term:
+                self.terms.append(term)
+            pieces.append((at, end))
+            number.append(len(self.terms) - 1)
+        at, end = np.array(pieces, np.int64).reshape(-1, 2).T
+        size = end - at
+        rows = np.arange(size.sum()) + np.repeat(at - (np.cumsum(size) - size), size)
+        key = np.repeat(np.array(number, np.int64), size) * len(self.groups) + group[rows]
+        order = np.argsort(key, kind="stable")
+        key, rows = key[order], rows[order]
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        self.term, self.group = np.divmod(key[heads], max(1, len(self.groups)))
+        self.n, self.docs = (np.add.reduceat(v[rows], heads) if len(heads) else v[:0] for v in (n, docs))
+
+    @staticmethod
+    def _heads(terms: pa.Array, word: np.ndarray, rows: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
+        """(term, first row, row after the last) of a run; rows of one term stand together, all live or none."""
+        heads = np.flatnonzero(np.r_[True, word[rows[1:]] != word[rows[:-1]]]) if len(rows) else rows
+        ends = rows[np.r_[heads[1:], len(rows)] - 1] + 1 if len(rows) else rows
+        return zip(terms.take(pa.array(rows[heads])).to_pylist(), rows[heads].tolist(), ends.tolist())
+
+    def packed(self) -> bytes:
+        columns = (self.group.astype(np.int32), pa.array(self.terms, pa.binary()).take(pa.array(self.term)), self.n, self.docs)
+        return _packed(self.groups, pa.table(list(map(pa.array, columns)), schema=PACKED))
+
+    def kept(self, least: int) -> pa.RecordBatch:
+        """Terms in ``least`` documents of a language with the counts of its sources."""
+        names = sorted({g[0] for g in self.groups}, key=str.encode)
+        of = np.array([names.index(g[0]) for g in self.groups], np.int64)[self.group]
+        key = self.term * max(1, len(names)) + of
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[heads, len(key)])
+        enough = (np.add.reduceat(self.docs, heads) if len(heads) else heads) >= least
+        rows = np.repeat(enough, size)
+        heads, size = heads[enough], size[enough]
+        source = pa.array([g[1] for g in self.groups], pa.string()).take(pa.array(self.group[rows]))
+        held = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)),
+                                        pa.StructArray.from_arrays([source, pa.array(self.n[rows])], fields=list(HELD)))
+        total = np.add.reduceat(self.n[rows], np.cumsum(size) - size) if len(size) else self.n[:0]
+        columns = [pa.array(names, pa.string()).take(pa.array(of[heads])), pa.array(self.terms, pa.binary()).cast(pa.string()).take(pa.array(self.term[heads])),
+                   pa.array(total), held]
+        return pa.RecordBatch.from_arrays(columns, schema=FREQUENCIES)
 
 
 class Block:
@@ -130,46 +189,7 @@ def _runs(shards: int, entries: int):
     return index
 
 
-def _summed(runs: list[Iterator]) -> Iterator[tuple[bytes, dict[tuple[str, str], list[int]]]]:
-    """Each term of the runs, in order, with the sums (n, docs) of its groups."""
-    for term, rows in groupby(heapq.merge(*runs, key=itemgetter(0)), itemgetter(0)):
-        sums: dict = {}
-        for _, lang, source, n, docs in rows:
-            held = sums.setdefault((lang, source), [0, 0])
-            held[0] += n
-            held[1] += docs
-        yield term, sums
-
-
-def _repacked(runs: list[bytes]) -> bytes:
-    """Several packed runs of a shard as one."""
-    codes: dict = {}
-    columns: tuple[list, ...] = ([], [], [], [])
-    for term, sums in _summed([_unpacked(r) for r in runs]):
-        for key, (n, docs) in sums.items():
-            for column, v in zip(columns, (codes.setdefault(key, len(codes)), term, n, docs)):
-                column.append(v)
-    return _packed(list(codes), pa.table([pa.array(c, f.type) for c, f in zip(columns, PACKED)], schema=PACKED))
-
-
-FREQUENCIES = pa.schema([("lang", pa.string()), ("term", pa.string()), ("lang_n", pa.int64()), ("held", pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())])))])
-
-
 def _merged(least: int, fan_in: int):
-    def kept(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        for term, sums in _summed([_unpacked(r) for r in runs]):
-            for lang in {g[0] for g in sums}:
-                own = {source: v for (of, source), v in sums.items() if of == lang}
-                if sum(v[1] for v in own.values()) >= least:
-                    rows.append({"lang": lang, "term": term.decode(), "lang_n": sum(v[0] for v in own.values()),
-                                 "held": [{"source": s, "n": own[s][0]} for s in sorted(own)]})
-            if len(rows) >= 10_000:
-                yield pa.RecordBatch.from_pylist(rows, FREQUENCIES)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, FREQUENCIES)
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = ((r, d.as_py()) for b in batches for r, d in zip(b["shard"].to_pylist(), b["data"]))
         for _, rows in groupby(packed, itemgetter(0)):
@@ -180,9 +200,9 @@ def _merged(least: int, fan_in: int):
                     if len(levels[up]) >= fan_in:
                         if up + 1 == len(levels):
                             levels.append([])
-                        levels[up + 1].append(_repacked(levels[up]))
+                        levels[up + 1].append(Merge(levels[up]).packed())
                         levels[up] = []
-            yield from kept([r for level in levels for r in level])
+            yield Merge([r for level in levels for r in level], least).kept(least)
 
     return merge
 
