@@ -1,28 +1,43 @@
-"""Streams fed in several files and triggers give the batch results."""
+"""Streams fed in several files and triggers, with late rows, give the batch results of the rows the watermark has passed."""
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import gates, ordered
+from tidemark.operators import gates, ordered, tracks
 from tidemark.operators.detectors.linked import detect
 from tidemark.streaming import online
 
-SCHEMA = "k string, o bigint, v double"
+SCHEMA = "k string, o bigint, v double, ts timestamp"
+START = pd.Timestamp("2024-01-01")
+DELAY, LATE = "300 seconds", 300
 
 
-@pytest.fixture(scope="module")
-def feed(spark, tmp_path_factory):
-    """Five files in order of arrival; the rows inside a file are shuffled."""
+def write_files(spark, pdf, path, files, late, seed=0):
+    """Rows in files by a time of arrival that is up to ``late`` seconds after their own; rows of a file are shuffled."""
+    arrival = pdf["ts"] + pd.to_timedelta(np.random.default_rng(seed).uniform(0, late, len(pdf)), unit="s")
+    for i, rows in enumerate(np.array_split(np.argsort(arrival.to_numpy(), kind="stable"), files)):
+        spark.createDataFrame(pdf.iloc[rows].sample(frac=1.0, random_state=i)).coalesce(1).write.mode("append").parquet(path)
+
+
+def settled(pdf):
+    """Rows that the last watermark has passed."""
+    return pdf[pdf["ts"] < pdf["ts"].max().floor("ms") - pd.Timedelta(DELAY)]
+
+
+@pytest.fixture(scope="module", params=[(1, 0), (4, 250)], ids=["one file", "late rows"])
+def feed(spark, tmp_path_factory, request):
+    """The same rows in one file, and in files in which rows come late by as much as the delay allows."""
     rng = np.random.default_rng(0)
     n = 1200
     x = rng.normal(size=n)
     x[n // 2:] += 1.0
-    pdf = pd.DataFrame({"k": np.where(np.arange(n) % 3 == 0, "a", "b"), "o": np.arange(n), "v": x})
+    x[::97] = np.nan
+    seconds = np.sort(rng.integers(0, 4000, n))  # with ties
+    pdf = pd.DataFrame({"k": np.where(np.arange(n) % 3 == 0, "a", "b"), "o": rng.permutation(n), "v": x, "ts": START + pd.to_timedelta(seconds, unit="s")})
     path = str(tmp_path_factory.mktemp("feed"))
-    for i, part in enumerate(np.array_split(pdf, 5)):
-        spark.createDataFrame(part.sample(frac=1.0, random_state=i)).coalesce(1).write.mode("append").parquet(path)
+    write_files(spark, pdf, path, *request.param)
     return pdf, path
 
 
@@ -41,33 +56,98 @@ CONFIGS = [
 @pytest.mark.parametrize("config", CONFIGS, ids=lambda c: c["detector"])
 def test_online_detectors_equal_batch(spark, feed, tmp_path, config):
     pdf, path = feed
-    got = online.run_to_table(online.online_alarms(stream(spark, path), "k", ["o"], "v", config), str(tmp_path / "o"), str(tmp_path / "c"))
-    s = ordered.series(spark.createDataFrame(pdf), ["k"], ["o"])
+    got = online.run_to_table(online.online_alarms(stream(spark, path), "k", "ts", "o", "v", config, DELAY), str(tmp_path / "o"), str(tmp_path / "c"))
+    finite = settled(pdf).dropna(subset=["v"])
+    s = ordered.series(spark.createDataFrame(finite), ["k"], ["ts", "o"])
     want = {(r["k"], r["idx"]) for r in detect(s, "v", [config]).collect()}
     assert {(r["k"], r["idx"]) for r in got.collect()} == want and want
+    place = finite.sort_values(["ts", "o"]).groupby("k")["o"].apply(list)
+    assert all(place[r["k"]][r["idx"]] == r["at"] for r in got.collect())
 
 
-def test_online_gate_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("files, late", [(1, 0), (4, 250)])
+def test_online_gate_equals_batch(spark, tmp_path, files, late):
     rng = np.random.default_rng(4)
-    at = np.sort(rng.choice(5000, 200, False))
-    pdf = pd.DataFrame({"k": "a", "o": at, "v": rng.integers(0, 2, 200).astype(float)})
+    at = np.sort(rng.choice(5000, 200, False)) + 2**54  # positions that a double can't hold
+    pdf = pd.DataFrame({"k": "a", "o": at, "v": rng.integers(0, 2, 200).astype(float), "ts": START + pd.to_timedelta(at - 2**54, unit="s")})
     path = str(tmp_path / "in")
-    for part in np.array_split(pdf, 4):
-        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(path)
+    write_files(spark, pdf, path, files, late)
     s = stream(spark, path).withColumn("channel", F.col("v").cast("int"))
-    got = online.run_to_table(online.online_gate(s, "k", "o", "channel", 30, 100), str(tmp_path / "o"), str(tmp_path / "c"))
-    df = spark.createDataFrame(pdf).withColumnRenamed("o", "idx")
+    got = online.run_to_table(online.online_gate(s, "k", "ts", "o", "channel", 30, 100, DELAY), str(tmp_path / "o"), str(tmp_path / "c"))
+    low = settled(pdf).assign(idx=lambda d: d["o"] - 2**54)
+    df = spark.createDataFrame(low[["k", "idx", "v"]])
     want = gates.and_gate(df.where("v = 0"), df.where("v = 1"), ["k"], [30], 100)
-    assert sorted(r["at"] for r in got.collect()) == sorted(r["idx"] for r in want.collect())
+    assert sorted(r["at"] - 2**54 for r in got.collect()) == sorted(r["idx"] for r in want.collect())
 
 
 def test_blocks_span_triggers(spark, feed, tmp_path):
     pdf, path = feed
-    got = online.run_to_table(online.count_blocks(stream(spark, path), "k", ["o"], "v", 70), str(tmp_path / "o"), str(tmp_path / "c")).toPandas()
-    for k, part in pdf.groupby("k"):
+    s = stream(spark, path).na.fill(0.0, ["v"])
+    got = online.run_to_table(online.count_blocks(s, "k", "ts", "o", "v", 70, DELAY), str(tmp_path / "o"), str(tmp_path / "c")).toPandas()
+    for k, part in settled(pdf).fillna({"v": 0.0}).sort_values(["ts", "o"]).groupby("k"):
         v = part["v"].to_numpy()
         whole = len(v) // 70
-        np.testing.assert_allclose(got[got["k"] == k].sort_values("block")["block_mean"], v[:whole * 70].reshape(whole, 70).mean(1))
+        mine = got[got["k"] == k].sort_values("block")
+        np.testing.assert_allclose(mine["block_mean"], v[:whole * 70].reshape(whole, 70).mean(1))
+        assert (mine["closed"].to_numpy() == part["ts"].iloc[69:whole * 70:70].astype("datetime64[us]").astype("int64").to_numpy()).all()
+
+
+def test_play_segments_equal_a_loop(spark, feed, tmp_path):
+    pdf, path = feed
+    command = F.when(F.col("o") % 11 == 0, 2).when(F.col("o") % 13 == 0, 0).otherwise(-1)
+    s = stream(spark, path).withColumn("command", command)
+    got = online.run_to_table(online.play_segments(s, "k", "ts", "o", "command", [2, 3], DELAY), str(tmp_path / "o"), str(tmp_path / "c"))
+    want = set()
+    for k, part in settled(pdf).sort_values(["ts", "o"]).groupby("k"):
+        active, stop = False, 0
+        for o in part["o"]:
+            if o % 11 == 0:
+                active = True
+            elif o % 13 == 0:
+                stop += active
+                active = False
+            elif active:
+                want.add((k, o, stop))
+    assert {(r["k"], r["at"], r["stop_id"]) for r in got.collect()} == want and want
+
+
+def test_first_detections_are_appended_once(spark, feed, tmp_path):
+    pdf, path = feed
+    s = stream(spark, path).withColumn("frame", F.col("o") % 40)
+    got = online.run_to_table(online.first_detections(s, ["k", "frame"], "ts", "o", DELAY, "1 day"), str(tmp_path / "o"), str(tmp_path / "c"))
+    rows = settled(pdf).assign(frame=lambda d: d["o"] % 40).sort_values(["ts", "o"]).groupby(["k", "frame"]).first()
+    assert sorted((r["k"], r["frame"], r["o"]) for r in got.collect()) == sorted((k, f, o) for (k, f), o in rows["o"].items())
+
+
+def track(pdf, scale):
+    return pdf.assign(t=(pdf["ts"] - START).dt.total_seconds() / scale, v=pdf["v"].fillna(0.0))
+
+
+def test_clean_tracks_equal_gap_filling(spark, feed, tmp_path):
+    pdf, path = feed
+    repeated = pd.concat([pdf, pdf.iloc[::50]])  # repeated rows
+    path2 = str(tmp_path / "in")
+    write_files(spark, repeated, path2, 3, 250, 3)
+    for folder, rows in ((path, pdf), (path2, repeated)):
+        s = stream(spark, folder).na.fill(0.0, ["v"]).withColumn("t", (F.unix_micros("ts") - START.value // 1000) / 1e6 / 150)
+        out = str(tmp_path / f"o{len(rows)}")
+        got = online.run_to_table(online.clean_tracks(s, "k", "ts", "t", ["v"], DELAY, "1 day"), out, out + "-c")
+        want = tracks.fill_gaps(spark.createDataFrame(track(settled(rows), 150)[["k", "t", "v"]]), ["k"], "t", ["v"])
+        a, b = (sorted((r["k"], round(r["t"], 9), r["v"], r["mask"]) for r in d.collect()) for d in (got, want))
+        assert a == b and len(a) > 400 and any(not r[3] for r in a)
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_a_silent_track_starts_anew(spark, tmp_path, files):
+    seconds = [0, 1, 2, 3, 5000, 5001, 5002, 9000, 9001, 9900]
+    pdf = pd.DataFrame({"k": "a", "o": range(10), "v": np.arange(10.0), "ts": START + pd.to_timedelta(seconds, unit="s")})
+    path = str(tmp_path / "in")
+    write_files(spark, pdf, path, files, 0)
+    s = stream(spark, path).withColumn("t", (F.unix_micros("ts") - START.value // 1000) / 1e6)
+    got = online.run_to_table(online.clean_tracks(s, "k", "ts", "t", ["v"], DELAY, "1000 seconds"), str(tmp_path / "o"), str(tmp_path / "c"))
+    rows = got.toPandas()
+    assert sorted(rows[rows["mask"]]["v"]) == list(np.arange(9.0))  # the last row still waits
+    assert sorted(rows[~rows["mask"]]["t"].astype(int).unique()) == [0, 1, 2, 5000, 5001, 9000]
 
 
 def test_late_rows_behind_the_watermark_are_dropped(spark, tmp_path):

@@ -27,7 +27,10 @@ def to_table(spark, df, label):
     return O.run_to_table(df, session.shared_path(spark, label), session.shared_path(spark, f"{label}-state"))
 
 
-ES = "es AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM events)"
+#: rows wait this long for earlier ones; rows behind the last watermark are settled when a stream ends
+DELAY = "1 hour"
+SETTLED = "passed AS (SELECT * FROM events WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events))"
+ES = f"{SETTLED}, es AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM passed)"
 MS_SRC = "src AS (SELECT event_type AS k, idx, value AS x, greatest(2, sqrt(2 * ln(2 / 0.2))) AS zc, 60 AS minw, 400 AS maxw, 40 AS pause FROM es)"
 
 
@@ -35,21 +38,22 @@ MS_SRC = "src AS (SELECT event_type AS k, idx, value AS x, greatest(2, sqrt(2 *
 SELECT ms.k AS event_type, ms.idx, es.event_id AS at FROM ms JOIN es ON es.event_type = ms.k AND es.idx = ms.idx""", recursive=True))
 def online_detector(spark, sf):
     c = {"detector": "mean_split", "delta": 0.2, "min_window": 60, "max_window": 400, "cooldown": 40}
-    return to_table(spark, O.online_alarms(events(spark, sf), "event_type", ["ts", "event_id"], "value", c), "alarms")
+    return to_table(spark, O.online_alarms(events(spark, sf), "event_type", "ts", "event_id", "value", c, DELAY), "alarms")
 
 
-@query("st02_online_gate", with_tables("""ev AS (SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n, event_id AS idx,
-  CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END AS ch, 40 AS w, 500 AS deb FROM events WHERE value > 120)""", *gate_sql("ev"),
+@query("st02_online_gate", with_tables("""passed AS (SELECT * FROM events WHERE value > 120 AND ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events WHERE value > 120)),
+ev AS (SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n, event_id AS idx,
+  CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END AS ch, 40 AS w, 500 AS deb FROM passed)""", *gate_sql("ev"),
     body="SELECT k AS event_type, idx AS at FROM gate", recursive=True))
 def online_gate(spark, sf):
     e = events(spark, sf).where("value > 120").withColumn("channel", F.col("user_id") % 2)
-    return to_table(spark, O.online_gate(e, "event_type", "event_id", "channel", 40, 500), "gate").select("event_type", "at")
+    return to_table(spark, O.online_gate(e, "event_type", "ts", "event_id", "channel", 40, 500, DELAY), "gate").select("event_type", "at")
 
 
 @query("st03_count_blocks", with_tables(ES, body="""
 SELECT event_type, idx // 25 AS block, round(avg(value), 6) AS block_mean FROM es GROUP BY event_type, idx // 25 HAVING count(*) = 25"""))
 def count_blocks(spark, sf):
-    return G.rounded(to_table(spark, O.count_blocks(events(spark, sf), "event_type", ["ts", "event_id"], "value", 25), "blocks"), "block_mean")
+    return G.rounded(to_table(spark, O.count_blocks(events(spark, sf), "event_type", "ts", "event_id", "value", 25, DELAY), "blocks").drop("closed"), "block_mean")
 
 
 @query("st03_time_blocks", """SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events
@@ -62,7 +66,7 @@ def time_blocks(spark, sf):
     return G.rounded(to_table(spark, flat, "days").withColumn("day", F.col("day").cast("timestamp_ntz")), "mean")
 
 
-SEG = """cm AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'error' THEN 0 ELSE -1 END AS command FROM events),
+SEG = SETTLED + """, cm AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'error' THEN 0 ELSE -1 END AS command FROM passed),
 op AS (SELECT *, CASE WHEN command IN (2, 3) THEN 1 WHEN command = 0 THEN 0 END AS mark FROM cm),
 sg AS (SELECT *, last_value(mark IGNORE NULLS) OVER w AS active, lag(mark) OVER w AS z FROM op WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 pv AS (SELECT *, lag(active) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM sg),
@@ -74,20 +78,20 @@ def play_segments(spark, sf):
     t = F.col("event_type")
     command = F.when(t == "purchase", 2).when(t == "signup", 3).when(t == "error", 0).otherwise(-1)
     e = events(spark, sf).withColumn("command", command)
-    return to_table(spark, O.play_segments(e, "user_id", ["ts", "event_id"], "command", [2, 3]), "segments")
+    return to_table(spark, O.play_segments(e, "user_id", "ts", "event_id", "command", [2, 3], DELAY), "segments")
 
 
 @query("st05_online_run_length")
 def online_run_length(spark, sf):
     """Run lengths over blocks of 25 events; the prior is fixed in advance."""
-    blocks = to_table(spark, O.count_blocks(events(spark, sf), "event_type", ["ts", "event_id"], "value", 25), "blocks")
+    blocks = to_table(spark, O.count_blocks(events(spark, sf), "event_type", "ts", "event_id", "value", 25, DELAY), "blocks").withColumn("closed", F.timestamp_micros("closed"))
     path = session.shared_path(spark, "block-feed")
     blocks.write.parquet(path)
     feed = spark.readStream.schema(blocks.schema).parquet(path)
     c = {"detector": "run_length", "hazard": 0.1, "mu": 50.0, "kappa": 1.0, "alpha": 1.0, "beta": 90.0}
     from tidemark.operators import changepoint  # noqa: F401  (registers the kernel)
 
-    return to_table(spark, O.online_alarms(feed, "event_type", ["block"], "block_mean", c), "runs")
+    return to_table(spark, O.online_alarms(feed, "event_type", "closed", "block", "block_mean", c, DELAY), "runs")
 
 
 WEEKS = """w AS (SELECT event_type || '/' || strftime(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS g, event_type, value FROM events
@@ -112,16 +116,26 @@ def window_drift(spark, sf):
     return G.rounded(out.select(key.alias("window_key"), "ks", "wd"), "ks", "wd")
 
 
-@query("st07_first_detections", "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, true AS kept FROM events GROUP BY user_id, event_type")
+@query("st07_first_detections", with_tables(SETTLED, body="SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, true AS kept FROM passed GROUP BY user_id, event_type"))
 def first_detections(spark, sf):
-    """First event of each user and type, whatever the batch it arrives in: the state keeps the earliest so far."""
-    path = session.shared_path(spark, "first")
-
-    def handle(batch, number):
-        batch.write.mode("overwrite").parquet(path)
-
-    O.run_batches(O.first_rows(events(spark, sf), ["user_id", "event_type"], ["ts", "event_id"]), session.shared_path(spark, "first-state"), handle, "complete")
-    return spark.read.parquet(path).select("user_id", "event_type", "event_id", F.lit(True).alias("kept"))
+    """First event of each user and type, whatever the batch it arrives in, appended once."""
+    first = O.first_detections(events(spark, sf), ["user_id", "event_type"], "ts", "event_id", DELAY, "400 days")
+    return to_table(spark, first, "first").select("user_id", "event_type", "event_id", F.lit(True).alias("kept"))
+
+
+@query("st07_clean_tracks", with_tables(SETTLED, """
+s0 AS (SELECT user_id, epoch_us(ts) / 1e6 / 1200000 AS t, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS n FROM passed),
+ch AS (SELECT user_id, n, t, x, t AS last, true AS keep FROM s0 WHERE n = 1
+       UNION ALL SELECT s0.user_id, s0.n, s0.t, s0.x, CASE WHEN s0.t - last > 0.01 THEN s0.t ELSE last END, s0.t - last > 0.01
+       FROM ch JOIN s0 ON s0.user_id = ch.user_id AND s0.n = ch.n + 1),
+s AS (SELECT user_id, t, x FROM ch WHERE keep), g AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS gap FROM s),
+k AS (SELECT *, CASE WHEN gap >= 0.022 THEN greatest(CAST(floor(60 * gap - 0.6) AS INTEGER), 0) ELSE 0 END AS n FROM g)""", body="""
+SELECT user_id, sum(n)::BIGINT AS filled, count(*) AS seen, round(sum(x * (n + 1)), 4) AS held FROM k GROUP BY user_id""", recursive=True))
+def clean_tracks(spark, sf):
+    """Time is scaled down so that gaps lie around the frame rate."""
+    e = events(spark, sf).withColumn("t", F.unix_micros("ts") / 1e6 / 1200000)
+    c = to_table(spark, O.clean_tracks(e, "user_id", "ts", "t", ["value"], DELAY, "400 days"), "tracks")
+    return c.groupBy("user_id").agg(F.count_if(~F.col("mask")).alias("filled"), F.count_if("mask").alias("seen"), F.round(F.sum("value"), 4).alias("held"))
 
 
 @query("st08_parquet_sink", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")

@@ -1,14 +1,14 @@
 """Detectors, gates, blocks and segments as Structured Streaming state.
 
 The state of a key is what the batch kernels keep between chunks: a few numbers
-and, for windowed detectors, the last rows.  A micro-batch is sorted by the
-order column inside each key; across micro-batches the order is that of
-arrival, so rows that must be ordered by event time need a watermark first.
+and, for windowed detectors, the last rows.  Rows reach a kernel in event-time order:
+they wait until the watermark has passed them (see ``inorder``), so results do not
+depend on files, triggers or the order of arrival within the delay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,7 @@ import tidemark
 from tidemark import session
 from tidemark.operators import gates  # noqa: F401  (registers the gate kernels)
 from tidemark.operators.detectors import kernels
+from tidemark.streaming.inorder import TIME, InOrder
 
 NUMBERS = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))])
 
@@ -30,31 +31,26 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", session.STATE_STORE)
 
 
-def _frame(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    parts = [p for p in rows if len(p)]
-    if not parts:
-        return pd.DataFrame()
-    return pd.concat(parts, ignore_index=True).sort_values(order, kind="stable")
+class OnlineDetector(InOrder):
+    """One detector per key; gives the position, time and tie-breaking column of each alarm."""
 
+    def __init__(self, keys: list[str], tie: str, value: str, params: dict, kernel: type, slice_us: int):
+        super().__init__(keys, [(tie, "<i8"), (value, "<f8")], 2, slice_us)
+        self.tie, self.value, self.params, self.kernel = tie, value, params, kernel
 
-class OnlineDetector(StatefulProcessor):
-    """One detector per key; emits the position and the order value of each alarm."""
-
-    def __init__(self, key: str, order: list[str], value: str, params: dict, kernel: type):
-        self.key, self.order, self.value, self.params, self.kernel = key, order, value, params, kernel
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def start(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", NUMBERS)
         self.recent = handle.getValueState("recent", NUMBERS)
         self.seen = handle.getValueState("seen", NUMBERS)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        pdf = _frame(rows, self.order)
-        if len(pdf):
-            pdf = pdf[np.isfinite(pdf[self.value].to_numpy(dtype=float))]
-        if not len(pdf):
-            return
-        x = pdf[self.value].to_numpy(dtype=float)
+    def numbers(self, rows: np.ndarray) -> np.ndarray:
+        return rows[self.value]
+
+    def ready(self, rows: np.ndarray) -> pd.DataFrame | None:
+        x = self.numbers(rows)
+        rows, x = rows[np.isfinite(x)], x[np.isfinite(x)]
+        if not len(rows):
+            return None
         start = list(self.state.get()[0]) if self.state.exists() else self.kernel.cold(self.params)
         pre = np.array(self.recent.get()[0], dtype=float) if self.recent.exists() else x[:0]
         count, total = self.seen.get()[0] if self.seen.exists() else (0.0, 0.0)
@@ -64,130 +60,214 @@ class OnlineDetector(StatefulProcessor):
         self.state.update(([float(v) for v in stop],))
         self.recent.update(([float(v) for v in held],))
         self.seen.update(([float(count + len(x)), float(total + x.sum())],))
-        if len(hits):
-            yield pd.DataFrame({
-                self.key: key[0], "idx": (int(count) + hits).astype("int64"),
-                "at": pdf[self.order[-1]].to_numpy()[hits].astype("int64")})
+        hits = np.asarray(hits, dtype=np.int64)
+        return pd.DataFrame({"idx": int(count) + hits, "at": rows[self.tie][hits]})
+
+
+class OnlineGate(OnlineDetector):
+    """A gate over codes (twice the position plus the channel), counted from the first one so that they stay exact."""
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        super().start(handle)
+        self.origin = handle.getValueState("origin", "at bigint")
 
-    def close(self) -> None:
-        pass
+    def numbers(self, rows: np.ndarray) -> np.ndarray:
+        if not self.origin.exists():
+            self.origin.update((int(rows[self.tie][0]) // 2 * 2,))
+        return (rows[self.tie] - int(self.origin.get()[0])).astype(float)
 
 
-class CountBlocks(StatefulProcessor):
+class CountBlocks(InOrder):
     """Means of N consecutive rows per key; the unfinished block waits in the state."""
 
-    def __init__(self, key: str, order: list[str], value: str, size: int):
-        self.key, self.order, self.value, self.size = key, order, value, size
+    def __init__(self, keys: list[str], tie: str, value: str, size: int, slice_us: int):
+        super().__init__(keys, [(tie, "<i8"), (value, "<f8")], 2, slice_us)
+        self.value, self.size = value, size
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def start(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", NUMBERS)
         self.done = handle.getValueState("done", NUMBERS)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        pdf = _frame(rows, self.order)
-        if not len(pdf):
-            return
+    def ready(self, rows: np.ndarray) -> pd.DataFrame | None:
         waiting = list(self.open.get()[0]) if self.open.exists() else []
         first = int(self.done.get()[0][0]) if self.done.exists() else 0
-        x = np.concatenate([np.array(waiting, dtype=float), pdf[self.value].to_numpy(dtype=float)])
+        x = np.concatenate([np.array(waiting, dtype=float), rows[self.value]])
         whole = len(x) // self.size
         self.open.update(([float(v) for v in x[whole * self.size:]],))
         self.done.update(([float(first + whole)],))
-        if whole:
-            means = x[:whole * self.size].reshape(whole, self.size).mean(axis=1)
-            yield pd.DataFrame({self.key: key[0], "block": np.arange(first, first + whole, dtype="int64"), "block_mean": means})
+        if not whole:
+            return None
+        last = rows[TIME][np.arange(1, whole + 1) * self.size - len(waiting) - 1]
+        return pd.DataFrame({"block": np.arange(first, first + whole, dtype="int64"), "block_mean": x[:whole * self.size].reshape(whole, self.size).mean(axis=1),
+                             "closed": last.astype("int64")})
 
-    def close(self) -> None:
-        pass
 
+class PlaySegments(InOrder):
+    """Rows between an opening and a closing command, with the segment number.
 
-class PlaySegments(StatefulProcessor):
-    """Rows between an opening and a closing command, with the segment number."""
+    Commands change the state, so it is known between two changes: the last command of
+    all rows so far says whether play is open, and closings after an opening are counted.
+    """
 
-    def __init__(self, key: str, order: list[str], command: str, opening: list[int]):
-        self.key, self.order, self.command, self.opening = key, order, command, opening
+    def __init__(self, keys: list[str], tie: str, command: str, opening: list[int], slice_us: int):
+        super().__init__(keys, [(tie, "<i8"), (command, "<i8")], 2, slice_us)
+        self.tie, self.command, self.opening = tie, command, opening
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def start(self, handle: StatefulProcessorHandle) -> None:
         self.where = handle.getValueState("where", NUMBERS)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        pdf = _frame(rows, self.order)
-        if not len(pdf):
-            return
+    def ready(self, rows: np.ndarray) -> pd.DataFrame | None:
         active, stop = self.where.get()[0] if self.where.exists() else (0.0, 0.0)
-        out = []
-        for at, command in zip(pdf[self.order[-1]].to_numpy(), pdf[self.command].to_numpy()):
-            if command < 0:  # a detection
-                if active:
-                    out.append((int(at), int(stop)))
-            elif command in self.opening:
-                active = 1.0
-            elif active:
-                active, stop = 0.0, stop + 1
-        self.where.update(([float(active), float(stop)],))
-        if out:
-            yield pd.DataFrame({self.key: key[0], "at": [o[0] for o in out], "stop_id": [o[1] for o in out]})
-
-    def close(self) -> None:
-        pass
-
-
-def _transform(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    """Attach a processor; it is sent with its code, not by name.
+        command = rows[self.command]
+        at = np.flatnonzero(command >= 0)
+        after = np.isin(command[at], self.opening)  # play is open behind each command
+        closes = ~after & np.r_[bool(active), after][:-1]
+        seen = np.searchsorted(at, np.arange(len(rows)), "right")  # commands up to each row
+        is_open = np.r_[bool(active), after][seen]
+        stops = np.r_[0, np.cumsum(closes)][seen] + int(stop)
+        self.where.update(([float(np.r_[bool(active), after][-1]), float(int(stop) + closes.sum())],))
+        inside = (command < 0) & is_open
+        return pd.DataFrame({"at": rows[self.tie][inside], "stop_id": stops[inside].astype("int64")})
+
+
+class FirstRow(InOrder):
+    """The first row of a key by time and tie; a silent key is forgotten, and its next row counts as first again."""
+
+    def __init__(self, keys: list[str], tie: str, keep_us: int, slice_us: int):
+        super().__init__(keys, [(tie, "<i8")], 2, slice_us)
+        self.tie, self.keep_us = tie, keep_us
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at bigint")
+
+    def ready(self, rows: np.ndarray) -> pd.DataFrame | None:
+        last = self.last.get()[0] if self.last.exists() else None
+        new = np.diff(rows[TIME], prepend=rows[TIME][0] if last is None else last) > self.keep_us
+        new[0] |= last is None
+        self.last.update((int(rows[TIME][-1]),))
+        return pd.DataFrame({self.tie: rows[self.tie][new]})
+
+    def expiry(self) -> int | None:
+        return int(self.last.get()[0]) + self.keep_us if self.last.exists() else None
+
+    def forget(self) -> None:
+        self.last.clear()
+
+
+class CleanTrack(InOrder):
+    """A track at the frame rate: bursts are dropped, gaps are filled with the last values.
+
+    A row at most ``shortest`` seconds after the last kept row goes. A gap of ``longest`` or more
+    gets rows with mask false, as many as fit while the rest stays 0.6 frames long. After more than ``keep_us``
+    of silence a new track begins: nothing is filled, and the state of the key is let go.
+    """
+
+    def __init__(self, keys: list[str], time: str, values: list[str], limits: tuple[float, float, float], keep_us: int, slice_us: int):
+        super().__init__(keys, [(c, "<f8") for c in (time, *values)], 2 + len(values), slice_us)
+        self.time, self.values, self.limits, self.keep_us = time, values, limits, keep_us
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at bigint, v array<double>")
+
+    def ready(self, rows: np.ndarray) -> pd.DataFrame | None:
+        shortest, longest, rate = self.limits
+        names = [self.time, *self.values]
+        table, event = np.column_stack([rows[c] for c in names]), rows[TIME]
+        before = self.last.get() if self.last.exists() else None
+        if before is not None:
+            table, event = np.vstack([[before[1]], table]), np.r_[int(before[0]), event]
+        kept, last = [0], 0
+        clear = (np.diff(table[:, 0]) > shortest).tolist()
+        for i in range(1, len(table)):
+            if clear[i - 1] or table[i, 0] - table[last, 0] > shortest:
+                kept.append(i)
+                last = i
+        table, event = table[kept], event[kept]
+        self.last.update((int(event[-1]), [float(v) for v in table[-1]]))
+        gap = np.diff(table[:, 0])
+        fill = np.where((gap >= longest) & (np.diff(event) <= self.keep_us), np.maximum(np.floor(rate * gap - 0.6), 0), 0).astype(np.int64)
+        k = np.arange(fill.sum()) - np.repeat(np.cumsum(fill) - fill, fill) + 1
+        filled = np.repeat(table[:-1], fill, axis=0)
+        filled[:, 0] += k / rate
+        seen = table if before is None else table[1:]
+        out = pd.DataFrame(np.vstack([seen, filled]), columns=names)
+        out["mask"] = np.r_[np.ones(len(seen), bool), np.zeros(len(filled), bool)]
+        return out
+
+    def expiry(self) -> int | None:
+        return int(self.last.get()[0]) + self.keep_us if self.last.exists() else None
+
+    def forget(self) -> None:
+        self.last.clear()
+
+
+def _micros(length: str) -> int:
+    return int(pd.Timedelta(length).value // 1000)
+
+
+def _transform(df: DataFrame, keys: list[str], time: str, delay: str, columns: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    """Attach an ordered processor behind a watermark; it is sent with its code, not by name. Rows without a time have no place and go.
 
     The state schema is read in a helper process that does not see the files sent
     to the workers, so the processor must not need an import of this package.
     """
+    use_state_store(df.sparkSession)
     session.ship(df.sparkSession)
+    kinds = dict(df.dtypes)
+    timed = df.where(F.col(time).isNotNull()).withWatermark(time, delay).select(*keys, time, F.unix_micros(time).alias(TIME), *columns)
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     cloudpickle.register_pickle_by_value(tidemark)
     try:
-        return df.groupBy(key).transformWithStateInPandas(
-            statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+        return timed.groupBy(*keys).transformWithStateInPandas(
+            statefulProcessor=processor, outputStructType=f"{named}, {schema}", outputMode="Append", timeMode="EventTime")
     finally:
         cloudpickle.unregister_pickle_by_value(tidemark)
 
 
-def online_alarms(df: DataFrame, key: str, order: list[str], value: str, config: dict) -> DataFrame:
-    use_state_store(df.sparkSession)
-    kind = dict(df.dtypes)[key]
+def online_alarms(df: DataFrame, key: str, time: str, tie: str, value: str, config: dict, delay: str) -> DataFrame:
+    """Alarms of the rows that the watermark has passed, by (time, tie): the same as one batch pass over them."""
     params = {k: v for k, v in config.items() if not callable(v)}
     if config["detector"] == "recent_sample":
         params.setdefault("step", kernels.ks_critical_step(
             float(config["alpha"]), int(config["window_size"]), int(config["stat_size"])))
-    processor = OnlineDetector(key, order, value, params, kernels.DETECTORS[config["detector"]])
-    return _transform(df.select(key, *dict.fromkeys([*order, value])), key, processor,
-                      f"`{key}` {kind}, idx bigint, at bigint")
+    processor = OnlineDetector([key], tie, value, params, kernels.DETECTORS[config["detector"]], _micros(delay))
+    return _transform(df, [key], time, delay, [F.col(tie).cast("bigint").alias(tie), F.col(value).cast("double").alias(value)], processor, "idx bigint, at bigint")
 
 
-def online_gate(df: DataFrame, key: str, position: str, channel: str, width: int, debounce: int) -> DataFrame:
-    """Coincidence of two alarm channels that arrive as one stream."""
-    coded = df.withColumn("code", (F.col(position) * 2 + F.col(channel)).cast("double"))
-    return online_alarms(coded, key, ["code", position], "code", {"detector": "coincidence", "W": width, "debounce": debounce})
+def online_gate(df: DataFrame, key: str, time: str, position: str, channel: str, width: int, debounce: int, delay: str) -> DataFrame:
+    """Coincidence of two alarm channels that arrive as one stream, in order of (time, position, channel)."""
+    params = {"W": width, "debounce": debounce}
+    processor = OnlineGate([key], "code", "heard", params, kernels.DETECTORS["coincidence"], _micros(delay))
+    code = F.col(position).cast("bigint") * 2 + F.col(channel).cast("bigint")
+    alarms = _transform(df, [key], time, delay, [code.alias("code"), F.lit(0.0).alias("heard")], processor, "idx bigint, at bigint")
+    return alarms.withColumn("at", F.shiftright("at", 1))
 
 
-def count_blocks(df: DataFrame, key: str, order: list[str], value: str, size: int) -> DataFrame:
-    use_state_store(df.sparkSession)
-    kind = dict(df.dtypes)[key]
-    return _transform(df.select(key, *dict.fromkeys([*order, value])), key, CountBlocks(key, order, value, size),
-                      f"`{key}` {kind}, block bigint, block_mean double")
+def count_blocks(df: DataFrame, key: str, time: str, tie: str, value: str, size: int, delay: str) -> DataFrame:
+    """Block number, mean and the event time at which the block was full (microseconds)."""
+    columns = [F.col(tie).cast("bigint").alias(tie), F.col(value).cast("double").alias(value)]
+    return _transform(df, [key], time, delay, columns, CountBlocks([key], tie, value, size, _micros(delay)), "block bigint, block_mean double, closed bigint")
 
 
-def play_segments(df: DataFrame, key: str, order: list[str], command: str, opening: list[int]) -> DataFrame:
+def play_segments(df: DataFrame, key: str, time: str, tie: str, command: str, opening: list[int], delay: str) -> DataFrame:
     """``command`` is negative on detections and a referee command elsewhere."""
-    use_state_store(df.sparkSession)
-    kind = dict(df.dtypes)[key]
-    return _transform(df.select(key, *dict.fromkeys([*order, command])), key, PlaySegments(key, order, command, opening),
-                      f"`{key}` {kind}, at bigint, stop_id bigint")
+    columns = [F.col(tie).cast("bigint").alias(tie), F.col(command).cast("bigint").alias(command)]
+    return _transform(df, [key], time, delay, columns, PlaySegments([key], tie, command, opening, _micros(delay)), "at bigint, stop_id bigint")
+
 
+def first_detections(df: DataFrame, keys: list[str], time: str, tie: str, delay: str, keep: str) -> DataFrame:
+    """The earliest row of every key, appended once; a key silent for ``keep`` starts anew."""
+    return _transform(df, keys, time, delay, [F.col(tie).cast("bigint").alias(tie)], FirstRow(keys, tie, _micros(keep), _micros(delay)), f"`{tie}` bigint")
 
-def first_detections(df: DataFrame, time: str, keys: list[str], delay: str) -> DataFrame:
-    """The first row of a key wins; repeats within the watermark are dropped."""
-    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
+def clean_tracks(df: DataFrame, key: str, time: str, seconds: str, values: list[str], delay: str, keep: str) -> DataFrame:
+    """Tracks without bursts and gaps, as ``tracks.fill_gaps`` gives them, appended once the watermark has passed."""
+    from tidemark.operators.tracks import FRAME_RATE, LONGEST_STEP, SHORTEST_STEP
 
-def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The earliest row of every key in the given order; a late row that is earlier replaces the one kept."""
-    return df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first")).select(*keys, "_first.*")
+    names = [seconds, *values]
+    processor = CleanTrack([key], seconds, values, (SHORTEST_STEP, LONGEST_STEP, FRAME_RATE), _micros(keep), _micros(delay))
+    schema = ", ".join(f"`{c}` double" for c in names) + ", mask boolean"
+    return _transform(df, [key], time, delay, [F.col(c).cast("double").alias(c) for c in names], processor, schema)
 
 
 def window_counts(df: DataFrame, time: str, keys: list[str], value: str, length: str, delay: str) -> DataFrame:
