@@ -160,3 +160,24 @@ def test_two_sided_reacts_to_a_fall():
     hits, _ = kernels.TwoSidedHinkley.run(
         {"threshold": 5.0, "min_instances": 3}, kernels.TwoSidedHinkley.cold({}), x[:0], x, (0, 0))
     assert len(hits) and 40 <= hits[0] < 46
+
+
+def test_walked_chunks_cost_no_further_jobs(spark):
+    """The all-cuts window over 3 and over 30 chunks: equal alarms, equally many jobs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=3000) + (np.arange(3000) // 700) % 2
+    pdf = pd.DataFrame({"k": np.where(np.arange(3000) % 5 == 0, "a", "b"), "o": np.arange(3000), "v": x})
+    s = ordered.series(spark.createDataFrame(pdf), ["k"], ["o"])
+    configs = [{"cfg": f"b{d}{sm}", "detector": "bucket_window", "delta": d, "max_window": 600, "min_window": 40, "cooldown": 20,
+                **({"smoother": ("robz", {"w": 20})} if sm else {})} for d in (0.3, 0.01) for sm in (False, True)]
+    configs.append({"cfg": "s", "detector": "mean_split", "delta": 0.05, "max_window": 200, "min_window": 40, "cooldown": 20})
+    answers, jobs = [], []
+    for rows in (5000, 800, 80):
+        spark.sparkContext.setJobGroup(f"walk{rows}", "walk")
+        answers.append(sorted(tuple(r) for r in detect(s, "v", configs[:4], rows=rows).collect()))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"walk{rows}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert answers[0] == answers[1] == answers[2] and answers[0]
+    assert jobs[1] == jobs[2]
+    mixed = sorted(tuple(r) for r in detect(s, "v", configs, rows=300).collect())
+    assert mixed == sorted(tuple(r) for r in detect(s, "v", configs, rows=5000).collect())

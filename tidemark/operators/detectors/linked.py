@@ -5,8 +5,8 @@ detector over the rows just before the chunk.  The guesses are then compared
 with the true end states of the chunks in front.  Chunks whose guess was wrong
 run again from the true state until all links agree, so alarms equal those of
 one pass over the whole series while no task sees more than one chunk.  A chain
-of resets is sequential by nature: for detectors that never settle only the
-first open chunk of each series moves on per round.
+of resets is sequential by nature: detectors that never settle read the chunks of a
+series one after another in one task, which keeps a chunk and the state of the detector.
 """
 
 from __future__ import annotations
@@ -113,6 +113,10 @@ def detect(
                 .withColumnRenamed("_at", idx).select(*keys, "cfg", idx))
 
     chunks = max(1, math.ceil(s.longest / size))
+    walked = [c for c in configs if not c["_kernel"].settles]
+    if chunks > 1 and walked:
+        out, linked = _walk(s, value, walked, facts, size), [c for c in configs if c["_kernel"].settles]
+        return out.unionByName(detect(s, value, linked, facts, rows)) if linked else out
     source = s.df.select(*keys, idx, value, *facts)
     if chunks > 1:
         source = session.cut(source)
@@ -187,19 +191,12 @@ def detect(
             shown = pieces.join(todo.select(*group).distinct(), group, "left_semi")
         return shown.groupBy(*group).cogroup(todo.groupBy(*group)).applyInPandas(again, schema)
 
-    settles = {c["cfg"]: kernels.DETECTORS[c["detector"]].settles for c in configs}
-    stubborn = [n for n, ok in settles.items() if not ok]
     table = session.cut(run_tasks(tasks, False))
     while True:
         ends = table.select(*keys, "cfg", (F.col("_chunk") + 1).alias("_chunk"),
                             F.col("stop").alias("state"))
         wrong = table.join(ends, [*keys, "cfg", "_chunk"]).where(~_same(F.col("start"), F.col("state")))
-        w = Window.partitionBy(*keys, "cfg").orderBy("_chunk")
-        nth = F.row_number().over(w)
-        # without settling a later chunk cannot be right before the earlier one is
-        todo = wrong.withColumn("_nth", nth).where(
-            (F.col("_nth") == 1) | ~F.col("cfg").isin(stubborn or [""]))
-        todo = session.cut(todo.select(*keys, "cfg", "_chunk", "state"))
+        todo = session.cut(wrong.select(*keys, "cfg", "_chunk", "state"))
         if todo.isEmpty():
             break
         redo = run_tasks(todo.join(lead_of, [*keys, "_chunk", "cfg"]).select(
@@ -208,6 +205,58 @@ def detect(
     return table.select(*keys, "cfg", F.explode("hits").alias(idx))
 
 
+def _walk(s: Series, value: str, configs: list[dict], facts: list[str], size: int) -> DataFrame:
+    """Alarms of detectors that never settle, in one pass over the sorted chunks of every series.
+
+    The rows of a series and of a batch of configurations come to one task, sorted, as a
+    stream; it holds one chunk with the rows its smoothers need, and the states between chunks.
+    """
+    keys, idx = list(s.keys), s.idx
+    reach = [smoothing.reach(*_smoother(c)) for c in configs]
+    before, after = max(r[0] for r in reach), max(r[1] for r in reach)
+    source = s.df.select(*keys, idx, value, *facts)
+    ends = source.groupBy(*keys).agg(F.max(idx).alias("_end"))
+    pieces = with_halo(s.using(source.join(ends, keys)), before, after, size)
+    pieces = pieces.where(F.col("_chunk") <= F.floor(F.col("_end") / size))
+    want = max(1, math.ceil(2 * session.parallelism(s.spark) / max(1, s.count)))
+    batches = [list(b) for b in np.array_split(np.arange(len(configs)), min(want, len(configs)))]
+    pieces = pieces.withColumn("_batch", F.explode(F.array(*[F.lit(i) for i in range(len(batches))])))
+    names = {f.name: f.dataType.simpleString() for f in s.df.schema.fields}
+    group = [*keys, "_batch", "_chunk"]
+
+    def chunk_alarms(parts: list[pd.DataFrame], states: dict) -> pd.DataFrame:
+        pdf = pd.concat(parts, ignore_index=True)
+        piece, found = _Piece(pdf, idx, value, facts), []
+        for i in batches[int(pdf["_batch"].iloc[0])]:
+            state, lead = states.get(i, (None, (0.0, 0.0)))
+            _, x, _ = piece.signal(configs[i])
+            hits, _, stop = piece.run(configs[i], state, lead)
+            states[i] = (stop, (lead[0] + len(x), lead[1] + float(np.sum(x))))
+            found += [(configs[i]["cfg"], int(h)) for h in hits]
+        out = pd.DataFrame(found, columns=["cfg", idx])
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "cfg", idx]]
+
+    def walk(frames):
+        held, at, states = [], None, {}
+        for pdf in frames:
+            for _, part in pdf.groupby(group, sort=False, dropna=False):
+                here = [str(part[c].iloc[0]) for c in group]
+                if here != at:
+                    if held:
+                        yield chunk_alarms(held, states)
+                    if at is None or here[:-1] != at[:-1]:
+                        states = {}
+                    held, at = [], here
+                held.append(part)
+        if held:
+            yield chunk_alarms(held, states)
+
+    dealt = pieces.repartition(*[F.col(c) for c in group[:-1]]).sortWithinPartitions(*group, idx)
+    return dealt.mapInPandas(walk, ", ".join(f"`{k}` {names[k]}" for k in keys) + f", cfg string, `{idx}` bigint")
+
+
 def _bound(c: dict) -> dict:
     """The configuration with its kernels, as registered on the driver.
 
