@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import row_hash
+from tidemark.functions.hashing import POISSON_STEPS, PRIME, row_hash
 from tidemark.operators import sampling as M
 
 
@@ -67,3 +67,23 @@ def test_baseline_year_keeps_all_games(spark):
     df = spark.createDataFrame([(y, f"g{i}") for y in (1, 2) for i in range(6)], "year int, game string")
     n = {r["year"]: r["count"] for r in M.stratified_units(df, "year", "game", 2, [1]).groupBy("year").count().collect()}
     assert n == {1: 6, 2: 2}
+
+
+def test_replicate_sums_equal_a_loop(spark):
+    """Negative and huge ids, null ids, values and keys, several batches and early sends."""
+    rows = [(None if i % 50 == 9 else i * 7919 * (-1) ** i + (i % 3) * 2**60, None if i % 5 == 0 else f"k{i % 4}", None if i % 11 == 0 else i / 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, v double").repartition(3)
+    got = {(r["k"], r["rep"]): (r["n"], r["s"]) for r in M.replicate_sums(df, ["k"], F.col("id"), 30, {"s": F.col("v")}, 5).collect()}
+    want = {}
+    for i, k, v in rows:
+        for rep in range(5, 35) if i is not None else ():
+            i0 = i % PRIME
+            a = (i0 * 48271 + rep * 69621 + 12345) % PRIME
+            b = (a * a + a * 48271 + rep) % PRIME
+            n = sum((b * b + i0) % PRIME / PRIME >= step for step in POISSON_STEPS)
+            old = want.get((k, rep), (0, 0.0))
+            want[k, rep] = (old[0] + n, old[1] + n * (v or 0.0))
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == n and got[k][1] == pytest.approx(s, rel=1e-12, abs=1e-12) for k, (n, s) in want.items())
+    one = M.replicate_sums(df, [], F.col("id"), 7, {"s": F.col("v"), "t": F.lit(1)}).collect()
+    assert len(one) == 7 and all(r["t"] == r["n"] for r in one)

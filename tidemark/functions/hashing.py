@@ -7,7 +7,8 @@ stays below 2**63 whatever the size of an id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PRIME = 2147483647
@@ -32,16 +33,11 @@ def uniform(row_id: Column, rep: Column) -> Column:
     return ((b * b + i) % PRIME) / PRIME
 
 
-def with_uniform(df: DataFrame, row_id: Column, rep: Column, name: str) -> DataFrame:
-    """The same draw as a column, built in steps so that no step is repeated."""
-    i, r = F.pmod(row_id.cast("bigint"), F.lit(PRIME)), rep.cast("bigint")
-    a, b = F.col("_mix_a"), F.col("_mix_b")
-    return (
-        df.withColumn("_mix_a", (i * 48271 + r * 69621 + 12345) % PRIME)
-        .withColumn("_mix_b", (a * a + a * 48271 + r) % PRIME)
-        .withColumn(name, ((b * b + i) % PRIME) / PRIME)
-        .drop("_mix_a", "_mix_b")
-    )
+def uniform_array(row_id: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """The same draws for arrays; ids are given modulo the prime."""
+    a = (row_id * 48271 + rep * 69621 + 12345) % PRIME
+    b = (a * a + a * 48271 + rep) % PRIME
+    return ((b * b + row_id) % PRIME) / PRIME
 
 
 def uniform_sql(row_id: str, rep: str) -> str:
@@ -59,13 +55,5 @@ POISSON_STEPS = [
 ]
 
 
-def poisson(u: Column) -> Column:
-    """How often a row enters a bootstrap replicate."""
-    out = F.lit(0)
-    for step in POISSON_STEPS:
-        out = out + F.when(u >= step, 1).otherwise(0)
-    return out
-
-
 def poisson_sql(u: str) -> str:
     return "(" + " + ".join(f"CASE WHEN {u} >= {s} THEN 1 ELSE 0 END" for s in POISSON_STEPS) + ")"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import poisson, row_hash, uniform, with_uniform
+from tidemark import session
+from tidemark.functions.hashing import POISSON_STEPS, PRIME, row_hash, uniform, uniform_array
 from tidemark.operators.joins import small
 from tidemark.operators.quantiles import exact_quantiles
 
@@ -68,17 +71,59 @@ def game_folds(df: DataFrame, group: str, unit: str, fold: str = "A") -> DataFra
 def replicate_sums(
     df: DataFrame, keys: list[str], row_id: Column, reps: int, sums: dict[str, Column], first: int = 0
 ) -> DataFrame:
-    """Weighted sums per key and bootstrap replicate.
+    """Weighted sums per key and bootstrap replicate: ``n``, how many rows were drawn, and ``sums`` as doubles.
 
-    Each row meets every replicate in the scan stage; partial aggregation leaves
-    one row per key and replicate before anything is shuffled.
+    Rows are read once and never multiplied: every task draws for some rows and all replicates at a time and
+    keeps one vector of sums per key. These vectors are what is shuffled; replicates are added up
+    afterwards. Rows without an id are never drawn; a value that is null adds nothing.
     """
-    drawn = df.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(first + reps - 1))))
-    drawn = with_uniform(drawn, row_id, F.col("rep"), "_u")
-    # no filter on zero counts: it would be pushed below and repeat the whole draw
-    drawn = drawn.withColumn("_k", poisson(F.col("_u")))
-    return drawn.groupBy(*keys, "rep").agg(
-        F.sum("_k").alias("n"), *[F.sum(F.col("_k") * e).alias(n) for n, e in sums.items()])
+    names = list(sums)
+    rows = df.where(row_id.isNotNull()).select(
+        *keys, F.pmod(row_id.cast("bigint"), F.lit(PRIME)).alias("_id"),
+        *[F.coalesce(e.cast("double"), F.lit(0.0)).alias(f"_s{k}") for k, e in enumerate(sums.values())])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    lists = ["_n array<bigint>"] + [f"_s{k} array<double>" for k in range(len(names))]
+    # a row costs thousands of draws, so the few numbers of it are dealt to all tasks first
+    dealt = rows.repartition(session.parallelism(df.sparkSession), "_id")
+    parts = dealt.mapInPandas(_replicate_vectors(keys, len(names), reps, first), ", ".join([f"`{k}` {kinds[k]}" for k in keys] + lists))
+    zipped = F.posexplode(F.arrays_zip("_n", *[f"_s{k}" for k in range(len(names))])).alias("_at", "_v")
+    flat = parts.select(*keys, zipped).select(*keys, (F.col("_at") + first).alias("rep"), "_v.*")
+    return flat.groupBy(*keys, "rep").agg(F.sum("_n").alias("n"), *[F.sum(f"_s{k}").alias(n) for k, n in enumerate(names)])
+
+
+DRAWS, VECTORS = 1 << 20, 4 << 20  # draws made at once; numbers kept before vectors are sent on
+
+
+def _replicate_vectors(keys: list[str], width: int, reps: int, first: int):
+    columns = [f"_s{k}" for k in range(width)]
+
+    def rows_of(kept: dict) -> pd.DataFrame:
+        out = pd.DataFrame([k for k, _, _ in kept.values()], columns=keys) if keys else pd.DataFrame(index=range(len(kept)))
+        out["_n"] = [n for _, n, _ in kept.values()]
+        for c in range(width):
+            out[columns[c]] = [s[c] for _, _, s in kept.values()]
+        return out
+
+    def vectors(frames):
+        kept: dict = {}
+        rep = np.arange(first, first + reps, dtype=np.int64)
+        for pdf in frames:
+            for _, part in pdf.groupby(keys, sort=False, dropna=False) if keys else [(None, pdf)]:
+                key = [part[k].iloc[0] for k in keys]
+                _, n, s = kept.setdefault(str(key), (key, np.zeros(reps, np.int64), np.zeros((width, reps))))
+                ids, values = part["_id"].to_numpy(np.int64), part[columns].to_numpy(float)
+                step = max(1, DRAWS // reps)
+                for at in range(0, len(ids), step):
+                    drawn = np.searchsorted(POISSON_STEPS, uniform_array(ids[at:at + step, None], rep), "right")
+                    n += drawn.sum(axis=0)
+                    s += values[at:at + step].T @ drawn.astype(float)
+                if len(kept) * reps * (1 + width) > VECTORS:
+                    yield rows_of(kept)
+                    kept.clear()
+        if kept:
+            yield rows_of(kept)
+
+    return vectors
 
 
 def interval(reps: DataFrame, keys: list[str], stat: str, level: float = 0.95) -> DataFrame:

@@ -302,10 +302,10 @@ def game_folds(spark, sf):
     return M.game_folds(A.errors(spark, sf), "year", "match_id")
 
 
-REPS = 60
-BLOCK_REPS = 2000  # blocks are few, so the full number costs little
+REPS = BLOCK_REPS = 2000
 BOOT = f"""reps AS (SELECT unnest(range(0, {REPS})) AS rep),
-k AS (SELECT e.*, rep, {poisson_sql(uniform_sql('traj_id', 'rep'))} AS k FROM errors e, reps)"""
+u AS (SELECT year, ade_traj, rep, {uniform_sql('traj_id', 'rep')} AS u FROM errors, reps),
+k AS (SELECT *, {poisson_sql('u')} AS k FROM u)"""
 
 
 @query("smp06_bootstrap_mean", with_tables(A.ERRORS, BOOT, """
@@ -318,7 +318,7 @@ def bootstrap_mean(spark, sf):
 
 @query("smp07_weighted_bootstrap", with_tables(A.ERRORS, f"""
 w AS (SELECT traj_id, year, ade_traj, 1 + traj_id * 7919 % 101 / 25 AS w FROM errors), reps AS (SELECT unnest(range(0, {REPS})) AS rep),
-k AS (SELECT w.*, rep, {poisson_sql(uniform_sql('traj_id', 'rep'))} AS k FROM w, reps),
+u AS (SELECT w.*, rep, {uniform_sql('traj_id', 'rep')} AS u FROM w, reps), k AS (SELECT *, {poisson_sql('u')} AS k FROM u),
 b AS (SELECT rep, sum(k * ade_traj) / sum(k) AS base FROM k WHERE year = {A.BASE_YEAR} GROUP BY rep),
 r AS (SELECT year, rep, sum(k * ade_traj) / sum(k) AS m, sum(k * w * ade_traj) / sum(k * w) AS iw FROM k WHERE year > {A.BASE_YEAR} GROUP BY year, rep),
 s AS (SELECT year, iw, m - iw AS correction, CASE WHEN m - base > 1e-6 THEN (m - iw) / (m - base) * 100 END AS rec FROM r JOIN b USING (rep))""", body="""
