@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import POISSON_STEPS, PRIME, row_hash
+from tidemark.operators import ordered
 from tidemark.operators import sampling as M
 
 
@@ -87,3 +88,25 @@ def test_replicate_sums_equal_a_loop(spark):
     assert all(got[k][0] == n and got[k][1] == pytest.approx(s, rel=1e-12, abs=1e-12) for k, (n, s) in want.items())
     one = M.replicate_sums(df, [], F.col("id"), 7, {"s": F.col("v"), "t": F.lit(1)}).collect()
     assert len(one) == 7 and all(r["t"] == r["n"] for r in one)
+
+
+@pytest.mark.parametrize("scheme", ["full", "within", "blocks"])
+def test_permuted_positions_are_permutations(spark, scheme):
+    rows = [("ab"[i % 2], f"g{i // (7 + i % 2 * 9)}", i) for i in range(300)] + [("one", "g", 0)]
+    s = ordered.series(spark.createDataFrame(rows, "k string, g string, o long"), ["k"], ["o"], "at")
+    real = s.df.toPandas()
+    p = M.permuted(s, scheme, "g", 200).df.toPandas()
+    assert p.groupby(["k", "rep"])["at"].apply(lambda v: sorted(v) == list(range(len(v)))).all() and len(p) == 200 * len(real)
+    first = {key: v for key, v in real.groupby(["k", "g"])["at"].min().items()}
+    for (k, _), part in p.sort_values("at").groupby(["k", "rep"]):
+        if scheme != "full":
+            runs = (part["g"] != part["g"].shift()).sum()
+            assert runs == part["g"].nunique()
+        if scheme == "within":
+            assert part["g"].drop_duplicates().tolist() == sorted(part["g"].unique(), key=lambda g: first[k, g])
+        if scheme == "blocks":
+            assert all((np.diff(v) > 0).all() for _, v in part.groupby("g")["o"])
+    if scheme == "full":  # every row comes to every tenth of the series about equally often
+        a = p[p["k"] == "a"]
+        seen = np.histogram2d(a["o"], a["at"], bins=10)[0]
+        assert abs(seen / seen.mean() - 1).max() < 0.35

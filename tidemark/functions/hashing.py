@@ -8,7 +8,8 @@ stays below 2**63 whatever the size of an id.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 2147483647
@@ -47,6 +48,60 @@ def uniform_sql(row_id: str, rep: str) -> str:
     return f"((({b} * {b} + ({row_id}) % {p}) % {p}) / {p})"
 
 
+#: Rounds of a shuffle; every round sends about half of the positions to their partners.
+ROUNDS = 24
+
+
+def mixed(i: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """The whole number below the prime that ``uniform`` divides."""
+    i = i % PRIME
+    a = (i * 48271 + rep * 69621 + 12345) % PRIME
+    b = (a * a + a * 48271 + rep) % PRIME
+    return (b * b + i) % PRIME
+
+
+def mixed_sql(i: str, rep: str) -> str:
+    p = PRIME
+    a = f"((({i}) % {p} * 48271 + ({rep}) * 69621 + 12345) % {p})"
+    b = f"(({a} * {a} + {a} * 48271 + ({rep})) % {p})"
+    return f"(({b} * {b} + ({i}) % {p}) % {p})"
+
+
+def shuffled_array(place: np.ndarray, size: np.ndarray, start: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """A bijection of the places 0 .. size - 1 for each ``start`` and replicate, computed place by place without a sort.
+
+    In every round a place x has the partner (k - x) mod size, k being a draw of the round; one bit, drawn for the larger
+    of the two, says whether both swap.
+    """
+    x = place
+    for r in range(ROUNDS):
+        y = (mixed(start * ROUNDS + r, rep * 2 + 1) - x) % size
+        swap = mixed((start + np.maximum(x, y)) * ROUNDS + r, rep * 2)
+        x = np.where(swap // 1024 % 2 == 1, y, x)
+    return x
+
+
+def shuffled(df: DataFrame, place: str, size: str, start: str, rep: str, into: str) -> DataFrame:
+    """The same bijection as a column, in Arrow batches."""
+
+    @F.pandas_udf("long")
+    def places(p: pd.Series, n: pd.Series, s: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series(shuffled_array(*(c.to_numpy(np.int64) for c in (p, n, s, r))))
+
+    return df.withColumn(into, places(place, size, start, rep))
+
+
+def shuffled_sql(source: str, name: str, place: str, size: str, start: str, rep: str, into: str) -> str:
+    """The same as a chain of common table expressions ending in ``name``."""
+    steps = [f"{name}_0 AS (SELECT *, {place} AS x_ FROM {source})"]
+    for r in range(ROUNDS):
+        k = mixed_sql(f"({start}) * {ROUNDS} + {r}", f"({rep}) * 2 + 1")
+        swap = mixed_sql(f"(({start}) + greatest(x_, y_)) * {ROUNDS} + {r}", f"({rep}) * 2")
+        steps.append(f"{name}_{r + 1} AS (SELECT * EXCLUDE (x_, y_), CASE WHEN {swap} // 1024 % 2 = 1 THEN y_ ELSE x_ END AS x_ "
+                     f"FROM (SELECT *, (({k} - x_) % ({size}) + ({size})) % ({size}) AS y_ FROM {name}_{r}))")
+    return ", ".join([*steps, f"{name} AS (SELECT * EXCLUDE (x_), x_ AS {into} FROM {name}_{ROUNDS})"])
+
+
 # fixed values: cumulative probabilities of a Poisson variable with mean one, down to the resolution of a draw
 POISSON_STEPS = [
     0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.functions.hashing import POISSON_STEPS, PRIME, row_hash, uniform, uniform_array
+from tidemark.functions.hashing import POISSON_STEPS, PRIME, row_hash, shuffled, uniform, uniform_array
 from tidemark.operators.joins import small
+from tidemark.operators.ordered import Series, series
 from tidemark.operators.quantiles import exact_quantiles
 
 RANGE = float(1 << 32)
@@ -206,16 +207,41 @@ def line_band(fits: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
     return mean.join(interval(at, [*keys, "x"], "pred"), [*keys, "x"])
 
 
-def permutation_key(scheme: str, block: str, idx: str, row_id: str, rep: Column) -> list[Column]:
-    """Sort keys that put a series into a permuted order for a replicate."""
-    mix = lambda c: uniform(c, rep)
+def permuted(s: Series, scheme: str, block: str, reps: int) -> Series:
+    """Every series in ``reps`` permuted orders: the keys and ``rep`` are the new keys.
+
+    Positions come from a bijection, so nothing is sorted but the blocks, which are few beside their rows.
+    ``full`` permutes all rows, ``within`` the rows of each block, ``blocks`` whole blocks, which keep their inner order.
+    A block's rows stand together afterwards, blocks by their first row.
+    """
+    keys, idx = s.keys, s.idx
+    replicates = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
     if scheme == "full":
-        return [mix(F.col(row_id)), F.col(row_id)]
-    if scheme == "within":
-        return [F.col(block).cast("string"), mix(F.col(row_id)), F.col(row_id)]
-    if scheme == "blocks":
-        return [mix(row_hash(block)), F.col(block).cast("string"), F.col(idx)]
-    raise ValueError(f"unknown scheme {scheme}")
+        sizes = s.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        rows = s.df.join(small(sizes), keys).withColumn("_start", F.lit(0).cast("long")).select("*", replicates)
+        out = shuffled(rows, idx, "_n", "_start", "rep", "_new").drop("_n", "_start")
+    elif scheme in ("within", "blocks"):
+        inner = series(s.df, [*keys, block], [idx], "_offset")
+        found = inner.df.groupBy(*keys, block).agg(F.min(idx).alias("_first"), F.count(F.lit(1)).alias("_m"))
+        order = Window.partitionBy(*keys).orderBy("_first")
+        whole = Window.partitionBy(*keys)
+        blocks = found.select(*keys, F.col(block), "_m", (F.row_number().over(order) - 1).cast("long").alias("_rank"),
+                              F.count(F.lit(1)).over(whole).alias("_n"),
+                              F.coalesce(F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+        if scheme == "within":
+            rows = inner.df.join(small(blocks), [*keys, block]).select("*", replicates)
+            out = shuffled(rows, "_offset", "_m", "_start", "rep", "_new").withColumn("_new", F.col("_new") + F.col("_start"))
+        else:
+            moved = shuffled(blocks.withColumn("_zero", F.lit(0).cast("long")).select("*", replicates), "_rank", "_n", "_zero", "rep", "_turn")
+            turn = Window.partitionBy(*keys, "rep").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)
+            begins = moved.select(*keys, block, "rep", F.coalesce(F.sum("_m").over(turn), F.lit(0)).alias("_begin"))
+            lists = begins.groupBy(*keys, block).agg(F.collect_list(F.struct("rep", "_begin")).alias("_reps"))  # reps entries each
+            out = inner.df.join(small(lists), [*keys, block]).select("*", F.inline("_reps")).withColumn("_new", F.col("_begin") + F.col("_offset"))
+        out = out.drop("_offset", "_m", "_rank", "_n", "_start", "_begin", "_reps")
+    else:
+        raise ValueError(f"unknown scheme {scheme}")
+    return Series(out.drop(idx).withColumnRenamed("_new", idx), [*keys, "rep"], idx, s.count * reps, s.longest)
+
 
 
 def weighted_draws(df: DataFrame, weight: str, order: str, draws: int, rep: int = 0) -> DataFrame:

@@ -14,7 +14,7 @@ from tidemark.operators.evaluate import evaluate, games_per_period, latency, wit
 from tidemark.operators.ordered import Series, series
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.rankings import winners
-from tidemark.operators.sampling import game_folds, permutation_key
+from tidemark.operators.sampling import game_folds, permuted
 
 
 def fold_streams(df: DataFrame, keys: list[str], fold: str, order: list[str], period="year", game="match_id") -> dict[str, Series]:
@@ -60,7 +60,7 @@ def stored_alarms(s: Series, value: str, stored: DataFrame, text: str, smoother)
 
 
 def permutation_null(
-    df: DataFrame, keys: list[str], value: str, config: dict, reps: int, scheme: str, block: str, row_id: str, order: list[str],
+    df: DataFrame, keys: list[str], value: str, config: dict, reps: int, scheme: str, block: str, order: list[str],
 ) -> DataFrame:
     """Alarm counts of permuted series against the observed count, per series.
 
@@ -68,14 +68,7 @@ def permutation_null(
     """
     real = series(df, keys, order)
     observed = detect(real, value, [config]).groupBy(*keys).agg(F.count(F.lit(1)).alias("k_obs"))
-    drawn = real.df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    sort = permutation_key(scheme, block, real.idx, row_id, F.col("rep"))
-    names = [f"_k{i}" for i in range(len(sort))]
-    drawn = drawn.drop(real.idx) if scheme != "blocks" else drawn.withColumnRenamed(real.idx, "_old")
-    sort = permutation_key(scheme, block, "_old", row_id, F.col("rep")) if scheme == "blocks" else sort
-    drawn = drawn.withColumns(dict(zip(names, sort)))
-    shuffled = series(drawn, [*keys, "rep"], names)
-    counts = detect(shuffled, value, [config]).groupBy(*keys, "rep").agg(F.count(F.lit(1)).alias("k"))
+    counts = detect(permuted(real, scheme, block, reps), value, [config]).groupBy(*keys, "rep").agg(F.count(F.lit(1)).alias("k"))
     every = df.select(*keys).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     counts = every.join(counts, [*keys, "rep"], "left").join(observed, keys, "left").fillna(0, ["k", "k_obs"])
     q = exact_quantiles(counts, keys, "k", [0.05, 0.5, 0.95])

@@ -442,7 +442,7 @@ def permutation_null(spark, sf):
     out = None
     base = A.errors(spark, sf).where(F.col("year") == BASE)
     for scheme in ("blocks", "within", "full"):
-        part = S.permutation_null(base, ["model"], "ade_traj", split_config("s"), 20, scheme, "match_id", "traj_id", ORDER)
+        part = S.permutation_null(base, ["model"], "ade_traj", split_config("s"), 200, scheme, "match_id", ORDER)
         out = part if out is None else out.unionByName(part)
     return G.rounded(out, "k_mean", "k_p5", "k_median", "k_p95", "p_value")
 

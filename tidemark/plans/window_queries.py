@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import poisson_sql, row_hash_sql, uniform_sql
+from tidemark.functions.hashing import poisson_sql, row_hash_sql, shuffled_sql, uniform_sql
 from tidemark.functions.metrics import smoothed_snr, year_coverage, far_per_1k
 from tidemark.functions.smoothing import polynomial_weights
 from tidemark.operators import aggregates as G
@@ -363,21 +363,29 @@ def line_band(spark, sf):
     return G.rounded(M.line_band(fits, [], grid), "mean", "lo", "hi", digits=5)
 
 
-@query("smp10_permuted_order", with_tables(A.ERRORS, A.STREAM, f"""
-base AS (SELECT model, match_id, idx, traj_id FROM stream WHERE year = {A.BASE_YEAR}), r AS (SELECT unnest(range(0, 3)) AS rep),
-f AS (SELECT 'full' AS scheme, model, rep, traj_id, row_number() OVER (PARTITION BY model, rep ORDER BY {uniform_sql('traj_id', 'rep')}, traj_id) - 1 AS pos FROM base, r),
-w AS (SELECT 'within' AS scheme, model, rep, traj_id, row_number() OVER (PARTITION BY model, rep ORDER BY match_id, {uniform_sql('traj_id', 'rep')}, traj_id) - 1 AS pos FROM base, r),
-b AS (SELECT 'blocks' AS scheme, model, rep, traj_id, row_number() OVER (PARTITION BY model, rep ORDER BY
-      {uniform_sql(row_hash_sql('match_id', "'42'"), 'rep')}, match_id, idx) - 1 AS pos FROM base, r)""", body="""
-SELECT scheme, model, CAST(rep AS INTEGER) AS rep, traj_id, pos FROM (SELECT * FROM f UNION ALL SELECT * FROM w UNION ALL SELECT * FROM b)"""))
+PERMUTED = 3
+ROWS = f"""base AS (SELECT model, match_id, traj_id, row_number() OVER (PARTITION BY model ORDER BY idx) - 1 AS idx FROM stream WHERE year = {A.BASE_YEAR}),
+r AS (SELECT unnest(range(0, {PERMUTED})) AS rep),
+b AS (SELECT *, row_number() OVER (PARTITION BY model, match_id ORDER BY idx) - 1 AS o, count(*) OVER (PARTITION BY model) AS n FROM base),
+bl AS (SELECT model, match_id, count(*) AS m, min(idx) AS first FROM base GROUP BY ALL),
+bk AS (SELECT model, match_id, m, row_number() OVER w - 1 AS rank, count(*) OVER (PARTITION BY model) AS nb,
+              coalesce(sum(m) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM bl WINDOW w AS (PARTITION BY model ORDER BY first)),
+f0 AS (SELECT * FROM b, r), w0 AS (SELECT b.*, m, start, rep FROM b JOIN bk USING (model, match_id), r), k0 AS (SELECT * FROM bk, r)"""
+
+
+@query("smp10_permuted_order", with_tables(
+    A.ERRORS, A.STREAM, ROWS, shuffled_sql("f0", "f", "idx", "n", "0", "rep", "pos"), shuffled_sql("w0", "w", "o", "m", "start", "rep", "turn"),
+    shuffled_sql("k0", "k", "rank", "nb", "0", "rep", "turn"),
+    "kb AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY model, rep ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start2 FROM k)", body="""
+SELECT 'full' AS scheme, model, CAST(rep AS INTEGER) AS rep, traj_id, pos FROM f
+UNION ALL SELECT 'within', model, CAST(rep AS INTEGER), traj_id, start + turn FROM w
+UNION ALL SELECT 'blocks', b.model, CAST(rep AS INTEGER), traj_id, start2 + o FROM b JOIN kb USING (model, match_id)"""))
 def permuted_order(spark, sf):
-    out = None
-    base = A.stream(spark, sf).df.where(F.col("year") == A.BASE_YEAR).select("model", "match_id", "idx", "traj_id")
-    base = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    base = A.stream(spark, sf).df.where(F.col("year") == A.BASE_YEAR).select("model", "match_id", F.col("idx").alias("at"), "traj_id")
+    s, out = series(base, ["model"], ["at"]), None
     for scheme in ("full", "within", "blocks"):
-        keyed = base.withColumns({f"_k{i}": c for i, c in enumerate(M.permutation_key(scheme, "match_id", "idx", "traj_id", F.col("rep")))})
-        s = series(keyed, ["model", "rep"], ["_k0", "_k1", *(["_k2"] if "_k2" in keyed.columns else [])], "pos")
-        part = s.df.select(F.lit(scheme).alias("scheme"), "model", "rep", "traj_id", "pos")
+        p = M.permuted(s, scheme, "match_id", PERMUTED)
+        part = p.df.select(F.lit(scheme).alias("scheme"), "model", "rep", "traj_id", F.col(p.idx).alias("pos"))
         out = part if out is None else out.unionByName(part)
     return out
 
