@@ -58,3 +58,17 @@ def attach_salted(df: DataFrame, side: DataFrame, on: list[str], spread: Column,
     left = df.withColumn("_salt", F.pmod(F.xxhash64(spread, F.lit("salt")), F.lit(salts)).cast("int"))
     right = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def numbered(counted: DataFrame, piece: int = 1024) -> DataFrame:
+    """One row per counted row: a table with ``n`` becomes n rows each, numbered by ``ordinal`` from 0.
+
+    Equal rows are told apart by their number alone, so the result does not depend on the order of
+    rows. Groups above ``piece`` rows are dealt to all tasks in pieces.
+    """
+    names = counted.columns
+    small = counted.where(F.col("n") <= piece).withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cut = counted.where(F.col("n") > piece).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {piece}"))))
+    first = F.col("_piece") * piece
+    large = cut.repartition(*names, "_piece").withColumn("ordinal", F.explode(F.sequence(first, F.least(first + piece, "n") - 1)))
+    return small.unionByName(large.drop("_piece"))

@@ -6,8 +6,9 @@ rebalancing writes a new version that moves only the slots a too full shard has
 to give up, so records are never hashed anew.
 
 Defined results: a null text has no bytes (size 1); null ids are hashed by the
-checksum of the text; repeated rows are placed together and numbered one by one;
-an empty table gives no rows and an even map; other columns stay as they are.
+checksum of the text; rows equal in id and checksum are dealt one by one, in
+``shard_table`` always, in ``shard_documents`` where together they outweigh an even
+slot; an empty table gives no rows and an even map; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import numbered, stored
 
 SLOTS = 4096
 SHARDS = 8
@@ -110,20 +111,44 @@ def number(placed: DataFrame, maps: DataFrame, load: DataFrame, version: int, or
     return placed.join(F.broadcast(starts), "vslot").withColumn("slot", F.col("_start") + F.row_number().over(own) - 1).drop("_start")
 
 
+def heavy_keys(rows: DataFrame, slots: int) -> DataFrame:
+    """Hashes of (doc_id, checksum) whose equal rows hold more bytes than an even slot: fewer than ``slots`` of them."""
+    per = rows.groupBy("doc_id", "_crc").agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
+    per = stored(per, "shard-equal")
+    share = per.agg(F.sum("_bytes")).select((F.col("sum(_bytes)") / slots).alias("_share"))
+    return stored(per.where("_n > 1").join(F.broadcast(share), F.col("_bytes") > F.col("_share")).select(
+        F.xxhash64("doc_id", "_crc").alias("_key")).distinct(), "shard-heavy")
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Documents with ``shard`` and ``vslot``; the texts are not shuffled."""
+    """Documents with ``shard`` and ``vslot``; the texts are not shuffled.
+
+    Rows of a heavy group of equal rows are told apart by their place in the table.
+    """
     clean = docs.drop("vslot", "shard")  # columns of these names are replaced
-    slot = slot_of(slots, F.col("doc_id"), text_crc())
-    maps, _ = slot_maps(clean, slot, text_size(), slots, shards)
-    return place(clean, slot, maps, 1).select(*clean.columns, "shard", "vslot")
+    place_ = F.monotonically_increasing_id()
+    rows = stored(clean.select("doc_id", text_crc().alias("_crc"), text_size().alias("_size"), place_.alias("_place")), "shard-rows")
+    heavy = heavy_keys(rows, slots).withColumn("_own", F.lit(True))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("_key", F.xxhash64("doc_id", "_crc")).join(F.broadcast(heavy), "_key", "left").drop("_key")
+
+    slot = F.when(F.col("_own"), slot_of(slots, F.col("doc_id"), F.col("_crc"), F.col("_place"))).otherwise(
+        slot_of(slots, F.col("doc_id"), F.col("_crc")))
+    maps, _ = slot_maps(dealt(rows), slot, F.col("_size"), slots, shards)
+    marked = clean.withColumns({"_crc": text_crc(), "_place": place_})
+    return place(dealt(marked), slot, maps, 1).select(*clean.columns, "shard", "vslot")
 
 
 def shard_table(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """One row per document: sizes near equal over the shards (law ``bytes``)."""
-    rows = docs.select("doc_id", text_size().alias("size"), text_crc().alias("text_crc32"))
-    slot = slot_of(slots, F.col("doc_id"), F.col("text_crc32"))
+    key = docs.select("doc_id", text_size().alias("size"), text_crc().alias("text_crc32"))
+    counted = stored(key.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), "shard-equal")
+    rows = stored(numbered(counted).drop("n"), "shard-rows")
+    slot = F.when(F.col("ordinal") == 0, slot_of(slots, F.col("doc_id"), F.col("text_crc32"))).otherwise(
+        slot_of(slots, F.col("doc_id"), F.col("text_crc32"), F.col("ordinal")))
     maps, load = slot_maps(rows, slot, F.col("size"), slots, shards)
-    out = number(place(rows, slot, maps, 1), maps, load, 1, ["doc_id", "text_crc32"])
+    out = number(place(rows, slot, maps, 1), maps, load, 1, ["doc_id", "text_crc32", "size", "ordinal"])
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "vslot")
