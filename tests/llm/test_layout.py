@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, sharding, url_filter
+from tidemark.llm import chat, common, mixing, sharding, url_filter
 
 
 def table(spark, sf, name):
@@ -34,6 +34,53 @@ def test_shards_of_messy_and_empty_tables(messy, nothing):
     assert sharding.shard_table(nothing).count() == 0
 
 
+def repeated(spark, null_ids=False):
+    """A third of all rows is one row, in a source of its own or with null ids everywhere there."""
+    rows = [(None if null_ids else 7, "one two three four five six seven eight nine ten", "hot")] * 2000
+    rows += [(100 + i, "w " * (1 + i % 20), "abc"[i % 3]) for i in range(4000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    for null_ids in (False, True):
+        docs = repeated(spark, null_ids)
+        rows = sharding.shard_table(docs).collect()
+        load, slots = Counter(), defaultdict(list)
+        for r in rows:
+            load[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        assert len(rows) == 6000 and len(load) == 8 and max(load.values()) - min(load.values()) <= max(r["size"] for r in rows)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        whole = Counter()
+        for r in sharding.shard_documents(docs).collect():
+            whole[r["shard"]] += len(r["text"].encode()) + 1
+        assert sum(whole.values()) == sum(load.values()) and max(whole.values()) <= 1.02 * min(whole.values())
+
+
+def test_repeated_rows_meet_the_targets_of_a_mix(spark):
+    for null_ids in (False, True):
+        docs = repeated(spark, null_ids)
+        rows = mixing.mix_table(docs).collect()
+        source = {100 + i: "abc"[i % 3] for i in range(4000)}
+        taken, target = Counter(), {}
+        for r in rows:
+            taken[source.get(r["doc_id"], "hot")] += r["taken"]
+            target[source.get(r["doc_id"], "hot")] = r["target"]
+            assert r["taken"] <= 3 * r["size"]
+        assert len(rows) == 6000 and all(abs(taken[s] - target[s]) <= 20 for s in target)
+        mixed = Counter()
+        for r in mixing.mixed_documents(docs).collect():
+            mixed[r["source"]] += len(r["text"].split())
+        assert all(abs(mixed[s] - target[s]) <= 20 for s in target)
+        assert Counter(map(tuple, rows)) == Counter(map(tuple, mixing.mix_table(docs.repartition(5)).collect()))
+
+
+def test_counted_rows_come_back_one_by_one(spark):
+    counted = spark.createDataFrame([(1, 1), (2, 3), (None, 2500), (4, 1024), (5, 1025)], "k long, n long")
+    rows = [(r["k"], r["ordinal"]) for r in common.numbered(counted).collect()]
+    assert sorted(rows, key=str) == sorted(((k, i) for k, n in ((1, 1), (2, 3), (None, 2500), (4, 1024), (5, 1025)) for i in range(n)), key=str)
+
+
 def test_rebalancing_moves_little_and_grows(spark):
     load = spark.createDataFrame([(i, 10 + i % 7, 1) for i in range(64)], "vslot int, bytes long, rows long")
     first = sharding.first_map(spark, 64, 4)

@@ -13,7 +13,10 @@ one document of the target instead of within a random error.
 
 Defined results: a null text has size 0; a null source is a source of its own, last
 in order; documents without words follow their rate of 1; sources without words
-have target 0; repeated rows share one draw; an empty table gives no rows.
+have target 0; an empty table gives no rows. Rows equal in doc_id, source and size
+(repeated rows, null ids) get draws of their own: in ``mix_table`` evenly spaced ones by
+their number, in ``mixed_documents`` by their place in the table where they outweigh a
+4,096th of their source, so that no group of equal rows moves as one block.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, fits, stored, unit, words
+from tidemark.llm.common import attach, attach_salted, fits, numbered, stored, unit, words
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -30,6 +33,8 @@ STEPS = 40
 TOLERANCE = 1e-3
 GRID = (-32.0, -16.0, -8.0, -4.0, -2.0, -1.0, -0.5, -0.25, 0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 BETWEEN = 7
+#: Equal rows of more than this share of their source are drawn row by row.
+HEAVY = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -142,18 +147,19 @@ def cuts(measured: DataFrame, rates: DataFrame, cap: int = CAP) -> DataFrame:
     return attach(rates, cut, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("cut", F.coalesce("cut", F.lit(-1)))
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One stored row per source: source_size, target, lam, scale, cut."""
-    measured = stored(docs.select("source", words("text").alias("size"), unit("doc_id").alias("_u")), "mix-sizes")
+def plan(measured: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """One stored row per source (source_size, target, lam, scale, cut) from stored rows (source, size, _u)."""
     sizes = stored(measured.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
     targets = stored(source_targets(sizes, weights, cap), "mix-targets")
     return stored(cuts(measured, solve(sizes, targets, cap), cap), "mix-plan")
 
 
-def mix(docs: DataFrame, planned: DataFrame, cap: int = CAP) -> DataFrame:
-    """docs with size, source_size, target, rate and copies; nothing is shuffled when the plan is small."""
-    names = docs.columns
-    sized = docs.select(*names, words("text").alias("_size"), unit("doc_id").alias("_u"))
+def mix(sized: DataFrame, planned: DataFrame, cap: int = CAP) -> DataFrame:
+    """Rows with ``_size`` and ``_u``: the other columns, _size, _source_size, _target, _rate and _copies.
+
+    Nothing is shuffled when the plan is small.
+    """
+    names = [c for c in sized.columns if c not in ("_size", "_u")]
     side = planned.select(*[F.col(c).alias(f"_p_{c}") for c in planned.columns])
     out = attach(sized, side, F.col("source").eqNullSafe(F.col("_p_source")))
     rate, whole, place = _copies(F.col("_p_lam"), F.col("_p_scale"), F.col("_size"), F.col("_u"), cap)
@@ -163,14 +169,44 @@ def mix(docs: DataFrame, planned: DataFrame, cap: int = CAP) -> DataFrame:
         rate.alias("_rate"), copies.alias("_copies"))
 
 
+def counted_rows(sized: DataFrame) -> DataFrame:
+    """(doc_id, source, size, n) of rows with ``size``: how many are equal in the three columns."""
+    return stored(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-equal")
+
+
+def heavy_rows(counted: DataFrame) -> DataFrame:
+    """Keys (by hash) of equal rows that hold more than 1/HEAVY of the words of their source."""
+    per = counted.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / HEAVY).alias("_share")).withColumnRenamed("source", "_s")
+    repeated = counted.where("n > 1").join(per, F.col("source").eqNullSafe(F.col("_s")))
+    return stored(repeated.where(F.col("size") * F.col("n") > F.col("_share")).select(
+        F.xxhash64("doc_id", "source", "size").alias("_key"), F.lit(True).alias("_own")).distinct(), "mix-heavy")
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The columns of docs, each row as often as the mix takes it."""
-    out = mix(docs, plan(docs, weights, cap), cap)
+    """The columns of docs, each row as often as the mix takes it.
+
+    Reruns agree when the table is read in the same splits; else only the draws of heavy equal rows move.
+    """
+    place = F.monotonically_increasing_id()
+    narrow = stored(docs.select("doc_id", "source", words("text").alias("size"), place.alias("_place")), "mix-rows")
+    heavy = heavy_rows(counted_rows(narrow))
+
+    def drawn(rows: DataFrame, size: str) -> DataFrame:
+        keyed = rows.withColumn("_key", F.xxhash64("doc_id", "source", size))
+        out = attach_salted(keyed, heavy, ["_key"], F.col("_place"), "left")
+        return out.withColumn("_u", F.when(F.col("_own"), unit("doc_id", "_place")).otherwise(unit("doc_id"))).drop("_key", "_own", "_place")
+
+    planned = plan(stored(drawn(narrow, "size").select("source", "size", "_u"), "mix-sizes"), weights, cap)
+    sized = docs.withColumns({"_size": words("text"), "_place": place})
+    out = mix(drawn(sized, "_size"), planned, cap)
     return out.where("_copies > 0").withColumn("_one", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def mix_table(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    narrow = docs.select("doc_id", "source", "text")
-    return mix(narrow, plan(narrow, weights, cap), cap).select(
+    """One row per document with the words the mix takes; equal rows share out evenly spaced draws."""
+    rows = numbered(counted_rows(docs.select("doc_id", "source", words("text").alias("size"))))
+    spaced = F.pmod(unit("doc_id") + F.col("ordinal") / F.col("n"), F.lit(1.0))
+    rows = stored(rows.select("doc_id", "source", "size", spaced.alias("_u")), "mix-sizes")
+    return mix(rows.withColumnRenamed("size", "_size"), plan(rows, weights, cap), cap).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         (F.col("_size") * F.col("_copies")).cast("long").alias("taken"), F.col("_copies").alias("copies"), F.col("_rate").alias("rate"))
