@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import changepoint as C
 from tidemark.operators import ratio as R
@@ -123,9 +124,41 @@ def test_self_test_changes_little(spark):
     assert abs(r["delta"]) < 0.3 and 0 < r["ess_ratio"] <= 1 and r["calibrated"]
 
 
+def dense_auc(base, target, held):
+    """Fit by plain Newton steps on the rows not held out, area by comparing all held-out pairs."""
+    x, y = np.vstack([base[FEATURES], target[FEATURES]]), np.r_[np.zeros(len(base)), np.ones(len(target))]
+    x = np.column_stack([np.ones(len(x)), (x - x.mean(0)) / x.std(0)])
+    beta, pen = np.zeros(3), np.array([0.0, 1.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x[~held] @ beta))
+        beta -= np.linalg.solve((x[~held] * (p * (1 - p))[:, None]).T @ x[~held] + np.diag(pen), x[~held].T @ (p - y[~held]) + pen * beta)
+    z = x[held] @ beta
+    a, b = z[y[held] == 0], z[y[held] == 1]
+    return ((a[:, None] < b).mean() + (a[:, None] == b).mean() / 2)
+
+
+def hashes(spark, ids, side):
+    got = spark.createDataFrame([(int(i),) for i in ids], "id long").select("id", F.xxhash64(F.lit(42), F.lit(side), "id").alias("h")).toPandas()
+    return got.set_index("id").loc[list(ids)]["h"].to_numpy().view(np.uint64)
+
+
 def test_classifier_tells_samples_apart(spark):
-    _, _, db, dt = two_samples(spark, 300, 1.5)
-    r = R.two_sample_classifier(db, dt, "p", FEATURES, "id", permutations=16).first()
-    assert r["auc"] > 0.75 and r["p_value"] == 0.0 and r["n_permut"] == 16
+    base, target, db, dt = two_samples(spark, 300, 1.5)
+    r = R.two_sample_classifier(db, dt, "p", FEATURES, "id", permutations=50).first()
+    held = R._draws(np.r_[hashes(spark, base["id"], 0), hashes(spark, target["id"], 1)], 1) < R.HELD_OUT
+    assert r["auc"] == pytest.approx(dense_auc(base, target, held), abs=1e-9)
+    assert r["auc"] > 0.75 and r["p_value"] == 0.0 and r["n_permut"] == 50 and r["n_sub"] == 300
     _, _, db, dt = two_samples(spark, 300, 0.0)
-    assert R.two_sample_classifier(db, dt, "p", FEATURES, "id", permutations=16).first()["p_value"] > 0.0
+    assert R.two_sample_classifier(db, dt, "p", FEATURES, "id", permutations=50).first()["p_value"] > 0.0
+
+
+def test_classifier_takes_every_key_in_blocks(spark):
+    base, target, db, _ = two_samples(spark, 200, 1.0)
+    many = pd.concat([target.assign(p=k, id=target["id"] + 1000 * k, a=target["a"] - 0.5 * k) for k in range(3)])
+    dt = spark.createDataFrame(many)
+    one, two = ({r["p"]: r for r in R.two_sample_classifier(db, dt, "p", FEATURES, "id", permutations=20, block=b).collect()} for b in (1, 32))
+    assert set(one) == {0, 1, 2}
+    for k in one:
+        assert one[k]["auc"] == pytest.approx(two[k]["auc"], abs=1e-9) and one[k]["p_value"] == two[k]["p_value"]
+    assert one[0]["auc"] > one[1]["auc"] > 0.5
+    assert R.two_sample_classifier(db, dt.where("p > 9"), "p", FEATURES, "id", permutations=5).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import session
@@ -15,6 +15,7 @@ from tidemark.functions import scalars
 from tidemark.functions.hashing import row_hash
 from tidemark.operators import sampling as M
 from tidemark.operators.aggregates import weight_concentration
+from tidemark.operators.ordered import running
 
 
 def gaussian(x: np.ndarray, centres: np.ndarray, sigma: float) -> np.ndarray:
@@ -213,68 +214,151 @@ def self_test(base: DataFrame, features: list[str], value: str, row_id: str, n_c
     return out.withColumn("calibrated", (F.abs("delta") < 0.5) & (F.col("ess_ratio") >= 0.3))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression (unit penalty, free intercept) by Newton steps."""
-    z = np.column_stack([np.ones(len(x)), x])
-    beta, pen = np.zeros(z.shape[1]), np.r_[0.0, np.ones(x.shape[1])]
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(z @ beta, -30, 30)))
-        grad = z.T @ (p - y) + pen * beta
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag(pen + 1e-9)
-        move = np.linalg.solve(hess, grad)
-        beta -= move
-        if np.abs(move).max() < 1e-8:
-            break
-    return beta
+HELD_OUT = 0.2
+BINS = 512
+REACH = 6.0
+STEPS = 25
+ROWS = 4096
+
+
+def _draws(h: np.ndarray, salt: int) -> np.ndarray:
+    """Uniform numbers in [0, 1) from 64-bit hashes."""
+    with np.errstate(over="ignore"):
+        z = h + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
-def _auc(score: np.ndarray, y: np.ndarray) -> float:
-    """Area under the curve from average ranks."""
-    rank = pd.Series(score).rank().to_numpy()
-    pos = int(y.sum())
-    neg = len(y) - pos
-    return float((rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * neg)) if pos and neg else 0.5
+def _pieces(batches: Iterator[pd.DataFrame], key: str, features: list[str], scaling: dict, keys: list) -> Iterator[tuple]:
+    """(key, scaled rows with a leading 1, side, hashes), some thousand rows at a time; baseline rows come once per key."""
+    for pdf in batches:
+        for k in keys:
+            part = pdf[(pdf["_y"] == 0) | (pdf[key] == k)]
+            s = scaling[k]
+            for lo in range(0, len(part), ROWS):
+                rows = part.iloc[lo:lo + ROWS]
+                x = (rows[features].to_numpy(dtype=float) - s["mean"]) / s["std"]
+                yield k, np.column_stack([np.ones(len(x)), x]), rows["_y"].to_numpy(), rows["_h"].to_numpy().view(np.uint64)
 
 
-def _split_auc(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> float:
-    test = np.zeros(len(y), dtype=bool)
-    for c in (0, 1):  # one fifth of each class
-        rows = rng.permutation(np.flatnonzero(y == c))
-        test[rows[:max(1, len(rows) // 5)]] = True
-    beta = _logistic(x[~test], y[~test])
-    return _auc(x[test] @ beta[1:] + beta[0], y[test])
+def _labels(y: np.ndarray, h: np.ndarray, share: float, permutations: int) -> np.ndarray:
+    """The true label and, beside it, one drawn label per permutation."""
+    return np.column_stack([y, *[_draws(h, 2 * r + 3) < share for r in range(permutations)]]).astype(float)
 
 
 def two_sample_classifier(
-    base: DataFrame, target: DataFrame, key: str, features: list[str], row_id: str, per_class: int = 3000,
-    permutations: int = 200, seed: int = 42,
+    base: DataFrame, target: DataFrame, key: str, features: list[str], row_id: str, permutations: int = 200, seed: int = 42, block: int = 32,
 ) -> DataFrame:
-    """AUC of a classifier that tells target from baseline rows, with a permutation p.
-
-    The test is defined on at most ``per_class`` rows per side.  That bounded
-    sample goes to several tasks per key, each running part of the permutations.
+    """AUC of a logistic classifier that tells target from baseline rows, with a permutation p, over all rows.
+
+    A fifth of the rows, chosen by hash, is held out. The fit (unit ridge penalty, free
+    intercept) runs over all others: tasks add gradients and Hessians, the sums of a key are
+    solved where they meet, and a step is one job. Permutations are further columns of the
+    same pass: their labels are drawn with the share of the target rows from the hash of a
+    row, and their steps use the Hessian of that share. ``auc`` is exact, from rank counts of
+    all held-out rows; the p-value compares AUCs of scores in 512 bins, for the true labels
+    and the permuted ones alike. Keys go through in blocks, so the memory of a task does not
+    grow with their number. Keys whose held-out rows are of one side have AUC 0.5; rows with
+    a null feature count nowhere.
     """
-    scaling = pooled_scaling(base, target, key, features)
-    keys = F.explode(F.array(*[F.lit(k) for k in scaling]))
-    a = M.hash_cap(target.select(key, row_id, *features), [key], row_id, per_class, seed).withColumn("y", F.lit(1))
-    b = M.hash_cap(base.select(row_id, *features), [], row_id, per_class, seed).withColumn(key, keys).withColumn("y", F.lit(0))
-    tasks = 8
-    both = a.unionByName(b).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
     kind = dict(target.dtypes)[key]
-
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", row_id])
-        s = scaling[k[0]]
-        x, y = (pdf[features].to_numpy(dtype=float) - s["mean"]) / s["std"], pdf["y"].to_numpy()
-        auc = _split_auc(x, y, np.random.default_rng(seed))
-        mine = range(int(k[1]), permutations, tasks)
-        hits = 0
-        for i in mine:
-            rng = np.random.default_rng(seed + i + 1)
-            hits += _split_auc(x, rng.permutation(y), rng) >= auc
-        return pd.DataFrame({key: [k[0]], "auc": [auc], "n_sub": [int(y.sum())], "hits": [hits], "runs": [len(mine)]})
-
-    parts = both.groupBy(key, "task").applyInPandas(run, f"`{key}` {kind}, auc double, n_sub bigint, hits bigint, runs bigint")
-    out = parts.groupBy(key).agg(F.max("auc").alias("auc"), F.max("n_sub").alias("n_sub"), F.sum("hits").alias("h"), F.sum("runs").alias("n_permut"))
+    there = F.lit(True)
+    for f in features:
+        there = there & F.col(f).isNotNull()
+    base, target = base.where(there), target.where(there & F.col(key).isNotNull())
+    scaling = pooled_scaling(base, target, key, features)
+    side = lambda df, k, y: df.select(
+        k.cast(kind).alias(key), F.lit(y).alias("_y"), F.xxhash64(F.lit(seed), F.lit(y), row_id).alias("_h"), *features)
+    rows = session.cut(side(base, F.lit(None), 0).unionByName(side(target, F.col(key), 1)))
+    names = sorted(scaling)
+    results = [_classified(rows, key, kind, features, {k: scaling[k] for k in names[i:i + block]}, permutations)
+               for i in range(0, len(names), block)]
+    out = results[0] if results else rows.sparkSession.createDataFrame([], f"`{key}` {kind}, auc double, hits long, n_sub long")
+    for r in results[1:]:
+        out = out.unionByName(r)
     return out.select(key, "auc", scalars.clip((F.col("auc") - 0.5) * 200.0, 0.0, 100.0).alias("coverage_pct"),
-                      F.try_divide(F.col("h").cast("double"), F.col("n_permut")).alias("p_value"), "n_permut", "n_sub")
+                      (F.col("hits") / F.lit(float(permutations))).alias("p_value"), F.lit(permutations).cast("long").alias("n_permut"), "n_sub")
+
+
+def _classified(rows: DataFrame, key: str, kind: str, features: list[str], scaling: dict, permutations: int) -> DataFrame:
+    """(key, auc, hits, n_sub) of one block of keys."""
+    keys, width, runs = list(scaling), len(features) + 1, permutations + 1
+    share = {k: s["n"] / (s["n"] + s["n_base"]) for k, s in scaling.items()}
+    ui, uj = np.triu_indices(width)
+    beta = {k: np.zeros((width, runs)) for k in keys}
+    penalty = np.diag(np.r_[1e-9, np.ones(width - 1)])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for k, x, y, h in _pieces(batches, key, features, scaling, keys):
+            fit = _draws(h, 1) >= HELD_OUT
+            x, b = x[fit], beta[k]
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ b, -30, 30)))
+            grad = x.T @ (p - _labels(y[fit], h[fit], share[k], permutations))
+            curve, plain = (x * (p[:, 0] * (1 - p[:, 0]))[:, None]).T @ x, x.T @ x
+            total[k] = total.get(k, 0.0) + np.concatenate([grad.ravel(), curve[ui, uj], plain[ui, uj]])
+        if total:
+            yield pd.DataFrame({key: list(total), "slot": TaskContext.get().partitionId() % 32, "v": list(total.values())})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: pdf[key].iloc[:1], "slot": pdf["slot"].iloc[:1], "v": [np.sum(np.stack(pdf["v"]), axis=0)]})
+
+    def square(v: np.ndarray) -> np.ndarray:
+        out = np.zeros((width, width))
+        out[ui, uj] = v
+        return out + np.triu(out, 1).T
+
+    def move(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, v = pdf[key].iloc[0], np.sum(np.stack(pdf["v"]), axis=0)
+        b, q = beta[k], len(ui)
+        grad = v[:width * runs].reshape(width, runs) + np.r_[0.0, np.ones(width - 1)][:, None] * b
+        step = np.empty_like(b)
+        step[:, :1] = np.linalg.solve(square(v[-2 * q:-q]) + penalty, grad[:, :1])
+        step[:, 1:] = np.linalg.solve(share[k] * (1 - share[k]) * square(v[-q:]) + penalty, grad[:, 1:])
+        return pd.DataFrame({key: [k], "b": [(b - step).ravel()], "far": [float(np.abs(step).max())]})
+
+    for _ in range(STEPS):
+        parts = rows.mapInPandas(sums, f"`{key}` {kind}, slot int, v array<double>")
+        parts = parts.groupBy(key, "slot").applyInPandas(add, f"`{key}` {kind}, slot int, v array<double>")
+        solved = parts.groupBy(key).applyInPandas(move, f"`{key}` {kind}, b array<double>, far double").collect()  # one row a key of the block
+        beta.update({r[key]: np.array(r["b"]).reshape(width, runs) for r in solved})
+        if all(r["far"] < 1e-6 for r in solved):
+            break
+
+    def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count: dict = {}
+        for k, x, y, h in _pieces(batches, key, features, scaling, keys):
+            out = _draws(h, 1) < HELD_OUT
+            b = beta[k][1:]
+            z = x[out][:, 1:] @ (b / np.maximum(np.sqrt((b * b).sum(0)), 1e-300))
+            cell = np.clip((z + REACH) * (BINS / (2 * REACH)), 0, BINS - 1).astype(np.int64) + BINS * np.arange(runs)
+            one = _labels(y[out], h[out], share[k], permutations) > 0
+            both = count.setdefault(k, np.zeros((2, runs * BINS), np.int64))
+            both[0] += np.bincount(cell[~one], minlength=runs * BINS)
+            both[1] += np.bincount(cell[one], minlength=runs * BINS)
+        for k, (n0, n1) in count.items():
+            at = np.flatnonzero(n0 + n1)
+            yield pd.DataFrame({key: k, "run": at // BINS, "cell": at % BINS, "n0": n0[at], "n1": n1[at]})
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, x, y, h in _pieces(batches, key, features, scaling, keys):
+            out = _draws(h, 1) < HELD_OUT
+            yield pd.DataFrame({key: k, "score": x[out] @ beta[k][:, 0], "y": y[out]})
+
+    cells = rows.mapInPandas(binned, f"`{key}` {kind}, run int, cell int, n0 long, n1 long").groupBy(key, "run", "cell").agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    own = Window.partitionBy(key, "run")
+    below = F.sum("n0").over(own.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n0")
+    area = cells.withColumn("_c", F.col("n1") * (below + F.col("n0") / 2)).groupBy(key, "run").agg(
+        F.coalesce(F.try_divide(F.sum("_c"), F.sum("n0") * F.sum("n1")), F.lit(0.5)).alias("area"))
+    seen = area.where("run = 0").select(key, F.col("area").alias("seen"))
+    hits = area.where("run > 0").join(seen, key).groupBy(key).agg(F.count_if(F.col("area") >= F.col("seen")).alias("hits"))
+    counts = rows.mapInPandas(scored, f"`{key}` {kind}, score double, y long").groupBy(key, "score").agg(
+        F.count_if(F.col("y") == 0).alias("_n0"), F.count_if(F.col("y") == 1).alias("_n1"))
+    ranked = running(session.cut(counts), [key], ["score"], {"_below": F.col("_n0")}, {})
+    auc = ranked.groupBy(key).agg(F.coalesce(F.try_divide(
+        F.sum(F.col("_n1") * (F.col("_below") + F.col("_n0") / 2)), F.sum("_n0") * F.sum("_n1")), F.lit(0.5)).alias("auc"))
+    sizes = rows.where("_y = 1").groupBy(key).agg(F.count(F.lit(1)).alias("n_sub"))
+    out = sizes.where(F.col(key).isin(keys)).join(auc, key, "left").join(hits, key, "left")
+    return session.cut(out.select(key, F.coalesce("auc", F.lit(0.5)).alias("auc"), F.coalesce("hits", F.lit(permutations)).alias("hits"), "n_sub"))

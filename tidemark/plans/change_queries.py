@@ -212,7 +212,9 @@ def ratio_self_test(spark, sf):
 
 @query("dst18_two_sample_classifier")
 def two_sample_classifier(spark, sf):
-    base, target = samples(spark, sf)
-    return G.rounded(R.two_sample_classifier(base, target, "period", COORDS, "vec_id", permutations=40), "auc", "coverage_pct", "p_value")
-
-
+    """All rows, all coordinates, 200 permutations."""
+    e = A.table(spark, sf, "embeddings")
+    names = [f"e{i}" for i in range(64)]
+    x = e.select("vec_id", F.col("label").alias("period"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    out = R.two_sample_classifier(x.where("period < 5").drop("period"), x.where("period >= 5"), "period", names, "vec_id")
+    return G.rounded(out, "auc", "coverage_pct", "p_value")
