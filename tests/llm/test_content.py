@@ -230,6 +230,19 @@ def test_classifier_agrees_with_held_out_labels(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) > 0.85
 
 
+def test_an_id_of_a_third_of_all_rows_enters_the_samples_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    hot = labels.where("quality = 1 AND toxic = 0").agg(F.min("doc_id")).first()[0]
+    many = docs.unionByName(spark.range(500).select(F.lit(hot).alias("doc_id"), F.concat(F.lit("other text "), F.col("id")).alias("text")))
+    many = many.unionByName(docs.where(F.col("doc_id") == hot).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("i"))
+    ids = labels.select("doc_id").distinct().limit(40).unionByName(spark.createDataFrame([(hot,)], labels.select("doc_id").schema)).distinct()
+    got = quality.one_each(many, ids).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) and hot in {r["doc_id"] for r in got}
+    rows = quality.quality_table(many, labels).collect()
+    assert len(rows) == many.count() and sum(r["keep"] for r in rows if r["doc_id"] == hot) >= 400
+
+
 def test_quality_of_messy_and_empty_tables(spark, messy, nothing):
     labels = spark.createDataFrame([(6, 1, 0), (6, 0, 0), (9, None, 1), (None, 1, 1), (777, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.quality_table(messy, labels).count() == messy.count()

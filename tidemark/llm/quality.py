@@ -15,7 +15,8 @@ patterns are at most 3^labellers. Both bounds are parameters.
 Defined results: a null or empty text has no words, no votes against it and the score
 of the intercept; labels of unknown documents are ignored, repeated labels count once with
 the worst values, without labels the built-in labellers decide; repeated rows are scored
-alike; an empty table gives no rows; other columns stay as they are.
+alike and count one by one in the patterns, but an id enters a sample once, with the text
+of the smallest hash; an empty table gives no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -270,6 +271,11 @@ def _collected(df: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
     return ids[order], [values[ends[i]:ends[i + 1]] for i in order]
 
 
+def one_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) with one row per id of a bounded list, however many rows an id has."""
+    return docs.join(F.broadcast(ids.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def vote_table(docs: DataFrame, one: np.ndarray, two: np.ndarray) -> DataFrame:
     """(doc_id, votes) of every row: a letter per labeller of JUNK and TOXIC."""
 
@@ -307,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, trained:
     said = stored(labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic")), "quality-labels")
     known = stored(bounded(said.where("toxic IS NOT NULL AND doc_id IS NOT NULL"), labelled, "labelled"), "quality-sample")
-    ids, lists = _collected(sample_features(narrow.join(F.broadcast(known.select("doc_id")), "doc_id")))
+    ids, lists = _collected(sample_features(one_each(narrow, known)))
     toxic_of = {r["doc_id"]: float(r["toxic"]) for r in known.collect()}
     rows, toxic = Sparse(lists), np.array([toxic_of[i] for i in ids])
     first = np.zeros(BUCKETS, bool)
@@ -315,9 +321,12 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, trained:
         first[rows.index] = True
     learned = telling(rows, toxic, first)
     halves = [learned & (np.arange(BUCKETS) % 3 != k) for k in (0, 1)]  # overlapping
-    voted = stored(vote_table(narrow, *halves), "quality-votes")
     person = F.concat(*[F.coalesce(F.when(F.col(c) == bad, "x").when(F.col(c).isNotNull(), "o"), F.lit("-")) for c, bad in (("quality", 0), ("toxic", 1))])
-    full = stored(attach(voted, said, "doc_id", "left").select("doc_id", F.concat("votes", person).alias("votes")), "quality-patterns")
+
+    def voted(rows: DataFrame) -> DataFrame:
+        return attach(vote_table(rows, *halves), said, "doc_id", "left").select("doc_id", F.concat("votes", person).alias("votes"))
+
+    full = stored(voted(narrow), "quality-patterns")
     patterns = [(r["votes"], r["count"]) for r in full.groupBy("votes").count().collect()]
     n = len(JUNK)
     junk, junk_accuracy = _chances(patterns, slice(0, n), n + len(TOXIC))
@@ -327,9 +336,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, trained:
         return 1 - (1 - junk[v[:n] + v[-2]]) * (1 - vile[v[n:-2] + v[-1]])
 
     picked = bounded(full.where("doc_id IS NOT NULL").select("doc_id").distinct(), trained, "trained").unionByName(known.select("doc_id")).distinct()
-    picked = stored(picked, "quality-picked")
-    ids, lists = _collected(sample_features(narrow.join(F.broadcast(picked), "doc_id")))
-    seen = {r["doc_id"]: bad(r["votes"]) for r in full.join(F.broadcast(picked), "doc_id").collect()}
+    picked = stored(one_each(narrow, stored(picked, "quality-picked")), "quality-texts")
+    ids, lists = _collected(sample_features(picked))
+    seen = {r["doc_id"]: bad(r["votes"]) for r in voted(picked).collect()}
     weights, intercept = fit_logistic(Sparse(lists), np.array([seen[i] for i in ids]))
     return Model(weights, intercept, {"junk": junk_accuracy, "toxic": vile_accuracy})
 
