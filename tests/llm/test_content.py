@@ -97,6 +97,69 @@ def test_near_duplicates_of_messy_and_empty_tables(messy, nothing):
     assert simhash.near_duplicate_table(nothing).count() == 0 and simhash.kept_documents(nothing).count() == 0
 
 
+def plain_shingles(text, size=5):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return frozenset(tuple(words[i:i + size]) for i in range(max(len(words) - size + 1, min(len(words), 1))))
+
+
+def similar_roots(texts):
+    """{id: smallest id reachable} over all pairs of sets that are equal or 0.8 similar."""
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(sets):
+        for j in sets:
+            if j < i:
+                a, b = sets[i], sets[j]
+                if a == b or len(a & b) >= 0.8 * len(a | b):
+                    x, y = sorted((find(i), find(j)))
+                    root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def changed(rng, words, share):
+    out = [w if rng.random() > share else f"new{rng.randrange(10**6)}" for w in words]
+    return out if rng.random() < 0.5 else out + [f"end{rng.randrange(10**6)}"]
+
+
+def near_copies(seed):
+    """Texts of 6 to 700 words, chains and families of copies with a few changed words, looser copies, and strangers."""
+    rng, texts = random.Random(seed), {}
+    for _ in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([6, 30, 120, 700]))]
+        for _ in range(rng.choice([1, 2, 3, 12])):
+            texts[len(texts)] = " ".join(base)
+            base = changed(rng, base, rng.choice([0, 0.01, 0.02, 0.04, 0.1]))
+    source = [f"f{rng.randrange(3000)}" for _ in range(200)]
+    for _ in range(80):
+        texts[len(texts)] = " ".join(changed(rng, source, 0.012))
+    ids = rng.sample(range(10**6), len(texts))
+    return dict(zip(ids, texts.values()))
+
+
+@pytest.mark.parametrize("pair_limit", [2, 32])
+def test_similar_texts_equal_a_search_of_all_pairs(spark, pair_limit):
+    texts = near_copies(5)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    kept = {r["doc_id"] for r in simhash.kept_documents(docs, pair_limit=pair_limit).collect()}
+    root = similar_roots(texts)
+    gone = {i for i in texts if root[i] != i}
+    assert len(gone) > 100 and not (set(texts) - kept) - gone  # only copies go
+    assert len(kept - set(root.values())) <= 0.02 * len(gone)  # and hardly any stays
+
+
+def test_repeated_rows_stay_once_beside_large_groups(spark):
+    docs = spark.createDataFrame([(3, "a b c d e f")] * 500 + [(i, f"x{i} y z") for i in range(10, 40)] + [(1, None)] * 40 + [(None, " ")] * 9, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.kept_documents(docs).collect())
+    assert kept == [1, 3, *range(10, 40)]
+
+
 # ---- lines
 
 

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.test_content import plain_fingerprint, roots_of
+from tests.llm.test_content import similar_roots
 from tidemark.llm import queries
 
 
@@ -24,12 +24,8 @@ def test_stages_keep_what_they_should(spark, sf):
     good = results["quality classifier"]
     clean = [r["doc_id"] for r in rows if r["doc_id"] in labels and labels[r["doc_id"]]["quality"] and not labels[r["doc_id"]]["toxic"]]
     assert len({r["doc_id"] for r in good} & set(clean)) >= 0.97 * len(clean)
-    marks = {r["doc_id"]: plain_fingerprint(r["text"] or "") for r in good}
-    root = roots_of(sorted(set(marks.values())), 2)
-    least = {}
-    for i in sorted(marks):
-        least.setdefault(root[marks[i]], i)
-    assert {r["doc_id"] for r in results["near-dedup"]} == set(least.values()) and len(results["near-dedup"]) == len(least)
+    root = similar_roots({r["doc_id"]: r["text"] for r in good})
+    assert {r["doc_id"] for r in results["near-dedup"]} == set(root.values()) and len(results["near-dedup"]) == len(set(root.values()))
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     for r in results["near-dedup"]:
         if any(t in r["text"] for t in items):
