@@ -8,7 +8,7 @@ from check import compare, connect
 SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "agg03_tail_ratio_change", "agg15_matched_decomposition", "agg18_blocks", "jn01_context_join", "jn08_ball_history", "flt06_admissible_or_all",
-    "win04_robust_z", "win13_rank_stability", "smp08_block_bootstrap", "dst03_shift_per_game", "trk06_windows_with_targets", "det01_page_hinkley",
+    "win04_robust_z", "win13_rank_stability", "smp08_block_bootstrap", "dst03_shift_per_game", "dst07_ks_p_values", "trk06_windows_with_targets", "det01_page_hinkley",
     "det08_smoothed_split", "ens04_two_tier", "evl01_alarm_metrics", "chg02_break_curve", "sc08_names", "src03_csv_coercion", "st04_play_segments",
     "smp10_permuted_order", "st07_clean_tracks",
 ]

@@ -1,5 +1,8 @@
 """Hash samples, bootstraps, replays and permutations."""
 
+import random
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import POISSON_STEPS, PRIME, row_hash
 from tidemark.operators import ordered
 from tidemark.operators import sampling as M
+from tidemark.operators.distance import ks_p_values
 
 
 def ids(spark, n=5000):
@@ -110,3 +114,40 @@ def test_permuted_positions_are_permutations(spark, scheme):
         a = p[p["k"] == "a"]
         seen = np.histogram2d(a["o"], a["at"], bins=10)[0]
         assert abs(seen / seen.mean() - 1).max() < 0.35
+
+
+def plain_p(a, b):
+    """Share of all ways to choose the rows of the first side whose distance is as large."""
+    pool = sorted(a + b)
+
+    def gap(first):
+        rest = list(pool)
+        for x in first:
+            rest.remove(x)
+        return max(abs(sum(x <= v for x in first) * len(b) - sum(x <= v for x in rest) * len(a)) for v in set(pool))
+
+    ways = [gap([pool[i] for i in c]) for c in combinations(range(len(pool)), len(a))]
+    return sum(g >= gap(a) for g in ways) / len(ways)
+
+
+def test_ks_p_values_count_all_orders(spark):
+    rng = random.Random(3)
+    sides = {"published 4/5": ([1, 2, 3, 4, 9], [5, 6, 7, 8, 10]), "apart": ([1, 2, 3, 4, 5], [6, 7, 8, 9, 10]), "equal": ([1, 2], [1, 2])}
+    for k in range(12):  # ties, and sides of different sizes
+        sides[f"drawn {k}"] = tuple([rng.randrange(4 + k) for _ in range(rng.randrange(1, 7))] for _ in range(2))
+    rows = [(g, float(v), s == 0) for g, both in sides.items() for s in (0, 1) for v in both[s]] + [("one side", 1.0, True), ("nan", float("nan"), False)]
+    df = spark.createDataFrame(rows, "k string, v double, a boolean")
+    got = {r["k"]: r["p"] for r in ks_p_values(df, ["k"], "v", F.col("a")).collect()}
+    assert got["published 4/5"] == pytest.approx(20 / 252) and got["apart"] == pytest.approx(2 / 252) and got["equal"] == 1.0
+    assert got == {g: pytest.approx(plain_p(*both)) for g, both in sides.items()}
+
+
+def test_ks_p_values_of_large_sides_follow_the_series(spark):
+    df = spark.range(4000).select(F.col("id").alias("v"), (F.col("id") % 2 == 0).alias("a"), F.lit("k").alias("k"))
+    moved = df.withColumn("v", F.when(F.col("a"), F.col("v") + 172).otherwise(F.col("v")))
+    near, far = (ks_p_values(d, ["k"], "v", F.col("a")).first() for d in (df, moved))
+    assert near["p"] == 1.0
+    z = far["ks"] * np.sqrt(1000)
+    assert far["p"] == pytest.approx(2 * sum((-1) ** (k - 1) * np.exp(-2 * k * k * z * z) for k in range(1, 50)), rel=1e-9)
+    close = [ks_p_values(moved.where("v % 40 < 6"), ["k"], "v", F.col("a"), exact=bound).first()["p"] for bound in (0, 10**6)]
+    assert close[0] == pytest.approx(close[1], abs=0.05)

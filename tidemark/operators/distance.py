@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark import session
 from tidemark.operators.ordered import running
@@ -11,6 +14,11 @@ from tidemark.operators.quantiles import cumulative, quantile_grid
 from tidemark.schema import finite
 
 GRID = 2000
+#: Largest product of the two sizes for which a p-value is counted over all orders of the pooled rows.
+KS_EXACT = 10_000
+#: Terms of the limiting series, and the scaled distance below which its sum is 1 to twelve digits.
+KS_TERMS = 100
+KS_NEAR_ZERO = 0.2
 
 
 def ks_two_sample(df: DataFrame, keys: list[str], value: str, in_a: Column) -> DataFrame:
@@ -24,6 +32,54 @@ def ks_two_sample(df: DataFrame, keys: list[str], value: str, in_a: Column) -> D
         F.max("_na").alias("n_a"), F.max("_nb").alias("n_b"), F.max(F.abs(fa - fb)).alias("ks"))
 
 
+@F.pandas_udf(DoubleType())
+def _order_share(n_a: pd.Series, n_b: pd.Series, gap: pd.Series, ends: pd.Series) -> pd.Series:
+    """Share of the orders of the pooled rows whose largest gap, at the ends of equal values, reaches ``gap``.
+
+    Rows are dealt one by one without replacement; a path that reaches the gap is taken out and counted.
+    """
+    out = []
+    for n, m, most, stops in zip(n_a, n_b, gap, ends):
+        if not len(stops):  # counted by the series instead
+            out.append(1.0)
+            continue
+        n, m, stops, reached = int(n), int(m), set(stops), 0.0
+        i, alive = np.arange(n + 1), np.zeros(n + 1)
+        alive[0] = 1.0
+        for t in range(n + m):
+            from_a = alive * (n - i) / (n + m - t)
+            alive = alive - from_a
+            alive[1:] += from_a[:-1]
+            if t + 1 in stops:
+                far = np.abs(i * m - (t + 1 - i) * n) >= most
+                reached += alive[far].sum()
+                alive[far] = 0.0
+        out.append(min(reached, 1.0))
+    return pd.Series(out, dtype=float)
+
+
+def ks_p_values(df: DataFrame, keys: list[str], value: str, in_a: Column, exact: int = KS_EXACT) -> DataFrame:
+    """KS statistic of two samples per key with its p-value.
+
+    Where the product of the sizes is at most ``exact`` the p-value is that over all orders of the
+    pooled rows, with equal values in place (so at most ``exact`` + 1 positions of a key meet in a row);
+    beyond, it is the sum of the limiting series. A key without rows on one side has neither.
+    """
+    counts = df.where(finite(value)).groupBy(*keys, value).agg(F.count_if(in_a).alias("_a"), F.count_if(~in_a).alias("_b"))
+    cum = running(counts, keys, [value], {"_ca": F.col("_a"), "_cb": F.col("_b")}, {"_na": "_ca", "_nb": "_cb"})
+    a, b, pairs = F.col("_ca") + F.col("_a"), F.col("_cb") + F.col("_b"), F.col("_na") * F.col("_nb")
+    found = cum.where(pairs > 0).groupBy(*keys).agg(
+        F.max("_na").alias("n_a"), F.max("_nb").alias("n_b"), F.max(F.abs(a * F.col("_nb") - b * F.col("_na"))).alias("_gap"),
+        F.collect_list(F.when(pairs <= exact, a + b)).alias("_ends"))
+    n, m = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    scaled = F.col("_gap") / F.sqrt(n * m * (n + m))
+    term = lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * scaled * scaled)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0), term)
+    limit = F.when(scaled < KS_NEAR_ZERO, 1.0).otherwise(F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0)))
+    return found.select(*keys, "n_a", "n_b", (F.col("_gap") / (n * m)).alias("ks"),
+                        F.when(F.size("_ends") > 0, _order_share("n_a", "n_b", "_gap", "_ends")).otherwise(limit).alias("p"))
+
+
 def ks_against(df: DataFrame, keys: list[str], value: str, base: DataFrame, shared: list[str] | None = None) -> DataFrame:
     """KS of every key against one common baseline (one per ``shared`` column).
 
@@ -93,9 +149,6 @@ def median_distance(df: DataFrame, columns: list[str], row_id: str, most: int =
     The sample is the operator's own definition (at most ``most`` rows), so the
     pairs inside it are formed in memory by one task.
     """
-    import numpy as np
-    import pandas as pd
-
     from tidemark.operators.sampling import hash_cap
 
     sample = hash_cap(df.select(row_id, *columns), [], row_id, most, seed)
@@ -112,7 +165,5 @@ def median_distance(df: DataFrame, columns: list[str], row_id: str, most: int =
 
 def _square(x):
     """Squared distances between all rows of a bounded sample."""
-    import numpy as np
-
     n = (x * x).sum(axis=1)
     return np.maximum(n[:, None] + n[None, :] - 2.0 * (x @ x.T), 0.0)

@@ -156,6 +156,38 @@ def ks_critical(spark, sf):
     return G.rounded(ks.select("year", "ks", F.round(limit, 9).alias("critical"), (F.col("ks") >= limit).alias("drift")), "ks")
 
 
+KS_SIDES = """rows AS (SELECT match_id AS part, CAST(floor(ade_traj * 10) AS BIGINT) AS v, model = '1-URGENT' AS a FROM errors WHERE model IN ('1-URGENT', '5-LOW')
+  UNION ALL SELECT 'all_' || CAST(year AS VARCHAR), CAST(floor(ade_traj * 10) AS BIGINT), model = '1-URGENT' FROM errors WHERE model IN ('1-URGENT', '5-LOW')),
+counts AS (SELECT part, v, CAST(count(*) FILTER (a) AS BIGINT) AS a, CAST(count(*) FILTER (NOT a) AS BIGINT) AS b FROM rows GROUP BY part, v),
+cum AS (SELECT part, CAST(sum(a) OVER w AS BIGINT) AS ca, CAST(sum(b) OVER w AS BIGINT) AS cb, CAST(sum(a) OVER p AS BIGINT) AS n, CAST(sum(b) OVER p AS BIGINT) AS m
+  FROM counts WINDOW w AS (PARTITION BY part ORDER BY v), p AS (PARTITION BY part)),
+found AS (SELECT part, n, m, max(abs(ca * m - cb * n)) AS gap, max(abs(ca * m - cb * n)) / sqrt(n::DOUBLE * m * (n + m)) AS z FROM cum WHERE n * m > 0 GROUP BY part, n, m)"""
+
+
+@query("dst07_ks_p_values", with_tables(A.ERRORS, KS_SIDES, f"""
+walk AS (SELECT part, 0::BIGINT AS t, 0::BIGINT AS i, 1.0::DOUBLE AS q, 0.0::DOUBLE AS hit FROM found WHERE n * m <= {D.KS_EXACT}
+  UNION ALL
+  SELECT part, t, i, CASE WHEN far THEN 0 ELSE q END, CASE WHEN far THEN q ELSE 0 END FROM (
+    SELECT s.part, s.t, s.i, s.q, e.part IS NOT NULL AND abs(s.i * f.m - (s.t - s.i) * f.n) >= f.gap AS far
+    FROM (SELECT part, t + 1 AS t, i + step AS i, sum(q * CASE WHEN step = 1 THEN n - i ELSE m - (t - i) END / (n + m - t)) AS q
+          FROM walk JOIN found USING (part), (VALUES (0::BIGINT), (1::BIGINT)) u(step)
+          WHERE t < n + m AND q > 0 AND CASE WHEN step = 1 THEN i < n ELSE t - i < m END GROUP BY part, t + 1, i + step) s
+    JOIN found f ON f.part = s.part LEFT JOIN cum e ON e.part = s.part AND e.ca + e.cb = s.t)),
+counted AS (SELECT part, least(sum(hit), 1) AS p FROM walk GROUP BY part)""", recursive=True, body=f"""
+SELECT part, n AS n_a, m AS n_b, round(gap / (n::DOUBLE * m), 9) AS ks, n * m <= {D.KS_EXACT} AS counted,
+       round(coalesce(p, CASE WHEN z < {D.KS_NEAR_ZERO} THEN 1 ELSE greatest(least(
+         list_sum(list_transform(range(1, {D.KS_TERMS + 1}), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * z * z))), 1), 0) END)::DOUBLE, 9) AS p
+FROM found LEFT JOIN counted USING (part)"""))
+def ks_p_values(spark, sf):
+    """Do the errors of two models, in tenths and so with ties, differ in each game and in each year?"""
+    e = A.errors(spark, sf).where(F.col("model").isin("1-URGENT", "5-LOW"))
+    part = F.explode(F.array("match_id", F.concat(F.lit("all_"), F.col("year").cast("string"))))
+    rows = e.select(part.alias("part"), F.floor(F.col("ade_traj") * 10).alias("v"), "model")
+    out = D.ks_p_values(rows, ["part"], "v", F.col("model") == "1-URGENT")
+    counted = (F.col("n_a") * F.col("n_b") <= D.KS_EXACT).alias("counted")
+    return out.select("part", "n_a", "n_b", F.round("ks", 9).alias("ks"), counted, F.round("p", 9).alias("p"))
+
+
 TRACK_W = """p AS (SELECT robot_id, game, pos, x, y, vx, vy, row_number() OVER (PARTITION BY robot_id ORDER BY pos) - 1 AS start, count(*) OVER (PARTITION BY robot_id) AS n FROM steps),
 w0 AS (SELECT robot_id, game, start, n, list(x) OVER f AS x, list(y) OVER f AS y, list(vx) OVER f AS vx, list(vy) OVER f AS vy FROM p
   WINDOW f AS (PARTITION BY robot_id ORDER BY start ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
