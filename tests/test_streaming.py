@@ -80,6 +80,35 @@ def test_online_gate_equals_batch(spark, tmp_path, files, late):
     assert sorted(r["at"] - 2**54 for r in got.collect()) == sorted(r["idx"] for r in want.collect())
 
 
+@pytest.mark.parametrize("files, late", [(1, 0), (4, 250)])
+def test_two_streams_equal_the_batch_gate(spark, tmp_path, files, late):
+    """Two sources of alarms at whole seconds, which are their positions: pairs within 30, a hit more than 100 after the last."""
+    rng = np.random.default_rng(4)
+    second = rng.choice(6000, 500, replace=False)
+    second[:2] = 6000, 6001  # the ends of the streams
+    pdf = pd.DataFrame({"k": np.where(rng.random(500) < 0.6, "a", "b"), "o": second, "v": np.arange(500) % 2 * 1.0, "ts": START + pd.to_timedelta(second, unit="s")})
+    sides = []
+    for c in (0.0, 1.0):
+        write_files(spark, pdf[pdf["v"] == c], str(tmp_path / f"in{c}"), files, late, int(c))
+        sides.append(stream(spark, str(tmp_path / f"in{c}")))
+    got = online.run_to_table(online.coincidences(*sides, "k", "ts", "o", "30 seconds", "100 seconds", DELAY), str(tmp_path / "o"), str(tmp_path / "c"))
+    past = pdf[pdf["ts"] < pdf.groupby("v")["ts"].max().min() - pd.Timedelta(DELAY) - pd.Timedelta("30 seconds")]
+    a, b = (spark.createDataFrame(past[past["v"] == c]).select("k", F.col("o").alias("idx")) for c in (0.0, 1.0))
+    want = sorted((r["k"], r["idx"]) for r in gates.and_gate(a, b, ["k"], [30], 100).collect())
+    assert len(want) > 20 and sorted((r["k"], r["at"]) for r in got.collect()) == want
+
+
+def test_two_streams_order_equal_times_by_position(spark, tmp_path):
+    at = [("k", o, (START + pd.Timedelta(seconds=t)).to_pydatetime()) for o, t in ((4, 10), (9, 50), (6, 50), (20, 9000))]
+    partners = [("k", o, (START + pd.Timedelta(seconds=t)).to_pydatetime()) for o, t in ((5, 10), (7, 50), (8, 50), (21, 9000))]
+    sides = []
+    for name, rows in (("a", at), ("b", [*partners, partners[0], (None, 1, partners[0][2]), ("k", 3, None)])):
+        spark.createDataFrame([(k, o, 0.0, t) for k, o, t in rows], SCHEMA).write.parquet(str(tmp_path / name))
+        sides.append(stream(spark, str(tmp_path / name)))
+    got = online.run_to_table(online.coincidences(*sides, "k", "ts", "o", "30 seconds", "30 seconds", DELAY), str(tmp_path / "o"), str(tmp_path / "c"))
+    assert sorted(r["at"] for r in got.collect()) == [5, 7]
+
+
 def test_blocks_span_triggers(spark, feed, tmp_path):
     pdf, path = feed
     s = stream(spark, path).na.fill(0.0, ["v"])

@@ -50,6 +50,17 @@ def online_gate(spark, sf):
     return to_table(spark, O.online_gate(e, "event_type", "ts", "event_id", "channel", 40, 500, DELAY), "gate").select("event_type", "at")
 
 
+@query("st02_two_sources", with_tables("""high AS (SELECT * FROM events WHERE value > 120),
+cut AS (SELECT date_trunc('milliseconds', min(t)) - INTERVAL 1 HOUR - INTERVAL 10 MINUTE AS t FROM (SELECT max(ts) AS t FROM high GROUP BY user_id % 2)),
+ev AS (SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n, epoch_us(ts) AS idx,
+  user_id % 2 AS ch, 600000000 AS w, 7200000000 AS deb, event_id FROM high WHERE ts < (SELECT t FROM cut))""", *gate_sql("ev"),
+    body="SELECT ev.k AS event_type, ev.event_id AS at FROM gr JOIN ev ON ev.k = gr.k AND ev.n = gr.n WHERE gr.hit", recursive=True))
+def two_sources(spark, sf):
+    """High values of even and of odd users, as two streams, within ten minutes of each other; one hit in two hours."""
+    even, odd = (events(spark, sf).where(f"value > 120 AND user_id % 2 = {c}") for c in (0, 1))
+    return to_table(spark, O.coincidences(even, odd, "event_type", "ts", "event_id", "10 minutes", "2 hours", DELAY), "pairs").select("event_type", "at")
+
+
 @query("st03_count_blocks", with_tables(ES, body="""
 SELECT event_type, idx // 25 AS block, round(avg(value), 6) AS block_mean FROM es GROUP BY event_type, idx // 25 HAVING count(*) = 25"""))
 def count_blocks(spark, sf):

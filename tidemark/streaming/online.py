@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -77,6 +77,30 @@ class OnlineGate(OnlineDetector):
         return (rows[self.tie] - int(self.origin.get()[0])).astype(float)
 
 
+class PairGate(InOrder):
+    """Hits among pairs of rows of two streams: the later row, where the earlier one came after the last hit
+    and the last hit is more than ``pause_us`` ago. The last hit is all that is kept."""
+
+    def __init__(self, keys: list[str], tie: str, pause_us: int, slice_us: int):
+        super().__init__(keys, [(tie, "<i8"), ("before_us", "<i8"), ("before", "<i8")], 2, slice_us)
+        self.tie, self.pause_us = tie, pause_us
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at bigint, tie bigint")
+
+    def ready(self, rows: np.ndarray) -> pd.DataFrame | None:
+        last = tuple(self.last.get()) if self.last.exists() else None
+        hits = []
+        for at, tie, *before in rows.tolist():
+            if last is None or (tuple(before) > last and at - last[0] > self.pause_us):
+                last = (at, tie)
+                hits.append(tie)
+        if not hits:
+            return None
+        self.last.update(last)
+        return pd.DataFrame({"at": hits})
+
+
 class CountBlocks(InOrder):
     """Means of N consecutive rows per key; the unfinished block waits in the state."""
 
@@ -205,16 +229,22 @@ def _micros(length: str) -> int:
     return int(pd.Timedelta(length).value // 1000)
 
 
-def _transform(df: DataFrame, keys: list[str], time: str, delay: str, columns: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+def _transform(
+    df: DataFrame, keys: list[str], time: str, delay: str | None, columns: list[str], processor: StatefulProcessor, schema: str, at: Column | None = None
+) -> DataFrame:
     """Attach an ordered processor behind a watermark; it is sent with its code, not by name. Rows without a time have no place and go.
 
+    No ``delay`` means that ``time`` has its watermark already; ``at`` orders rows by another time, in microseconds, not before it.
+
     The state schema is read in a helper process that does not see the files sent
     to the workers, so the processor must not need an import of this package.
     """
     use_state_store(df.sparkSession)
     session.ship(df.sparkSession)
     kinds = dict(df.dtypes)
-    timed = df.where(F.col(time).isNotNull()).withWatermark(time, delay).select(*keys, time, F.unix_micros(time).alias(TIME), *columns)
+    marked = df.where(F.col(time).isNotNull())
+    marked = marked if delay is None else marked.withWatermark(time, delay)
+    timed = marked.select(*keys, time, (F.unix_micros(time) if at is None else at).alias(TIME), *columns)
     named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     cloudpickle.register_pickle_by_value(tidemark)
     try:
@@ -243,6 +273,25 @@ def online_gate(df: DataFrame, key: str, time: str, position: str, channel: str,
     return alarms.withColumn("at", F.shiftright("at", 1))
 
 
+def coincidences(a: DataFrame, b: DataFrame, key: str, time: str, tie: str, within: str, pause: str, delay: str) -> DataFrame:
+    """Coincidence of two alarm streams with a source each: rows (key, at) whose partner in the other stream came
+    at most ``within`` before, debounced by ``pause``, as the queue gate over (time, tie) finds them.
+
+    Pairs come from a join over an interval, so each side is held for ``within`` beyond the watermark. Ties are
+    positions over both streams: equal times are ordered by them. Hits follow ``delay`` and ``within`` behind the slower stream.
+    """
+    sides = []
+    for df, c in ((a, "a"), (b, "b")):
+        marked = df.where(F.col(time).isNotNull()).withWatermark(time, delay)
+        sides.append(marked.select(F.col(key).alias(f"key_{c}"), F.col(time).alias(f"time_{c}"), F.col(tie).cast("bigint").alias(f"tie_{c}")))
+    near = F.expr(f"key_a = key_b AND time_b >= time_a - INTERVAL {within} AND time_b <= time_a + INTERVAL {within}")
+    place = {c: F.struct(F.unix_micros(f"time_{c}").alias("us"), F.col(f"tie_{c}").alias("tie")) for c in "ab"}
+    met = sides[0].join(sides[1], near).select(
+        F.col("key_a").alias(key), F.col("time_a").alias(time), F.greatest(place["a"], place["b"]).alias("later"), F.least(place["a"], place["b"]).alias("earlier"))
+    columns = [F.col("later.tie").alias(tie), F.col("earlier.us").alias("before_us"), F.col("earlier.tie").alias("before")]
+    return _transform(met, [key], time, None, columns, PairGate([key], tie, _micros(pause), _micros(delay)), "at bigint", F.col("later.us"))
+
+
 def count_blocks(df: DataFrame, key: str, time: str, tie: str, value: str, size: int, delay: str) -> DataFrame:
     """Block number, mean and the event time at which the block was full (microseconds)."""
     columns = [F.col(tie).cast("bigint").alias(tie), F.col(value).cast("double").alias(value)]
