@@ -97,6 +97,7 @@ def recovery_columns(mean: Column, iw: Column, base: Column) -> dict[str, Column
     """Excess, raw and clipped recovered share and the note that goes with it."""
     excess = mean - base
     raw = F.when(excess > 1e-6, (mean - iw) / excess * 100)
+    # Names and notes as they stand in the output.
     return {
         "excess_total": excess,
         "recovery_raw": raw,
@@ -116,6 +117,7 @@ def relative_ratio(w: Column | str, alpha: float) -> Column:
 def adaptive_parameters(n: Column) -> dict[str, Column]:
     """Detector parameters derived from the length of the series."""
     whole = lambda c: F.floor(c).cast("int")
+    # Names, factors and limits that the published tables use.
     return {
         "k_thr": clip(5.0 + 5.0 * F.log10(F.greatest(n, F.lit(1)) / 1000.0), 8.0, 50.0),
         "min_instances": whole(clip(n * 0.02, 100.0, 400.0)),

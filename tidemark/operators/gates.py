@@ -124,6 +124,7 @@ def ablation(primary: DataFrame, block: DataFrame, other: DataFrame, keys: list[
     full = and_gate(primary, block, keys, [width], debounce).drop("W")
     bare = and_gate(primary, block, keys, [width], 0).drop("W")
     either = or_gate(primary, other, keys)
+    # Names of the variants as they stand in the output.
     variants = {
         "confirmed": full, "suspected": either, "confirmed_no_debounce": bare, "and_only": full, "or_only": either,
         "adwin_standalone": primary, "ph_standalone": block, "kalman_standalone": other}
@@ -134,6 +135,7 @@ def ablation(primary: DataFrame, block: DataFrame, other: DataFrame, keys: list[
     return out
 
 
+#: Fixed values, as above.
 VARIANTS = ["confirmed", "suspected", "confirmed_no_debounce", "and_only", "or_only",
             "adwin_standalone", "ph_standalone", "kalman_standalone"]
 
