@@ -162,3 +162,20 @@ def test_classifier_takes_every_key_in_blocks(spark):
         assert one[k]["auc"] == pytest.approx(two[k]["auc"], abs=1e-9) and one[k]["p_value"] == two[k]["p_value"]
     assert one[0]["auc"] > one[1]["auc"] > 0.5
     assert R.two_sample_classifier(db, dt.where("p > 9"), "p", FEATURES, "id", permutations=5).count() == 0
+
+
+def test_run_lengths_of_a_long_series_in_bounded_time():
+    """Work for a row is a few passes over arrays; pieces of a series give what the whole gives."""
+    import time
+
+    x = np.random.default_rng(3).normal(50, 9, 9000)
+    x[3000:3500] += 30
+    p = {"hazard": 0.1, "mu": 50.0, "kappa": 1.0, "alpha": 1.0, "beta": 90.0}
+    begun = time.process_time()
+    hits, stop = C.RunLength.run(p, C.RunLength.cold(p), x[:0], x, (0.0, 0.0))
+    assert time.process_time() - begun < 25
+    state, parts = C.RunLength.cold(p), []
+    for a, b in ((0, 1), (1, 700), (700, 9000)):
+        found, state = C.RunLength.run(p, state, x[:0], x[a:b], (0.0, 0.0))
+        parts += (a + found).tolist()
+    assert parts == hits.tolist() and np.allclose(state, stop, rtol=1e-9)

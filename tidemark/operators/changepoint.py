@@ -194,29 +194,40 @@ class RunLength:
 
     @classmethod
     def run(cls, p, state, pre, x, lead):
-        m = (len(state) - 1) // 3
-        likely, logr = int(state[0]), np.array(state[1:1 + m])
-        mu, beta = np.array(state[1 + m:1 + 2 * m]), np.array(state[1 + 2 * m:1 + 3 * m])
-        mu0, k0, a0, b0 = (float(p[n]) for n in ("mu", "kappa", "alpha", "beta"))
+        m, n = (len(state) - 1) // 3, (len(state) - 1) // 3 + len(x)
+        likely, mu0, k0, a0, b0 = int(state[0]), *(float(p[c]) for c in ("mu", "kappa", "alpha", "beta"))
         stay, change = math.log(1.0 - p["hazard"]), math.log(p["hazard"])
         gap, fired = int(p.get("min_gap", 3)), []
+        # runs stand in the order of their starts, so that a new one is put behind the others and nothing moves
+        logr, mu, beta = (np.concatenate([np.array(state[1 + k * m:1 + (k + 1) * m])[::-1], np.zeros(len(x))]) for k in range(3))
+        logb, work, fit = np.log(np.where(beta > 0, beta, 1.0)), np.empty(n), np.empty(n)
+        # what depends on the length of a run alone is found once for all rows, for the longest run first
+        kappas = (k0 + np.arange(n))[::-1]
+        powers, ratios = (2 * (a0 + np.arange(n) / 2.0)[::-1] + 1) / 2, 2 * (kappas + 1) / kappas
+        norms = np.array([math.lgamma(q) - math.lgamma(q - 0.5) for q in powers]) - 0.5 * np.log(np.pi * ratios)
         for i, v in enumerate(x):
-            r = np.arange(len(mu))
-            kappa, alpha = k0 + r, a0 + r / 2.0
-            scale = beta * (kappa + 1) / (alpha * kappa)
-            nu = 2 * alpha
-            norm = np.array([math.lgamma((n + 1) / 2) - math.lgamma(n / 2) for n in nu])
-            fit = norm - 0.5 * np.log(nu * np.pi * scale) - (nu + 1) / 2 * np.log1p((v - mu) ** 2 / (nu * scale))
-            joint = logr + fit
-            fresh = np.concatenate([[np.logaddexp.reduce(joint) + change], joint + stay])
-            logr = fresh - np.logaddexp.reduce(fresh)
-            beta = np.concatenate([[b0], beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1))])
-            mu = np.concatenate([[mu0], (kappa * mu + v) / (kappa + 1)])
-            now = int(np.argmax(logr))
+            k = m + i
+            own = slice(n - k, n)
+            w, f, r, b = work[:k], fit[:k], logr[:k], beta[:k]
+            np.subtract(v, mu[:k], out=w)
+            mu[:k] += w / (kappas[own] + 1)
+            np.multiply(w, w, out=w)
+            w /= ratios[own]
+            np.log1p(np.divide(w, b, out=f), out=f)
+            b += w  # the scale grows by the factor whose logarithm is f
+            r += norms[own]
+            r -= np.multiply(logb[:k], 0.5, out=w)
+            r -= np.multiply(powers[own], f, out=w)
+            logb[:k] += f
+            top = r.max()
+            np.exp(np.subtract(r, top, out=w), out=w)
+            r += stay - (top + math.log(w.sum()))  # stay and change add up to one, so this is the sum behind them too
+            logr[k], mu[k], beta[k], logb[k] = change, mu0, b0, math.log(b0)
+            now = int(np.argmax(logr[k::-1]))  # the shortest of equally likely runs
             if now < likely and likely > gap:
                 fired.append(i)
             likely = now
-        return np.asarray(fired, dtype=np.int64), [float(likely), *logr.tolist(), *mu.tolist(), *beta.tolist()]
+        return np.asarray(fired, dtype=np.int64), [float(likely), *(float(u) for part in (logr, mu, beta) for u in part[:n][::-1])]
 
 
 kernels.register("run_length", RunLength)
