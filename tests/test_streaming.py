@@ -189,3 +189,136 @@ def test_late_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     counts = online.window_counts(s, "ts", ["k"], "v", "1 hour", "10 minutes").select("window.start", "cnt")
     got = online.run_to_table(counts, str(tmp_path / "o"), str(tmp_path / "c"))
     assert sorted((r["start"].hour, r["cnt"]) for r in got.collect()) == [(0, 3), (2, 3)]
+
+
+class Held:
+    """The states of one key, as a processor sees them; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, set()
+
+    def getValueState(self, name, *schema):  # noqa: N802
+        return Cell(self, name)
+
+    getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.mark
+
+
+class Cell:
+    """A value or a map of a state."""
+
+    def __init__(self, held, name):
+        self.held, self.name = held, name
+
+    def _all(self):
+        self.held.calls += 1
+        return self.held.values.setdefault(self.name, {})
+
+    def get(self):
+        return self._all().get(None)
+
+    def update(self, value):
+        self._all()[None] = value
+
+    def clear(self):
+        self._all().clear()
+
+    def getValue(self, key):  # noqa: N802
+        return self._all()[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._all()[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self._all()[key]
+
+    def keys(self):
+        return iter(list(self._all()))
+
+    def iterator(self):
+        return iter(list(self._all().items()))
+
+
+def fed(processor, key, batches, marks, step=500):
+    """Output of a processor that gets one batch of rows before each watermark (in milliseconds)."""
+    held, out = Held(), []
+    processor.init(held)
+    for pdf, mark in zip(batches, marks):
+        held.mark = mark
+        processor.handleInputRows(key, iter([pdf.iloc[a:a + step] for a in range(0, len(pdf), step)]), held)
+        while due := [t for t in held.timers if t < mark]:
+            held.timers -= set(due)
+            out += list(processor.handleExpiredTimer(key, held, None))
+    return (pd.concat(out) if out else None), held
+
+
+def sparse_rows(n, keys, seed=2):
+    """Rows of many keys, hours apart, in any order."""
+    rng = np.random.default_rng(seed)
+    at = rng.integers(0, 700 * 3_600_000_000, n)
+    return pd.DataFrame({"event_us": at, "o": np.arange(n), "command": rng.choice([-1, -1, -1, 2, 0], n), "key_text": rng.choice([f"k{i}" for i in range(keys)], n)})
+
+
+@pytest.mark.parametrize("piece, taken, handed", [(1 << 20, 1 << 25, 1 << 23), (300, 4000, 900), (40, 40, 40)])
+def test_keys_of_a_bucket_share_calls_to_the_state(piece, taken, handed):
+    pdf = sparse_rows(4000, 150)
+    parts, marks = [pdf.sample(frac=1.0, random_state=1).iloc[i::3] for i in range(3)], [1, 2, 1_800_000_000]
+    gate = online.PlaySegments("o", "command", [2])
+    gate.piece, gate.sorted, gate.handed = piece, taken, handed
+    got, held = fed(gate, (0,), parts, marks)
+    want = set()
+    past = pdf[pdf["event_us"] < marks[-1] * 1000].sort_values(["event_us", "o"])
+    for name, part in past.groupby("key_text"):
+        active, stop = False, 0
+        for o, c in zip(part["o"], part["command"]):
+            if c == 2:
+                active = True
+            elif c == 0:
+                stop += active
+                active = False
+            elif active:
+                want.add((name, o, stop))
+    assert set(zip(got["key_text"], got["at"], got["stop_id"])) == want and len(got) == len(want) > 500
+    assert 0 < len(past) < len(pdf)
+    if piece == 1 << 20:
+        assert held.calls < 100  # 4,000 rows of 150 keys in some 700 hours
+
+
+def test_silent_keys_of_a_bucket_are_let_go():
+    hour = 3_600_000_000
+    pdf = pd.DataFrame({"event_us": [0, hour, 20 * hour, 300 * hour, 400 * hour], "o": [1, 2, 3, 4, 5], "key_text": ["a", "a", "b", "a", "c"]})
+    first = online.FirstRow("o", 100 * hour)
+    got, held = fed(first, (0,), [pdf.iloc[:3], pdf.iloc[3:]], [30 * 3_600_000, 350 * 3_600_000])
+    assert sorted(zip(got["key_text"], got["o"])) == [("a", 1), ("a", 4), ("b", 3)]
+    assert sorted(first.known) == ["a", "c"]  # b is forgotten, c still waits
+
+
+def test_dense_streams_meet_without_pairs():
+    """Every row has hundreds of partners in reach; the gate sees each row once."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    pdf = pd.DataFrame({"event_us": np.sort(rng.integers(0, 3_000_000, n)), "o": rng.permutation(n), "channel": rng.integers(0, 2, n)})
+    gate = online.PairGate(["k"], "o", "channel", 400_000, 90_000)
+    seen, plain = [], gate.ready
+    gate.ready = lambda rows: (seen.append(len(rows)), plain(rows))[1]
+    got, held = fed(gate, ("a",), [pdf], [3_500])
+    rows, last, want = sorted(zip(pdf["event_us"], pdf["o"], pdf["channel"])), None, []
+    for i, (at, o, c) in enumerate(rows):
+        if at >= 3_500_000 - 400_000:
+            break
+        before = max(((a, p) for a, p, d in rows[:i] if d != c and at - a <= 400_000), default=None)
+        if before and (last is None or (before > last and at - last[0] > 90_000)):
+            last = (at, o)
+            want.append(o)
+    assert got["at"].tolist() == want and len(want) > 20
+    assert sum(seen) == n and held.calls < 60
