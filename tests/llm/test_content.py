@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -414,3 +415,67 @@ def test_leaks_of_messy_and_empty_tables(spark, messy, nothing):
     assert decontaminate.clean_documents(messy, items).columns == messy.columns
     assert decontaminate.leak_table(nothing, items).count() == 0
     assert decontaminate.leak_table(messy, items.limit(0)).count() == 0
+
+
+def latent_search(items):
+    """A search over a space of random vectors."""
+    vectors = np.random.default_rng(1).standard_normal((decontaminate.BUCKETS + 1, decontaminate.RANK)).astype(np.float32)
+    space = decontaminate.Space(np.ones(decontaminate.BUCKETS, np.float32), np.arange(1, decontaminate.BUCKETS + 1, dtype=np.int32), vectors)
+    return decontaminate.Search(*decontaminate.read_items(items, space), space)
+
+
+def test_word_bounds_of_regions_equal_a_plain_count():
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(40)]
+    search = latent_search([(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate((3, 9, 16, 30, 61))])
+    chunks = [decontaminate.buckets_of(" ".join(rng.choices(vocabulary + ["other"] * 60, k=n))) for n in (0, 1, 20, 150, 700)]
+    found = {(c, i): bounds for c, i, bounds in search._shared(chunks)}
+    for c, ids in enumerate(chunks):
+        for i, item in enumerate(search.items):
+            plain = [sum(min(n, item.words[w].bit_count()) for w, n in Counter(ids[a:a + search.span[i]].tolist()).items() if w in item.words)
+                     for a in range(len(ids))]
+            assert ((c, i) in found) == any(p >= decontaminate.LOOSE * item.n for p in plain)
+            assert (c, i) not in found or found[c, i].tolist() == plain
+    assert 0 < len(found) < len(chunks) * len(search.items)
+
+
+def test_texts_searched_together_have_the_leaks_of_each_alone(monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([8, 20, 60])))) for i in range(20)]
+    search = latent_search(items)
+    texts = ["", "...", *(" ".join(rng.choices(vocabulary, k=rng.choice([5, 80, 400])) + [items[k % 20][1]] + rng.choices(vocabulary, k=30)) for k in range(60))]
+    checked = []
+    plain = decontaminate.Search._check
+    monkeypatch.setattr(decontaminate.Search, "_check", staticmethod(lambda item, *rest: checked.append(1) or plain(item, *rest)))
+    together = search.leaks_of_all(texts)
+    assert together == [search.leaks(t) for t in texts]
+    assert all(k % 20 in {x["item_id"] for x in found} for k, found in enumerate(together[2:]))
+    assert len(checked) / 2 < 3 * len(texts)
+
+
+def test_recall_against_every_region_beyond_the_sample(spark):
+    rng = random.Random(13)
+    vocabulary = [f"w{int(k)}" for k in np.random.default_rng(13).exponential(300, 4000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([10, 25, 50])))) for i in range(20)]
+    docs = [(k, " ".join([f"text{k}", *rng.choices(vocabulary, k=60)])) for k in range(decontaminate.SAMPLE + 300)]
+    for k in range(0, len(docs), 10):  # a paraphrase of three to nine words in ten
+        loss = rng.random() * 0.6
+        words = [rng.choice(vocabulary) if rng.random() < loss else w for w in items[k % 20][1].split()]
+        docs[k] = (k, " ".join([docs[k][1], *words, *rng.choices(vocabulary, k=20)]))
+    df, asked = (spark.createDataFrame(rows, f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id")))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leak_table(df, asked).collect()}
+    rows, n = decontaminate.frequencies(df)
+    weights = decontaminate.weigh(rows, n, decontaminate.frequencies(asked)[1] > 0)
+    space = decontaminate.Space(weights, np.arange(1, decontaminate.BUCKETS + 1, dtype=np.int32), latent_search(items).space.vectors)
+    every = decontaminate.Search(*decontaminate.read_items(items, space), space)
+    wanted = set()
+    for d, text in docs:
+        ids = space.weighted(decontaminate.buckets_of(text))
+        for k, item in enumerate(every.items):
+            words = ids.tolist()
+            if sum(item.words[w].bit_count() for w in item.words.keys() & set(words)) >= decontaminate.LOOSE * item.n:
+                spans = (words[a:a + int(every.span[k])] for a in range(len(words)))
+                wanted |= {(d, item.item_id) for s in spans if decontaminate.Search._check(item, s, set(s))}
+    print('recall', len(wanted & found), len(wanted))
+    assert len(wanted) > 100 and len(wanted & found) >= 0.9 * len(wanted)
