@@ -116,6 +116,25 @@ def test_permuted_positions_are_permutations(spark, scheme):
         assert abs(seen / seen.mean() - 1).max() < 0.35
 
 
+@pytest.mark.parametrize("scheme", ["full", "within", "blocks"])
+def test_packed_permutations_have_the_alarms_of_permuted_rows(small_chunks, monkeypatch, scheme):
+    from tidemark.operators import studies
+    from tidemark.operators.detectors.linked import detect
+
+    monkeypatch.setattr(M, "PACK", 50)
+    rng = np.random.default_rng(5)
+    x = np.where(np.arange(1400) // 100 % 2 == 0, 5.0, 9.0) + rng.normal(0, 1, 1400)
+    rows = [("abn"[i % 2] if i else None, f"g{i // 90}" if i % 50 else None, i, float(v) if i % 31 else (None if i % 2 else float("nan"))) for i, v in enumerate(x)]
+    s = ordered.series(small_chunks.createDataFrame(rows, "k string, g string, o long, x double"), ["k"], ["o"])
+    config = {"cfg": "c", "detector": "mean_split", "delta": 0.2, "min_window": 20, "cooldown": 10, "max_window": 120}
+    permuted = M.permuted(s, scheme, "g", 6)
+    want = {(r["k"], r["rep"]): r["n"] for r in detect(permuted, "x", [config]).groupBy("k", "rep").agg(F.count(F.lit(1)).alias("n")).collect()}
+    packed = M.packed_permutations(s, "x", scheme, "g", 6, 300)
+    assert packed.count() < permuted.df.count() / 5
+    got = {(r["k"], r["rep"]): r["k_"] for r in studies.permuted_alarms(s, "x", config, scheme, "g", 6).toDF("k", "rep", "k_").collect()}
+    assert got == want and len(want) > 6
+
+
 def plain_p(a, b):
     """Share of all ways to choose the rows of the first side whose distance is as large."""
     pool = sorted(a + b)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.functions.hashing import POISSON_STEPS, PRIME, row_hash, shuffled, uniform, uniform_array
+from tidemark.functions.hashing import POISSON_STEPS, PRIME, row_hash, shuffled, shuffled_array, uniform, uniform_array
 from tidemark.operators.joins import small
 from tidemark.operators.ordered import Series, series
 from tidemark.operators.quantiles import exact_quantiles
 
 RANGE = float(1 << 32)
+PACK = 4096  # rows of a run that is permuted at once
 
 
 def hash_cap(df: DataFrame, keys: list[str], row_id: str, cap: int, seed: int = 42) -> DataFrame:
@@ -207,6 +211,28 @@ def line_band(fits: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
     return mean.join(interval(at, [*keys, "x"], "pred"), [*keys, "x"])
 
 
+def _blocks(s: Series, block: str) -> tuple[Series, DataFrame]:
+    """Rows with their place in their block, and the blocks with size, rank and first position, by their first row."""
+    keys, idx = s.keys, s.idx
+    inner = series(s.df, [*keys, block], [idx], "_offset")
+    found = inner.df.groupBy(*keys, block).agg(F.min(idx).alias("_first"), F.count(F.lit(1)).alias("_m"))
+    order = Window.partitionBy(*keys).orderBy("_first")
+    whole = Window.partitionBy(*keys)
+    blocks = found.select(*keys, F.col(block), "_m", (F.row_number().over(order) - 1).cast("long").alias("_rank"),
+                          F.count(F.lit(1)).over(whole).alias("_n"),
+                          F.coalesce(F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return inner, blocks
+
+
+def _begins(blocks: DataFrame, keys: list[str], block: str, reps: int) -> DataFrame:
+    """First position of every block in each replicate."""
+    replicates = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
+    moved = shuffled(blocks.withColumn("_zero", F.lit(0).cast("long")).select("*", replicates), "_rank", "_n", "_zero", "rep", "_turn")
+    turn = Window.partitionBy(*keys, "rep").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)
+    begins = moved.select(*keys, block, "rep", F.coalesce(F.sum("_m").over(turn), F.lit(0)).alias("_begin"))
+    return begins.groupBy(*keys, block).agg(F.collect_list(F.struct("rep", "_begin")).alias("_reps"))  # reps entries each
+
+
 def permuted(s: Series, scheme: str, block: str, reps: int) -> Series:
     """Every series in ``reps`` permuted orders: the keys and ``rep`` are the new keys.
 
@@ -221,21 +247,12 @@ def permuted(s: Series, scheme: str, block: str, reps: int) -> Series:
         rows = s.df.join(small(sizes), keys).withColumn("_start", F.lit(0).cast("long")).select("*", replicates)
         out = shuffled(rows, idx, "_n", "_start", "rep", "_new").drop("_n", "_start")
     elif scheme in ("within", "blocks"):
-        inner = series(s.df, [*keys, block], [idx], "_offset")
-        found = inner.df.groupBy(*keys, block).agg(F.min(idx).alias("_first"), F.count(F.lit(1)).alias("_m"))
-        order = Window.partitionBy(*keys).orderBy("_first")
-        whole = Window.partitionBy(*keys)
-        blocks = found.select(*keys, F.col(block), "_m", (F.row_number().over(order) - 1).cast("long").alias("_rank"),
-                              F.count(F.lit(1)).over(whole).alias("_n"),
-                              F.coalesce(F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+        inner, blocks = _blocks(s, block)
         if scheme == "within":
             rows = inner.df.join(small(blocks), [*keys, block]).select("*", replicates)
             out = shuffled(rows, "_offset", "_m", "_start", "rep", "_new").withColumn("_new", F.col("_new") + F.col("_start"))
         else:
-            moved = shuffled(blocks.withColumn("_zero", F.lit(0).cast("long")).select("*", replicates), "_rank", "_n", "_zero", "rep", "_turn")
-            turn = Window.partitionBy(*keys, "rep").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)
-            begins = moved.select(*keys, block, "rep", F.coalesce(F.sum("_m").over(turn), F.lit(0)).alias("_begin"))
-            lists = begins.groupBy(*keys, block).agg(F.collect_list(F.struct("rep", "_begin")).alias("_reps"))  # reps entries each
+            lists = _begins(blocks, keys, block, reps)
             out = inner.df.join(small(lists), [*keys, block]).select("*", F.inline("_reps")).withColumn("_new", F.col("_begin") + F.col("_offset"))
         out = out.drop("_offset", "_m", "_rank", "_n", "_start", "_begin", "_reps")
     else:
@@ -243,6 +260,65 @@ def permuted(s: Series, scheme: str, block: str, reps: int) -> Series:
     return Series(out.drop(idx).withColumnRenamed("_new", idx), [*keys, "rep"], idx, s.count * reps, s.longest)
 
 
+def packed_permutations(s: Series, value: str, scheme: str, block: str, reps: int, size: int) -> DataFrame:
+    """The orders of ``permuted`` without a row for every row and replicate: runs of rows are packed first.
+
+    One row per run, replicate and chunk of ``size`` new positions that it reaches: the keys, ``rep``, ``chunk``, the
+    positions in the chunk (``at``, 32-bit) and the values there (``x``, doubles, null as NaN).
+    """
+    keys, idx = list(s.keys), s.idx
+    if scheme == "full":
+        packs = _packed(s.df.withColumn("_place", F.col(idx)), keys, value)
+        sizes = s.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        packs = packs.join(small(sizes), keys).withColumn("_start", F.lit(0).cast("long"))
+    elif scheme in ("within", "blocks"):
+        inner, blocks = _blocks(s, block)
+        packs = _packed(inner.df.withColumn("_place", F.col("_offset")), [*keys, block], value)
+        if scheme == "within":
+            packs = packs.join(small(blocks.withColumnRenamed("_m", "_size")), [*keys, block]).withColumn("_n", F.col("_size"))
+        else:
+            packs = packs.join(small(_begins(blocks, keys, block, reps)), [*keys, block])
+    else:
+        raise ValueError(f"unknown scheme {scheme}")
+    names = {f.name: f.dataType.simpleString() for f in s.df.schema.fields}
+    moved = scheme == "blocks"
+    extra = [F.transform("_reps", lambda r: r["rep"]).alias("_rep"), F.transform("_reps", lambda r: r["_begin"]).alias("_begin")] if moved else ["_n", "_start"]
+
+    def places(place: np.ndarray, row: dict) -> Iterator[tuple[int, np.ndarray]]:
+        if moved:
+            yield from ((r, place + b) for r, b in zip(row["_rep"], row["_begin"]))
+        else:
+            n, start = np.int64(row["_n"]), np.int64(row["_start"])
+            yield from ((r, shuffled_array(place, n, start, np.int64(r)) + start) for r in range(reps))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c not in ("_places", "_values")}
+                place = batch.column("_places")[i].values.to_numpy()
+                x = batch.column("_values")[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                out = []
+                for rep, new in places(place, row):
+                    chunk, at = np.divmod(new, size)
+                    first, last = int(chunk.min()), int(chunk.max())
+                    for c in range(first, last + 1):
+                        own = slice(None) if first == last else chunk == c
+                        if len(at[own]):
+                            out.append((rep, c, at[own].astype(np.int32).tobytes(), x[own].tobytes()))
+                columns = [pa.array([row[k]] * len(out), batch.schema.field(k).type) for k in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, *(pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary())))],
+                    [*keys, "rep", "chunk", "at", "x"])
+
+    spread = packs.select(*keys, "_places", "_values", *extra).repartition(session.parallelism(s.spark))
+    return spread.mapInArrow(run, ", ".join(f"`{k}` {names[k]}" for k in keys) + ", rep int, chunk bigint, at binary, x binary")
+
+
+def _packed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Runs of at most PACK neighbouring places of each key as two arrays."""
+    run = df.groupBy(*keys, F.floor(F.col("_place") / PACK).alias("_run")).agg(F.collect_list(F.struct("_place", F.col(value).cast("double").alias("x"))).alias("_rows"))
+    return run.select(*keys, F.transform("_rows", lambda r: r["_place"]).alias("_places"), F.transform("_rows", lambda r: r["x"]).alias("_values"))
+
 
 def weighted_draws(df: DataFrame, weight: str, order: str, draws: int, rep: int = 0) -> DataFrame:
     """``draws`` rows with replacement, with chances in proportion to the weight.

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +13,14 @@ from tidemark import session
 from tidemark.functions import scalars
 from tidemark.functions.hashing import uniform
 from tidemark.operators import gates
+from tidemark.operators.detectors import kernels
+from tidemark.operators.detectors.linked import _bound as bound_config
 from tidemark.operators.detectors.linked import detect
 from tidemark.operators.evaluate import evaluate, games_per_period, latency, with_wilson
 from tidemark.operators.ordered import Series, series
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.rankings import winners
-from tidemark.operators.sampling import game_folds, permuted
+from tidemark.operators.sampling import game_folds, packed_permutations, permuted
 
 
 def fold_streams(df: DataFrame, keys: list[str], fold: str, order: list[str], period="year", game="match_id") -> dict[str, Series]:
@@ -59,6 +65,68 @@ def stored_alarms(s: Series, value: str, stored: DataFrame, text: str, smoother)
     return hits.join(stored.withColumnRenamed(text, "cfg"), [*s.keys, "cfg"], "left_semi")
 
 
+def permuted_alarms(s: Series, value: str, config: dict, scheme: str, block: str, reps: int) -> DataFrame:
+    """Alarms (``_k``) of one configuration on every permuted series that has any.
+
+    Without a smoother the permuted values come packed, and a task reads the chunks of a series in order; it keeps one
+    chunk, the state of the detector and the rows before that it may look back on. Rows that are not finite are passed over.
+    """
+    if (config.get("smoother") or ("none", {}))[0] != "none":
+        return detect(permuted(s, scheme, block, reps), value, [config]).groupBy(*s.keys, "rep").agg(F.count(F.lit(1)).alias("_k"))
+    keys, size = list(s.keys), session.chunk_rows(s.spark)
+    kernel = kernels.DETECTORS[config["detector"]]
+    bound = bound_config(config)
+    numbers = {k: (v({}) if callable(v) else v) for k, v in bound.items() if not k.startswith("_")}
+    back = kernel.reach(numbers) if kernel.settles else 0
+    group = [*keys, "rep"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, chunk, parts, state = None, None, [], None
+        k, before, lead = 0, np.zeros(0), (0.0, 0.0)
+
+        def close() -> None:
+            nonlocal parts, state, k, before, lead
+            if not parts:
+                return
+            x = np.full(1 + max(int(at.max()) for at, _ in parts), np.nan)
+            for at, v in parts:
+                x[at] = v
+            x, parts = x[np.isfinite(x)], []
+            if len(x):
+                hits, end = kernel.run(numbers, list(state or kernel.cold(numbers)), before, x, lead)
+                k, state, lead = k + len(hits), [float(v) for v in end], (lead[0] + len(x), lead[1] + float(x.sum()))
+                before = np.concatenate([before, x])[-back:] if back else before
+
+        schema = None
+        for batch in batches:
+            schema, done = batch.schema, []
+            for i in range(batch.num_rows):
+                now = tuple(batch.column(c)[i].as_py() for c in group)
+                at = batch.column("chunk")[i].as_py()
+                if now != here or at != chunk:
+                    close()
+                    if now != here:
+                        if here is not None:
+                            done.append((*here, k))
+                        state, k, before, lead = None, 0, np.zeros(0), (0.0, 0.0)
+                    here, chunk = now, at
+                parts.append((np.frombuffer(batch.column("at")[i].as_py(), np.int32), np.frombuffer(batch.column("x")[i].as_py())))
+            yield counted(done, schema)
+        if here is not None:
+            close()
+            yield counted([(*here, k)], schema)
+
+    def counted(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        kinds = [*(schema.field(c).type for c in group), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], [*group, "_k"])
+
+    names = {f.name: f.dataType.simpleString() for f in s.df.schema.fields}
+    packed = packed_permutations(s, value, scheme, block, reps, size)
+    dealt = packed.repartition(session.parallelism(s.spark), *group).sortWithinPartitions(*group, "chunk")
+    found = dealt.mapInArrow(run, ", ".join(f"`{c}` {names[c]}" for c in keys) + ", rep int, `_k` bigint")
+    return found.where("_k > 0")
+
+
 def permutation_null(
     df: DataFrame, keys: list[str], value: str, config: dict, reps: int, scheme: str, block: str, order: list[str],
 ) -> DataFrame:
@@ -68,7 +136,7 @@ def permutation_null(
     """
     real = series(df, keys, order)
     observed = detect(real, value, [config]).groupBy(*keys).agg(F.count(F.lit(1)).alias("k_obs"))
-    counts = detect(permuted(real, scheme, block, reps), value, [config]).groupBy(*keys, "rep").agg(F.count(F.lit(1)).alias("k"))
+    counts = permuted_alarms(real, value, config, scheme, block, reps).withColumnRenamed("_k", "k")
     every = df.select(*keys).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     counts = every.join(counts, [*keys, "rep"], "left").join(observed, keys, "left").fillna(0, ["k", "k_obs"])
     q = exact_quantiles(counts, keys, "k", [0.05, 0.5, 0.95])
