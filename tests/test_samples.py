@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import hashing
 from tidemark.functions.hashing import POISSON_STEPS, PRIME, row_hash
 from tidemark.operators import ordered
 from tidemark.operators import sampling as M
@@ -94,6 +95,32 @@ def test_replicate_sums_equal_a_loop(spark):
     assert len(one) == 7 and all(r["t"] == r["n"] for r in one)
 
 
+def test_folded_draws_equal_the_steps_of_uniform():
+    """Also at the ends of the range of ids and where a numerator meets a step."""
+    rng = np.random.default_rng(6)
+    ids = np.concatenate([[0, 1, PRIME - 2, PRIME - 1], rng.integers(0, PRIME, 3000)])
+    rep = np.arange(400, dtype=np.int64)
+    want = np.searchsorted(POISSON_STEPS, hashing.uniform_array(ids[:, None], rep), "right")
+    assert (hashing.poisson_array(ids, rep) == want).all() and want.max() >= 7
+    for step, bound in zip(POISSON_STEPS, hashing._BOUNDS.tolist()):
+        assert bound / PRIME >= step > (bound - 1) / PRIME
+
+
+def test_replicates_are_drawn_once(spark):
+    """An interval reads the replicates several times; the rows are drawn for one time only."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    rows = spark.range(40).select("id", (F.col("id") % 2).alias("k"), counted(F.col("id").cast("double")).alias("v"))
+    sums = M.replicate_sums(rows, ["k"], F.col("id"), 50, {"s": F.col("v")})
+    assert M.interval(sums.withColumn("m", F.try_divide("s", "n")), ["k"], "m").count() == 2 and sums.count() == 100
+    assert seen.value == 40
+
+
 @pytest.mark.parametrize("scheme", ["full", "within", "blocks"])
 def test_permuted_positions_are_permutations(spark, scheme):
     rows = [("ab"[i % 2], f"g{i // (7 + i % 2 * 9)}", i) for i in range(300)] + [("one", "g", 0)]

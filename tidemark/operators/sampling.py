@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.functions.hashing import POISSON_STEPS, PRIME, row_hash, shuffled, shuffled_array, uniform, uniform_array
+from tidemark.functions.hashing import PRIME, poisson_array, row_hash, shuffled, shuffled_array, uniform
 from tidemark.operators.joins import small
 from tidemark.operators.ordered import Series, series
 from tidemark.operators.quantiles import exact_quantiles
@@ -93,10 +93,11 @@ def replicate_sums(
     parts = dealt.mapInPandas(_replicate_vectors(keys, len(names), reps, first), ", ".join([f"`{k}` {kinds[k]}" for k in keys] + lists))
     zipped = F.posexplode(F.arrays_zip("_n", *[f"_s{k}" for k in range(len(names))])).alias("_at", "_v")
     flat = parts.select(*keys, zipped).select(*keys, (F.col("_at") + first).alias("rep"), "_v.*")
-    return flat.groupBy(*keys, "rep").agg(F.sum("_n").alias("n"), *[F.sum(f"_s{k}").alias(n) for k, n in enumerate(names)])
+    # few rows beside the draws they cost, and read several times by what follows
+    return session.cut(flat.groupBy(*keys, "rep").agg(F.sum("_n").alias("n"), *[F.sum(f"_s{k}").alias(n) for k, n in enumerate(names)]))
 
 
-DRAWS, VECTORS = 1 << 20, 4 << 20  # draws made at once; numbers kept before vectors are sent on
+DRAWS, VECTORS = 1 << 16, 4 << 20  # draws made at once, so that they stay in the cache; numbers kept before vectors are sent on
 
 
 def _replicate_vectors(keys: list[str], width: int, reps: int, first: int):
@@ -117,11 +118,12 @@ def _replicate_vectors(keys: list[str], width: int, reps: int, first: int):
                 key = [part[k].iloc[0] for k in keys]
                 _, n, s = kept.setdefault(str(key), (key, np.zeros(reps, np.int64), np.zeros((width, reps))))
                 ids, values = part["_id"].to_numpy(np.int64), part[columns].to_numpy(float)
-                step = max(1, DRAWS // reps)
+                counted = np.column_stack([np.ones(len(ids)), values]).T
+                step = max(1, DRAWS // max(reps, 1))
                 for at in range(0, len(ids), step):
-                    drawn = np.searchsorted(POISSON_STEPS, uniform_array(ids[at:at + step, None], rep), "right")
-                    n += drawn.sum(axis=0)
-                    s += values[at:at + step].T @ drawn.astype(float)
+                    sums = counted[:, at:at + step] @ poisson_array(ids[at:at + step], rep)
+                    n += sums[0].astype(np.int64)
+                    s += sums[1:]
                 if len(kept) * reps * (1 + width) > VECTORS:
                     yield rows_of(kept)
                     kept.clear()
