@@ -1,5 +1,7 @@
 """Series, prefix sums, frames and quantiles on split and whole paths."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -129,3 +131,47 @@ def test_values_that_are_not_finite_are_left_out(spark):
 def test_average_ranks_share_ties(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "v double").withColumn("k", F.lit("a"))
     assert sorted(r["rank"] for r in quantiles.average_ranks(df, ["k"], "v").collect()) == [1.0, 2.5, 2.5, 4.0]
+
+
+@pytest.mark.parametrize("split", [True, False])
+def test_running_gives_the_next_value(small_chunks, split):
+    rows = [(f"k{i % 3}", float(i * 37 % 101), 1) for i in range(100)] + [("one", 5.0, 1)]
+    df = small_chunks.createDataFrame(rows, "k string, v double, c long").repartition(5)
+    out = ordered.running(df, ["k"], ["v"], {"below": F.col("c")}, {}, split, {"above": "v"}).collect()
+    assert len(out) == len(rows) and set(out[0].asDict()) == {"k", "v", "c", "below", "above"}
+    for k in {r[0] for r in rows}:
+        values = sorted(r[1] for r in rows if r[0] == k)
+        got = {r["v"]: (r["below"], r["above"]) for r in out if r["k"] == k}
+        assert got == {v: (i, values[i + 1] if i + 1 < len(values) else None) for i, v in enumerate(values)}
+
+
+@pytest.mark.parametrize("chunks", [False, True])
+def test_shift_table_reads_values_once_and_meets_no_slots(spark, request, chunks):
+    """Values were read by every statistic, and two rows of every slot of every key met in one hash table."""
+    if chunks:
+        request.getfixturevalue("small_chunks")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i % 2}", i % 7, float(v)) for i, v in enumerate(rng.integers(0, 300, 1500))] + [("k0", 8, 4.0), ("k1", 9, float("nan")), ("k1", None, 2.0), ("k1", None, 7.0)]
+    df = spark.createDataFrame(rows, "f string, k long, v double").repartition(4)
+    base = df.where("k < 2")
+    read = df.select("f", "k", counted("v").alias("v"))
+    out = distance.shift_table(read, ["f", "k"], "v", base, ["f"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate [" in x and re.search(r"\bj#", x)]
+    got = {(r["f"], r["k"]): (r["ks"], r["wd"]) for r in out.collect()}
+    assert seen.value <= 2 * len(rows)  # once, or once by the filter and once by the counts
+    grid = np.linspace(0, 1, distance.GRID)
+    for f, k in {r[:2] for r in rows if r[1] not in (9, None)}:
+        x = np.sort([v for g, j, v in rows if (g, j) == (f, k)])
+        y = np.sort([v for g, j, v in rows if g == f and j is not None and j < 2])
+        at = np.concatenate([x, y])
+        ks = np.abs(np.searchsorted(x, at, "right") / len(x) - np.searchsorted(y, at, "right") / len(y)).max()
+        assert got[f, k] == pytest.approx((ks, np.abs(np.quantile(x, grid) - np.quantile(y, grid)).mean()), rel=1e-9)
+    assert ("k1", 9) not in got and ("k1", None) not in got and len(got) == 15

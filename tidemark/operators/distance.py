@@ -10,7 +10,8 @@ from pyspark.sql.types import DoubleType
 
 from tidemark import session
 from tidemark.operators.ordered import running
-from tidemark.operators.quantiles import cumulative, quantile_grid
+from tidemark.operators.joins import small
+from tidemark.operators.quantiles import accumulated, cumulative, grid_of, quantile_grid, value_counts
 from tidemark.schema import finite
 
 GRID = 2000
@@ -90,8 +91,13 @@ def ks_against(df: DataFrame, keys: list[str], value: str, base: DataFrame, shar
     """
     shared = shared or []
     own = cumulative(df.where(finite(value)), keys, value)
+    return _ks(own, keys, value, value_counts(base.where(finite(value)), shared, value), shared)
+
+
+def _ks(own: DataFrame, keys: list[str], value: str, base: DataFrame, shared: list[str]) -> DataFrame:
+    """KS from the accumulated values of the keys and the counted ones of the baseline."""
     marks = own.select(*shared, value).distinct().withColumn("_cnt", F.lit(0).cast("bigint"))
-    counted = base.where(finite(value)).groupBy(*shared, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    counted = base.select(*shared, value, F.col("cnt").alias("_cnt"))
     axis = marks.unionByName(counted).groupBy(*shared, value).agg(F.sum("_cnt").alias("_cnt"))
     b = running(axis, shared, [value], {"_bb": F.col("_cnt")}, {"_nb": "_bb"}).select(
         *shared, value, "_bb", (F.col("_bb") + F.col("_cnt")).alias("_be"), "_nb")
@@ -116,9 +122,14 @@ def wasserstein_against(
 ) -> DataFrame:
     """Wasserstein distance of every key to one common baseline."""
     shared = shared or []
-    own = quantile_grid(df.where(finite(value)).select(*keys, value), keys, value, points)
-    ref = quantile_grid(base.where(finite(value)).select(*shared, value), shared, value, points)
-    joined = own.join(ref.withColumnRenamed("q", "_b"), [*shared, "j"])
+    own = cumulative(df.where(finite(value)), keys, value)
+    return _wasserstein(own, keys, value, cumulative(base.where(finite(value)), shared, value), shared, points)
+
+
+def _wasserstein(own: DataFrame, keys: list[str], value: str, base: DataFrame, shared: list[str], points: int = GRID) -> DataFrame:
+    """Wasserstein distance from the accumulated values of both sides."""
+    ref = session.cut(grid_of(base, shared, value, points).withColumnRenamed("q", "_b"))
+    joined = grid_of(own, keys, value, points).join(small(ref), [*shared, "j"])
     return joined.groupBy(*keys).agg(F.avg(F.abs(F.col("q") - F.col("_b"))).alias("wd"))
 
 
@@ -127,14 +138,20 @@ def shift_table(
 ) -> DataFrame:
     """KS and Wasserstein of every key against the baseline.
 
-    The two statistics read the values several times; ``store`` writes them once
-    to the checkpoint folder, for inputs that are costly to compute.
+    Values are read and counted once, and both statistics go on from the counts. ``store`` writes the
+    values to the checkpoint folder first, for a baseline that shares a costly input with the keys.
     """
+    shared = shared or []
     if store:
         df = session.cut(df.select(*keys, value))
-        base = session.cut(base.select(*(shared or []), value))
-    return ks_against(df, keys, value, base, shared).join(
-        wasserstein_against(df, keys, value, base, shared), keys)
+        base = session.cut(base.select(*shared, value))
+    counts = session.cut(value_counts(df.where(finite(value)), keys, value))
+    counted = session.cut(value_counts(base.where(finite(value)), shared, value))
+    # a key gives up to GRID slots however few bytes it has, so partitions are not merged by their size
+    dealt = counts.repartition(session.parallelism(df.sparkSession), *keys)
+    own = accumulated(dealt, keys, value)
+    return _ks(own, keys, value, counted, shared).join(
+        _wasserstein(own, keys, value, accumulated(counted, shared, value), shared), keys)
 
 
 def melt_features(df: DataFrame, ids: list[str], features: dict[str, Column]) -> DataFrame:

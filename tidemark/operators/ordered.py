@@ -59,13 +59,15 @@ def running(
     sums: dict[str, Column],
     totals: dict[str, str] | None = None,
     split: bool | None = None,
+    following: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add sums over all earlier rows of the key (the row itself excluded).
 
     ``sums`` maps the new column to the summed expression.  ``totals`` maps a new
-    column to the name of a sum whose key total is wanted on each row.
+    column to the name of a sum whose key total is wanted on each row.  ``following``
+    maps a new column to one without nulls whose value in the next row is wanted.
     """
-    totals = totals or {}
+    totals, following = totals or {}, following or {}
     spark = df.sparkSession
     valued = df.select("*", *[e.alias(f"_v_{n}") for n, e in sums.items()])
     if split is None:
@@ -78,26 +80,33 @@ def running(
             "*",
             *[F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)).alias(n) for n in sums],
             *[F.sum(f"_v_{s}").over(whole).alias(t) for t, s in totals.items()],
+            *[F.lead(c).over(Window.partitionBy(*keys).orderBy(*order)).alias(n) for n, c in following.items()],
         )
         return out.drop(*drop)
     placed = range_placed(valued, keys, order)
     parts = placed.groupBy(*keys, "_part").agg(
-        *[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in sums])
+        *[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in sums],
+        *[F.min_by(c, "_slot").alias(f"_f_{n}") for n, c in following.items()])
     w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = parts.select(
         *keys, "_part",
         *[F.coalesce(F.sum(f"_p_{n}").over(w), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.sum(f"_p_{s}").over(whole).alias(t) for t, s in totals.items()],
+        *[F.lead(f"_f_{n}").over(Window.partitionBy(*keys).orderBy("_part")).alias(f"_b_{n}") for n in following],
     )
     local = Window.partitionBy("_part", *keys).orderBy("_slot").rowsBetween(
         Window.unboundedPreceding, -1)
     out = placed.select("*", *[
-        F.coalesce(F.sum(f"_v_{n}").over(local), F.lit(0)).alias(f"_l_{n}") for n in sums])
+        F.coalesce(F.sum(f"_v_{n}").over(local), F.lit(0)).alias(f"_l_{n}") for n in sums],
+        *[F.lead(c).over(Window.partitionBy("_part", *keys).orderBy("_slot")).alias(f"_a_{n}") for n, c in following.items()])
     out = out.join(offsets, [*keys, "_part"])
     for n in sums:
         out = out.withColumn(n, F.col(f"_o_{n}") + F.col(f"_l_{n}"))
-    return out.drop(*drop, "_part", "_slot", *[f"_o_{n}" for n in sums], *[f"_l_{n}" for n in sums])
+    for n in following:
+        out = out.withColumn(n, F.coalesce(f"_a_{n}", f"_b_{n}"))
+    return out.drop(*drop, "_part", "_slot", *[f"_o_{n}" for n in sums], *[f"_l_{n}" for n in sums],
+                    *[f"_{x}_{n}" for n in following for x in "ab"])
 
 
 @dataclass(frozen=True)

@@ -23,8 +23,12 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def cumulative(df: DataFrame, keys: list[str], value: str, split: bool | None = None) -> DataFrame:
     """Distinct values with ``cnt``, ``below`` (rows strictly smaller) and ``n``."""
-    return running(value_counts(df, keys, value), keys, [value],
-                   {"below": F.col("cnt")}, {"n": "below"}, split)
+    return accumulated(value_counts(df, keys, value), keys, value, split)
+
+
+def accumulated(counts: DataFrame, keys: list[str], value: str, split: bool | None = None) -> DataFrame:
+    """``cumulative`` of counted values, with the next larger value of the key beside each (``above``)."""
+    return running(counts, keys, [value], {"below": F.col("cnt")}, {"n": "below"}, split, {"above": value})
 
 
 def exact_quantiles(
@@ -83,29 +87,29 @@ def quantile_grid(
     grid slots it serves without looking at the others.  ``percentile`` searches
     its whole map once per probability and is much slower for a grid.
     """
+    return grid_of(cumulative(df.where(F.col(value).isNotNull()), keys, value, split), keys, value, points)
+
+
+def grid_of(cum: DataFrame, keys: list[str], value: str, points: int) -> DataFrame:
+    """The same from an accumulated table.
+
+    A row gives the slots whose lower rank it holds; the upper rank is in the same row or is the next value,
+    so a slot comes from one row and nothing has to meet.
+    """
     steps = points - 1
-    cum = cumulative(df.where(F.col(value).isNotNull()), keys, value, split)
     span = F.col("n") - 1
     ceil_div = lambda a, b: F.floor((a + b - 1) / b).cast("long")
-    low, high = F.col("below"), F.col("below") + F.col("cnt") - 1
-
-    def slots(shift: int) -> Column:
-        # j with floor(j * span / steps) + shift inside [low, high]
-        a, b = F.greatest(low - shift, F.lit(0)), high - shift
-        first = ceil_div(a * steps, F.greatest(span, F.lit(1)))
-        last = ceil_div((b + 1) * steps, F.greatest(span, F.lit(1))) - 1
-        last = F.least(last, F.lit(steps))
-        single = F.when(F.lit(shift) == 0, F.sequence(F.lit(0), F.lit(steps)).cast("array<bigint>"))
-        found = F.when((b >= 0) & (last >= first), F.sequence(first, last))
-        return F.when(span == 0, single).otherwise(found)
-
-    rows = []
-    for shift in (0, 1):
-        r = cum.select(*keys, "n", value, F.explode(slots(shift)).alias("j"))
-        frac = (F.col("j") * (F.col("n") - 1) % steps) / F.lit(float(steps))
-        rows.append(r.select(*keys, "j", ((1 - frac if shift == 0 else frac) * F.col(value)).alias("w")))
-    return rows[0].unionByName(rows[1]).groupBy(*keys, F.col("j").cast("int").alias("j")).agg(
-        F.sum("w").alias("q"))
+    high = F.col("below") + F.col("cnt") - 1
+    # j with floor(j * span / steps) inside [below, high]
+    first = ceil_div(F.col("below") * steps, F.greatest(span, F.lit(1)))
+    last = F.least(ceil_div((high + 1) * steps, F.greatest(span, F.lit(1))) - 1, F.lit(steps))
+    slots = F.when(span == 0, F.sequence(F.lit(0), F.lit(steps)).cast("array<bigint>")).when(last >= first, F.sequence(first, last))
+    r = cum.select(*keys, F.col(value).alias("_low"), "above", (high + 1).alias("_end"), "n", F.explode(slots).alias("j"))
+    place = F.col("j") * (F.col("n") - 1)
+    frac = (place % steps) / F.lit(float(steps))
+    inside = F.floor(place / steps) + 1 < F.col("_end")
+    upper = F.when(inside | (frac == 0), F.col("_low")).otherwise(F.col("above"))
+    return r.select(*keys, F.col("j").cast("int").alias("j"), ((1 - frac) * F.col("_low") + frac * upper).alias("q"))
 
 
 def median(df: DataFrame, keys: list[str], value: str, name: str = "med") -> DataFrame:
