@@ -153,3 +153,30 @@ def test_angles_wrap(spark):
     x = [-7.0, -math.pi, 0.0, 3.0, 4.0, 10.0]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "d double").select(scalars.wrap_angle("d")).collect()]
     np.testing.assert_allclose(got, [(v + math.pi) % (2 * math.pi) - math.pi for v in x])
+
+
+def test_gap_fill_shares_tasks_between_tracks(spark):
+    """Many short tracks, also without a key, come as one stream: no call a track, whatever the size of a batch."""
+    rng = np.random.default_rng(1)
+    parts = {k: 5.0 + np.cumsum(rng.uniform(0.003, 0.05, 3 + k % 40)) for k in range(60)}
+    rows = [(None if k == 7 else k, f"g{k % 2}", float(t), float(i)) for k, ts in parts.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "k long, g string, t double, x double")
+    plan = detect_plan(tracks.drop_bursts(df, ["k", "g"], "t"))
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {}
+            for r in tracks.fill_gaps(df, ["k", "g"], "t", ["x"]).collect():
+                got.setdefault(r["k"], []).append((r["t"], r["mask"]))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(got) == [k for k in parts if k != 7]
+        for k, seen in got.items():
+            want = plain_fill(parts[k].tolist())
+            assert [m for _, m in sorted(seen)] == [m for _, m in want]
+            np.testing.assert_allclose([t for t, _ in sorted(seen)], [t for t, _ in want], atol=1e-9)
+
+
+def detect_plan(df):
+    return df._jdf.queryExecution().toString()

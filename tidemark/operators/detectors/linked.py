@@ -12,10 +12,12 @@ series one after another in one task, which keeps a chunk and the state of the d
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,15 +41,14 @@ def _resolve(c: dict, facts: dict) -> dict:
 
 
 class _Piece:
-    """One chunk with its halo; smoothed signals are shared by configurations."""
-
-    def __init__(self, pdf: pd.DataFrame, idx: str, value: str, facts: list[str]):
-        pdf = pdf.sort_values(idx, kind="stable")
-        self.at = pdf[idx].to_numpy()
-        self.raw = pdf[value].to_numpy(dtype=float)
-        self.own = pdf["_own"].to_numpy()
-        self.facts = {f: pdf[f].iloc[0] for f in facts}
-        self.stop = bool(self.at[-1] == pdf["_end"].iloc[0])
+    """One chunk with its halo, as columns sorted by position; smoothed signals are shared by configurations."""
+
+    def __init__(self, rows, idx: str, value: str, facts: list[str]):
+        self.at = np.asarray(rows[idx])
+        self.raw = np.asarray(rows[value], dtype=float)
+        self.own = np.asarray(rows["_own"])
+        self.facts = {f: np.asarray(rows[f])[0] for f in facts}
+        self.stop = bool(self.at[-1] == np.asarray(rows["_end"])[0])
         self.cache: dict = {}
 
     def signal(self, c: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,6 +78,36 @@ class _Piece:
         return at[hits], [float(v) for v in state], [float(v) for v in stop]
 
 
+def _sorted_groups(batches: Iterator[pa.RecordBatch], group: list[str], columns: list[str]) -> Iterator[tuple[dict, dict]]:
+    """(values of the group, its rows as arrays) one group at a time, from rows that come sorted by group."""
+    held, key, last = [], None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        seen = pa.Table.from_batches([last, batch] if held else [batch]).combine_chunks()
+        change = np.zeros(seen.num_rows - 1, dtype=bool)
+        for g in group:
+            code = seen.column(g).combine_chunks().dictionary_encode(null_encoding="encode")
+            code = code.indices.to_numpy(zero_copy_only=False)
+            change |= code[1:] != code[:-1]
+        starts = np.flatnonzero(change) + (0 if held else 1)
+        if not held:
+            starts = np.concatenate([[0], starts])
+        keys = batch.select(group).take(pa.array(starts, pa.int64())).to_pylist()
+        arrays = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+        at = 0
+        for start, found in zip(starts.tolist(), keys):
+            if start > at:
+                held.append({c: a[at:start] for c, a in arrays.items()})
+            if held:
+                yield key, held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in columns}
+            held, key, at = [], found, start
+        held.append({c: a[at:] for c, a in arrays.items()})
+        last = batch.slice(batch.num_rows - 1)
+    if held:
+        yield key, held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in columns}
+
+
 def _same(a, b) -> F.Column:
     close = F.zip_with(a, b, lambda x, y: (x == y) | (
         F.abs(x - y) <= TOLERANCE * (1 + F.abs(x))))
@@ -152,20 +183,42 @@ def detect(
             out[k] = v
         return out[[*keys, "cfg", "_chunk", "start", "stop", "hits"]]
 
-    def first(key, pdf):
-        piece = _Piece(pdf, idx, value, facts)
-        chunk, batch = int(key[len(keys)]), int(key[len(keys) + 1])
-        done = []
-        for i in batches[batch]:
-            c = configs[i]
-            hits, start, stop = piece.run(c, None, (0.0, 0.0))
-            done.append((c["cfg"], chunk, start, stop, hits.tolist()))
-        return rows_of(key, done)
+    columns = list(dict.fromkeys([idx, value, "_own", "_end", *facts]))
+
+    def whole(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, kinds = [], None
+
+        def flushed() -> pa.RecordBatch:
+            counts = [len(h) for _, _, h in found]
+            own = [pa.array([k[c] for k, _, _ in found], kinds[c]).take(pa.array(np.repeat(np.arange(len(found)), counts))) for c in keys]
+            cfg = pa.array(np.repeat(np.array([n for _, n, _ in found], dtype=object), counts), pa.string())
+            at = pa.array(np.concatenate([np.asarray(h, dtype=np.int64) for _, _, h in found]), pa.int64())
+            return pa.RecordBatch.from_arrays([*own, cfg, at], [*keys, "cfg", idx])
+
+        def noted():
+            nonlocal kinds
+            for b in batches_in:
+                kinds = kinds or {c: b.schema.field(c).type for c in keys}
+                yield b
+
+        size_of = 0
+        for key, rows in _sorted_groups(noted(), group, columns):
+            piece = _Piece(rows, idx, value, facts)
+            for i in batches[key["_batch"]]:
+                hits, _, _ = piece.run(configs[i], None, (0.0, 0.0))
+                if len(hits):
+                    found.append((key, configs[i]["cfg"], hits))
+                    size_of += len(hits)
+            if size_of > 100_000:
+                yield flushed()
+                found, size_of = [], 0
+        if found:
+            yield flushed()
 
     def again(key, pdf, tasks):
         if not len(pdf) or not len(tasks):
             return rows_of(key, [])
-        piece = _Piece(pdf, idx, value, facts)
+        piece = _Piece(pdf.sort_values(idx, kind="stable"), idx, value, facts)
         chunk = int(key[len(keys)])
         done = []
         for t in tasks.itertuples(index=False):
@@ -175,8 +228,9 @@ def detect(
         return rows_of(key, done)
 
     if chunks == 1:
-        table = pieces.groupBy(*group).applyInPandas(first, schema)
-        return table.select(*keys, "cfg", F.explode("hits").alias(idx))
+        # many short series share a task and come as one sorted stream: a call a series costs more than its rows
+        dealt = pieces.repartition(session.parallelism(spark), *group).sortWithinPartitions(*group, idx)
+        return dealt.mapInArrow(whole, f"{key_schema}, cfg string, `{idx}` bigint")
 
     place = reduce(lambda acc, iv: acc.when(F.col("cfg").isin([configs[j]["cfg"] for j in iv[1]]), iv[0]),
                    enumerate(batches), F.when(F.lit(False), 0)).alias("_batch")
@@ -226,7 +280,7 @@ def _walk(s: Series, value: str, configs: list[dict], facts: list[str], size: in
 
     def chunk_alarms(parts: list[pd.DataFrame], states: dict) -> pd.DataFrame:
         pdf = pd.concat(parts, ignore_index=True)
-        piece, found = _Piece(pdf, idx, value, facts), []
+        piece, found = _Piece(pdf.sort_values(idx, kind="stable"), idx, value, facts), []
         for i in batches[int(pdf["_batch"].iloc[0])]:
             state, lead = states.get(i, (None, (0.0, 0.0)))
             _, x, _ = piece.signal(configs[i])
@@ -286,7 +340,7 @@ def _leads(pieces, s, value, configs, facts, key_schema) -> DataFrame:
               for i, (k, names) in enumerate(distinct.items())}
 
     def totals(key, pdf):
-        piece = _Piece(pdf, idx, value, facts)
+        piece = _Piece(pdf.sort_values(idx, kind="stable"), idx, value, facts)
         out = []
         for tag, (c, _) in probes.items():
             _, x, _ = piece.signal(c)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.functions import scalars
 from tidemark.operators.detectors import kernels
 from tidemark.operators.detectors.linked import detect
@@ -104,7 +105,8 @@ def fill_gaps(df: DataFrame, keys: list[str], time: str, values: list[str]) -> D
     A gap of at least 0.022 s gets as many rows as fit while the rest stays at
     least 0.01 s longer than a frame.
     """
-    kept = drop_bursts(df.select(*keys, time, *values), keys, time)
+    # stored, because the length of the longest key and the rows are two jobs
+    kept = session.cut(drop_bursts(df.select(*keys, time, *values), keys, time))
     s = series(kept, keys, [time], "_n")
     nxt = framed(s, lambda w: {"_next": F.lead(time).over(w)}, 0, 1)
     gap = F.col("_next") - F.col(time)
