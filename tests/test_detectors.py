@@ -181,3 +181,20 @@ def test_walked_chunks_cost_no_further_jobs(spark):
     assert jobs[1] == jobs[2]
     mixed = sorted(tuple(r) for r in detect(s, "v", configs, rows=300).collect())
     assert mixed == sorted(tuple(r) for r in detect(s, "v", configs, rows=5000).collect())
+
+
+@pytest.mark.parametrize("numbers", [
+    {"delta": 0.2, "min_window": 60, "max_window": 400, "cooldown": 40}, {"delta": 0.3, "min_window": 1, "max_window": 90, "cooldown": 0}])
+def test_two_halves_look_at_few_rows_after_an_alarm(monkeypatch, numbers):
+    """Alarms in close order cost some rows each, and are those of one long look."""
+    rng = np.random.default_rng(4)
+    x = pd.Series(rng.normal(size=4000)).rolling(40, min_periods=1).mean().to_numpy()
+    tested = []
+    looks = kernels._looks
+    monkeypatch.setattr(kernels, "_looks", lambda *a: (tested.append(b - a) or (a, b) for a, b in looks(*a)))
+    hits, state = kernels.MeanSplit.run(numbers, [0.0, 0.0], x[:0], x, (0.0, 0.0))
+    assert len(hits) > 40 and sum(tested) < 3 * len(x)
+    monkeypatch.setattr(kernels, "SINGLE_ROWS", 0)
+    monkeypatch.setattr(kernels, "_looks", lambda start, end, *size: looks(start, end))
+    whole, end = kernels.MeanSplit.run(numbers, [0.0, 0.0], x[:0], x, (0.0, 0.0))
+    assert hits.tolist() == whole.tolist() and state == end

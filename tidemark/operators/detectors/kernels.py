@@ -16,11 +16,13 @@ import numpy as np
 
 FIRST_LOOK = 2048
 LONGEST_LOOK = 65536
+#: Two-halves test: rows looked at one by one after the rest of an alarm, and the first stretch behind them.
+SINGLE_ROWS = 8
+SPLIT_LOOK = 64
 
 
-def _looks(start: int, end: int):
+def _looks(start: int, end: int, size: int = FIRST_LOOK):
     """Stretches to test at once: short after an alarm, then growing."""
-    size = FIRST_LOOK
     while start < end:
         yield start, min(end, start + size)
         start += size
@@ -56,11 +58,12 @@ class MeanSplit:
         s1 = np.concatenate([[0.0], np.cumsum(centred)])
         s2 = np.concatenate([[0.0], np.cumsum(centred * centred)])
         start, at, quiet = 0, held, held + cool
-        fired = []
+        fired, looks = [], cls._single(s1.tolist(), s2.tolist(), longest, limit)
         while longest >= shortest:
             begin = max(at, quiet, start + shortest - 1)
-            hit = -1
-            for a, b in _looks(begin, end):
+            singles = min(end, begin + SINGLE_ROWS)
+            hit = next((i for i in range(begin, singles) if looks(i, start)), -1)
+            for a, b in _looks(singles, end, SPLIT_LOOK) if hit < 0 else ():
                 i = np.arange(a, b)
                 length = np.minimum(i - start + 1, longest)
                 left = i - length + 1
@@ -85,6 +88,23 @@ class MeanSplit:
         return np.asarray(fired, dtype=np.int64), [
             float(min(end - start, longest)), float(max(0, quiet - end))]
 
+    @staticmethod
+    def _single(s1: list[float], s2: list[float], longest: int, limit: float):
+        """The test of ``run`` at one row, with the same operations in the same order."""
+        def over(i: int, start: int) -> bool:
+            length = min(i - start + 1, longest)
+            left, na = i - length + 1, length // 2
+            if na < 2:
+                return False
+            cut, nb = left + na, length - na
+            ma, mb = (s1[cut] - s1[left]) / na, (s1[i + 1] - s1[cut]) / nb
+            va = max((s2[cut] - s2[left]) - na * ma * ma, 0.0) / (na - 1)
+            vb = max((s2[i + 1] - s2[cut]) - nb * mb * mb, 0.0) / (nb - 1)
+            sd = math.sqrt(va / na + vb / nb)
+            return sd >= 1e-9 and abs(ma - mb) > limit * sd
+
+        return over
+
 
 class PageHinkley:
     """Excess of the running sum of deviations over its minimum."""
