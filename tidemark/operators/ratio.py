@@ -58,17 +58,32 @@ class RatioFit:
         names = {f.name: f.dataType.simpleString() for f in target.schema.fields}
         schema = ", ".join(f"`{c}` {names[c]}" for c in [key, *keep]) + ", subset string, r double"
 
+        def ratios(pdf: pd.DataFrame) -> Iterator[tuple]:
+            for k, part in pdf.groupby(key, sort=False):
+                rows = part[features].to_numpy(dtype=float)
+                for name in subsets:
+                    m = models[(k, name)]
+                    phi = gaussian(((rows - m["mean"]) / m["std"])[:, m["cols"]], m["centres"], m["sigma"])
+                    yield k, part, name, np.maximum(phi @ m["theta"], 0.0)
+
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for k, part in pdf.groupby(key, sort=False):
-                    for name in subsets:
-                        m = models[(k, name)]
-                        x = (part[features].to_numpy(dtype=float) - m["mean"]) / m["std"]
-                        phi = gaussian(x[:, m["cols"]], m["centres"], m["sigma"])
-                        yield part[[key, *keep]].assign(subset=name, r=np.maximum(phi @ m["theta"], 0.0))
+                for _, part, name, r in ratios(pdf):
+                    yield part[[key, *keep]].assign(subset=name, r=r)
+
+        def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict = {}
+            for pdf in batches:
+                for k, _, name, r in ratios(pdf):
+                    s = sums.setdefault((k, name), [0.0, 0])
+                    s[0], s[1] = s[0] + float(r.sum()), s[1] + len(r)
+            if sums:
+                yield pd.DataFrame([(*k, *s) for k, s in sums.items()], columns=[key, "subset", "s", "n"])
 
         raw = target.select(key, *keep, *features).mapInPandas(score, schema)
-        mean = raw.groupBy(key, "subset").agg(F.avg("r").alias("_m"))
+        # the means need no row per subset: every task gives its sums
+        sums = target.select(key, *features).mapInPandas(total, f"`{key}` {names[key]}, subset string, s double, n long")
+        mean = sums.groupBy(key, "subset").agg((F.sum("s") / F.sum("n")).alias("_m"))
         return raw.join(mean, [key, "subset"]).select(
             key, *keep, "subset", F.when(F.col("_m") > 0, F.col("r") / F.col("_m")).otherwise(F.col("r")).alias("w"))
 

@@ -180,8 +180,9 @@ def relative_weights(spark, sf):
 
 def window_table(spark, sf):
     """Windows with features and forecast errors; two games are the baseline."""
-    f = feature_vectors(spark, sf)
-    e = T.error_rows(windows(spark, sf), 3, ["robot_id", "start"], "constant", "6->3").select("robot_id", "start", "ade_traj")
+    w = windows(spark, sf)
+    f = feature_vectors(spark, sf, w)
+    e = T.error_rows(w, 3, ["robot_id", "start"], "constant", "6->3").select("robot_id", "start", "ade_traj")
     t = f.join(e, ["robot_id", "start"]).withColumn("row_id", F.col("robot_id") * 1000000 + F.col("start"))
     t = session.cut(t.withColumn("block", (F.col("start") % 6).cast("int")))
     return t.where(F.col("game").isin("g0", "g1")), t.where(~F.col("game").isin("g0", "g1"))

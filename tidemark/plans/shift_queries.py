@@ -199,7 +199,8 @@ TRACK_CTES = (A.DETECTIONS, A.STEPS, TRACK_W)
 
 
 def windows(spark, sf):
-    return T.forecast_windows(A.steps(spark, sf), ["robot_id"], ["pos"], 6, 3, 5.0, ["game"])
+    # stored, because the length of the longest track and the windows are two jobs
+    return T.forecast_windows(session.cut(A.steps(spark, sf)), ["robot_id"], ["pos"], 6, 3, 5.0, ["game"])
 
 
 CLIPS = """c AS (SELECT (SELECT quantile_cont(v, 0.995) FROM (SELECT unnest(speed) AS v FROM kin)) AS cs, (SELECT quantile_cont(v, 0.995) FROM (SELECT unnest(accel) AS v FROM kin)) AS ca,
@@ -208,11 +209,14 @@ kc AS (SELECT robot_id, start, list_transform(speed, lambda v: least(v, cs)) AS
 NAMES = ["speed_mean", "speed_p90", "speed_p99", "accel_mean", "accel_p90", "accel_p99", "turn_mean", "turn_p90"]
 
 
-def feature_vectors(spark, sf):
-    """Eight log-scaled features per window, arrays capped at the pooled p99.5."""
-    w = windows(spark, sf)
+def feature_vectors(spark, sf, w=None):
+    """Eight log-scaled features per window, arrays capped at the pooled p99.5.
+
+    The arrays are stored: each of the three bounds reads them twice, the features once more.
+    """
+    w = windows(spark, sf) if w is None else w
     arrays = scalars.kinematic_features(F.col("past_vx"), F.col("past_vy"))
-    k = w.select("robot_id", "start", "game", *[a.alias(n) for n, a in arrays.items()])
+    k = session.cut(w.select("robot_id", "start", "game", *[a.alias(n) for n, a in arrays.items()]))
     caps = {n: exact_quantiles(k.select(F.explode(n).alias("v")), [], "v", [0.995]).select(F.col("q")[0]).scalar() for n in arrays}
     k = k.withColumns({f"_{n}": c for n, c in caps.items()})
     capped = {n: F.transform(n, _cap(n)) for n in arrays}
