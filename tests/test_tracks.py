@@ -180,3 +180,14 @@ def test_gap_fill_shares_tasks_between_tracks(spark):
 
 def detect_plan(df):
     return df._jdf.queryExecution().toString()
+
+
+def test_windows_and_features_read_stored_rows(spark, sf):
+    """Detections are parsed once for all jobs of the windows, and the windows formed once for all readers of the features."""
+    from tidemark.plans.detector_queries import window_errors
+    from tidemark.plans.shift_queries import feature_vectors, windows
+
+    w = windows(spark, sf)
+    assert "get_json_object" not in detect_plan(w)
+    assert "collect_list" not in detect_plan(feature_vectors(spark, sf, w))
+    assert "collect_list" not in detect_plan(window_errors(spark, sf))

@@ -319,10 +319,12 @@ def window_errors(spark, sf):
     from tidemark.operators.tracks import error_rows
 
     w = windows(spark, sf)
-    e = error_rows(w, 3, ["robot_id", "start", "game"], "constant", "6->3")
+    # both sides are stored: the checks of their keys, the count of missing rows and the join read them again
+    e = session.cut(error_rows(w, 3, ["robot_id", "start", "game"], "constant", "6->3"))
     a = scalars.kinematic_features(F.col("past_vx"), F.col("past_vy"))
     f = w.select("robot_id", "start", scalars.array_quantile(a["accel"], 0.95).alias("accel_p95"), scalars.array_mean(a["accel"]).alias("accel_mean"),
                  scalars.array_quantile(a["speed"], 0.95).alias("speed_p95"), scalars.array_mean(a["speed"]).alias("speed_mean"))
+    f = session.cut(f)
     both_ = J.one_to_one(e, f, ["robot_id", "start"], "accel_p95")
     period = (F.lit(BASE) + F.floor(F.col("start") * 7 / 100)).cast("int")
     return both_.withColumn("year", F.least(period, F.lit(A.LAST_YEAR))).withColumn("match_id", F.concat_ws("_", F.col("year").cast("string"), "game"))
