@@ -1,6 +1,7 @@
 """Near-duplicates, lines, secrets, media, quality and decontamination against plain loops."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -454,6 +455,55 @@ def test_texts_searched_together_have_the_leaks_of_each_alone(monkeypatch):
     assert len(checked) / 2 < 3 * len(texts)
 
 
+def test_packed_words_and_sums_of_rows_equal_plain_loops():
+    rng = np.random.default_rng(14)
+    for n in (0, 1, 7, 8, 9, 1000):
+        ids = rng.integers(0, decontaminate.BUCKETS, n).astype(np.int32)
+        assert decontaminate.unpacked(decontaminate.packed(ids)).tolist() == ids.tolist()
+    basis = rng.standard_normal((50, 7)).astype(np.float32)
+    basis[0] = 0
+    ids = np.minimum(rng.geometric(0.1, (6000, decontaminate.PASSAGE)) - 1, 49)
+    sums, total, plain = decontaminate._sums(basis, ids), np.zeros_like(basis), np.zeros_like(basis)
+    assert np.allclose(sums, basis[ids].sum(axis=1), atol=1e-4)
+    decontaminate._add(total, ids, sums)
+    np.add.at(plain, ids.reshape(-1), np.repeat(sums, decontaminate.PASSAGE, axis=0))
+    assert np.allclose(total[1:], plain[1:], rtol=1e-3, atol=0.1) and not total[0].any()
+    codes, factor = decontaminate._coded(basis)
+    assert np.allclose(decontaminate._decoded(codes, factor), basis, atol=1e-4)
+
+
+def test_the_space_is_fitted_on_all_passages_of_all_texts(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    docs = [" ".join([f"rare{k // 2}", *(f"w{int(w)}" for w in rng.exponential(60, 40))]) for k in range(decontaminate.SAMPLE + 400)]
+    docs += [" ".join(f"long{k // 2}" for k in range(4000)), docs[0], docs[0], None, ""]
+    items = ["w1 w2 w3 w4 w5 w6 w7 w8", "only here w9 w10 w11"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "doc_id long, text string").repartition(5)
+    spaces, plain = [], decontaminate.read_items
+    monkeypatch.setattr(decontaminate, "read_items", lambda rows, space: spaces.append(space) or plain(rows, space))
+    decontaminate.leaks_of(df, spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string"))
+    space = spaces[0]
+    assert (space.place[space.weighted(decontaminate.buckets_of(" ".join(t or "" for t in docs + items)))] > 0).all()
+    # all passages as rows, against the exact decomposition
+    used = int(space.place.max())
+    weights = np.zeros(used + 1)
+    weights[space.place] = space.weights
+    rows = []
+    for t in [*dict.fromkeys(t or "" for t in docs), *items]:
+        at = space.place[space.weighted(decontaminate.buckets_of(t))]
+        for a in range(0, len(at), decontaminate.PASSAGE):
+            row = np.bincount(at[a:a + decontaminate.PASSAGE], minlength=used + 1) * weights
+            rows.append(row[1:] / np.sqrt((row * row).sum()))
+    rows = np.array(rows)
+    best = np.sort(np.linalg.eigvalsh(rows @ rows.T if len(rows) < used else rows.T @ rows))[::-1][:decontaminate.RANK].sum()
+    basis = space.vectors[1:].astype(np.float64) / weights[1:, None]
+    assert np.allclose(basis.T @ basis, np.eye(decontaminate.RANK), atol=0.01)
+    caught = ((rows @ basis) ** 2).sum()
+    print("caught", caught / best)
+    assert caught >= 0.9 * best
+    sent = pickle.loads(pickle.dumps(space))
+    assert np.allclose(sent.vectors, space.vectors, atol=1e-4 * np.abs(space.vectors).max())
+
+
 def test_recall_against_every_region_beyond_the_sample(spark):
     rng = random.Random(13)
     vocabulary = [f"w{int(k)}" for k in np.random.default_rng(13).exponential(300, 4000)]
