@@ -162,6 +162,45 @@ def test_packed_permutations_have_the_alarms_of_permuted_rows(small_chunks, monk
     assert got == want and len(want) > 6
 
 
+@pytest.mark.parametrize(("n", "start", "rep"), [(1, 0, 0), (2, 5, 3), (7, 0, 1), (1000, 123, 199), (40_000, 0, 5), (20_000, 10**8, 7)])
+def test_values_are_shuffled_in_place_as_by_places(n, start, rep):
+    from tidemark.functions.hashing import shuffle_values, shuffled_array
+
+    x, want = np.random.default_rng(n).normal(size=n), np.empty(n)
+    want[shuffled_array(np.arange(n), np.int64(n), np.int64(start), np.int64(rep))] = x
+    shuffle_values(x, start, rep)
+    assert (x == want).all()
+
+
+@pytest.mark.parametrize("scheme", ["full", "within", "blocks"])
+def test_replicates_are_permuted_inside_tasks(small_chunks, monkeypatch, scheme):
+    from tidemark.operators import studies
+    from tidemark.operators.detectors.linked import detect
+
+    rng = np.random.default_rng(6)
+    x = np.where(np.arange(1500) // 100 % 2 == 0, 5.0, 9.0) + rng.normal(0, 1, 1500)
+    rows = [("abn"[i % 2] if i else None, f"g{i // 300}" if i % 50 else None, i, float(v) if i % 31 else (None if i % 2 else float("nan"))) for i, v in enumerate(x)]
+    s = ordered.series(small_chunks.createDataFrame(rows, "k string, g string, o long, x double"), ["k"], ["o"])
+    config = {"cfg": "c", "detector": "mean_split", "delta": 0.2, "min_window": 20, "cooldown": 10, "max_window": 120}
+    found = detect(M.permuted(s, scheme, "g", 6), "x", [config]).groupBy("k", "rep").agg(F.count(F.lit(1)).alias("n"))
+    want = {(r["k"], r["rep"]): r["n"] for r in found.collect()}
+
+    def got():
+        return {(r["k"], r["rep"]): r["k_"] for r in studies.permuted_alarms(s, "x", config, scheme, "g", 6).toDF("k", "rep", "k_").collect()}
+
+    with monkeypatch.context() as patch:
+        patch.setattr(studies, "HELD", 0)
+        assert got() == want and len(want) > 6
+    # no row, pack or value of a replicate leaves a task
+    monkeypatch.setattr(studies, "packed_permutations", None)
+    monkeypatch.setattr(M, "PACK", 50)
+    assert got() == want
+    monkeypatch.setattr(M, "FEW", 20)
+    monkeypatch.setattr(studies, "TASKS", 0)
+    assert got() == want
+    assert M.packed_series(s, "x", scheme, "g").count() < len(rows) / 10
+
+
 def plain_p(a, b):
     """Share of all ways to choose the rows of the first side whose distance is as large."""
     pool = sorted(a + b)

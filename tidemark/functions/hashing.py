@@ -50,6 +50,7 @@ def uniform_sql(row_id: str, rep: str) -> str:
 
 #: Rounds of a shuffle; every round sends about half of the positions to their partners.
 ROUNDS = 24
+_STRETCH = 1 << 13  # pairs of a round that are drawn at once
 
 
 def mixed(i: np.ndarray, rep: np.ndarray) -> np.ndarray:
@@ -91,6 +92,50 @@ def shuffled(df: DataFrame, place: str, size: str, start: str, rep: str, into: s
     return df.withColumn(into, places(place, size, start, rep))
 
 
+def shuffle_values(x: np.ndarray, start: int, rep: int) -> None:
+    """Moves every value (a double) of x from its place to the one of ``shuffled_array``, in place and all at once.
+
+    The partners of a stretch are a stretch in reverse, so a round reads in order and draws once for a pair. Products
+    are folded at 31 bits as in ``poisson_array``.
+    """
+    bits, n = x.view(np.int64), len(x)
+    down = np.arange(_STRETCH) * -ROUNDS
+    scratch = np.empty((3, _STRETCH), np.int64)
+    for r in range(ROUNDS):
+        k = int(mixed(np.int64(start * ROUNDS + r), np.int64(rep * 2 + 1))) % n
+        for low, high in ((0, k), (k + 1, n - 1)):
+            half = (high - low + 1) // 2
+            for a in range(0, half, _STRETCH):
+                b = min(half, a + _STRETCH)
+                i, c, spare = scratch[:, :b - a]
+                np.add(down[:b - a], (start + high - a) * ROUNDS + r, out=i)  # the larger places of the pairs
+                if (start + high - a + 1) * ROUNDS > PRIME:
+                    np.remainder(i, PRIME, out=i)
+                np.multiply(i, 48271, out=c)
+                np.add(c, rep * 2 * 69621 + 12345, out=c)
+                _fold(c, spare)
+                np.add(c, 48271, out=spare)
+                np.multiply(c, spare, out=c)
+                np.add(c, rep * 2, out=c)
+                _fold(c, spare)
+                _fold(c, spare)
+                np.multiply(c, c, out=c)
+                np.add(c, i, out=c)
+                _fold(c, spare)
+                _fold(c, spare)
+                np.add(c, 1, out=spare)
+                np.right_shift(spare, 31, out=spare)
+                np.add(c, spare, out=c)  # now exact in the lower 31 bits
+                np.right_shift(c, 10, out=c)
+                np.bitwise_and(c, 1, out=c)
+                np.negative(c, out=c)
+                first, second = bits[low + a:low + b], bits[high - b + 1:high - a + 1][::-1]
+                np.bitwise_xor(first, second, out=spare)
+                np.bitwise_and(spare, c, out=spare)
+                np.bitwise_xor(first, spare, out=first)
+                np.bitwise_xor(second, spare, out=second)
+
+
 def shuffled_sql(source: str, name: str, place: str, size: str, start: str, rep: str, into: str) -> str:
     """The same as a chain of common table expressions ending in ``name``."""
     steps = [f"{name}_0 AS (SELECT *, {place} AS x_ FROM {source})"]

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.functions.hashing import PRIME, poisson_array, row_hash, shuffled, shuffled_array, uniform
+from tidemark.functions.hashing import PRIME, poisson_array, row_hash, shuffle_values, shuffled, shuffled_array, uniform
 from tidemark.operators.joins import small
 from tidemark.operators.ordered import Series, series
 from tidemark.operators.quantiles import exact_quantiles
 
 RANGE = float(1 << 32)
 PACK = 4096  # rows of a run that is permuted at once
+FEW = 1024  # rows of a block, below which blocks are permuted together
 
 
 def hash_cap(df: DataFrame, keys: list[str], row_id: str, cap: int, seed: int = 42) -> DataFrame:
@@ -316,6 +317,50 @@ def packed_permutations(s: Series, value: str, scheme: str, block: str, reps: in
     return spread.mapInArrow(run, ", ".join(f"`{k}` {names[k]}" for k in keys) + ", rep int, chunk bigint, at binary, x binary")
 
 
+def packed_series(s: Series, value: str, scheme: str, block: str) -> DataFrame:
+    """Every series in runs of at most PACK rows, in the order that ``permuted_array`` starts from: the keys, the first
+    position ``_from`` and ``_values`` (doubles). Blocks are rows too, with ``_from``, size ``_m`` and ``_rank``, without values.
+    """
+    keys = list(s.keys)
+    if scheme == "full":
+        return _runs(s.df.withColumn("_place", F.col(s.idx)).withColumn("_start", F.lit(0).cast("long")), [*keys, "_start"], keys, value)
+    if scheme not in ("within", "blocks"):
+        raise ValueError(f"unknown scheme {scheme}")
+    inner, blocks = _blocks(s, block)
+    blocks = session.cut(blocks)
+    rows = inner.df.join(small(blocks.select(*keys, block, "_start")), [*keys, block]).withColumn("_place", F.col("_offset"))
+    own = blocks.select(*keys, F.col("_start").alias("_from"), "_m", "_rank", F.lit(None).cast("array<double>").alias("_values"))
+    return _runs(rows, [*keys, block, "_start"], keys, value).unionByName(own)
+
+
+def _runs(df: DataFrame, group: list[str], keys: list[str], value: str) -> DataFrame:
+    run = F.floor(F.col("_place") / PACK)
+    rows = F.array_sort(F.collect_list(F.struct("_place", F.col(value).cast("double").alias("x"))))
+    runs = df.groupBy(*group, run.alias("_run")).agg(rows.alias("_rows"))
+    nothing = F.lit(None).cast("long")
+    return runs.select(*keys, (F.col("_start") + F.col("_run") * PACK).cast("long").alias("_from"), nothing.alias("_m"), nothing.alias("_rank"),
+                       F.transform("_rows", lambda r: r["x"]).alias("_values"))
+
+
+def permuted_array(x: np.ndarray, blocks: np.ndarray, scheme: str, rep: int) -> np.ndarray:
+    """The values of a series in the order of ``permuted``, from the rows of ``packed_series``; blocks are (start, size, rank)."""
+    if scheme == "blocks":
+        turn = shuffled_array(blocks[:, 2], np.int64(len(blocks)), np.int64(0), np.int64(rep))
+        return np.concatenate([x[:0], *(x[a:a + m] for a, m in blocks[np.argsort(turn), :2].tolist())])
+    out = x.copy()
+    if scheme == "full":
+        shuffle_values(out, 0, rep)
+        return out
+    for a, m in blocks[blocks[:, 1] >= FEW, :2].tolist():
+        shuffle_values(out[a:a + m], a, rep)
+    few = blocks[blocks[:, 1] < FEW]
+    ends = np.cumsum(few[:, 1])
+    start, size = np.repeat(few[:, 0], few[:, 1]), np.repeat(few[:, 1], few[:, 1])
+    place = np.arange(len(start)) - np.repeat(ends - few[:, 1], few[:, 1])
+    out[start + shuffled_array(place, size, start, np.int64(rep))] = x[start + place]
+    return out
+
+
 def _packed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Runs of at most PACK neighbouring places of each key as two arrays."""
     run = df.groupBy(*keys, F.floor(F.col("_place") / PACK).alias("_run")).agg(F.collect_list(F.struct("_place", F.col(value).cast("double").alias("x"))).alias("_rows"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import session
@@ -20,7 +20,10 @@ from tidemark.operators.evaluate import evaluate, games_per_period, latency, wit
 from tidemark.operators.ordered import Series, series
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.rankings import winners
-from tidemark.operators.sampling import game_folds, packed_permutations, permuted
+from tidemark.operators.sampling import game_folds, packed_permutations, packed_series, permuted, permuted_array
+
+HELD = 1 << 24  # rows of a series that a task may hold to permute them
+TASKS = 4  # tasks for each core that permute series
 
 
 def fold_streams(df: DataFrame, keys: list[str], fold: str, order: list[str], period="year", game="match_id") -> dict[str, Series]:
@@ -65,37 +68,116 @@ def stored_alarms(s: Series, value: str, stored: DataFrame, text: str, smoother)
     return hits.join(stored.withColumnRenamed(text, "cfg"), [*s.keys, "cfg"], "left_semi")
 
 
+class _Walk:
+    """A detector that reads one series chunk by chunk: its alarms, its state and the rows it may look back on."""
+
+    def __init__(self, config: dict):
+        self.kernel = kernels.DETECTORS[config["detector"]]
+        bound = bound_config(config)
+        self.numbers = {k: (v({}) if callable(v) else v) for k, v in bound.items() if not k.startswith("_")}
+        self.back = self.kernel.reach(self.numbers) if self.kernel.settles else 0
+        self.begin()
+
+    def begin(self) -> None:
+        self.k, self.state, self.before, self.lead = 0, None, np.zeros(0), (0.0, 0.0)
+
+    def read(self, x: np.ndarray) -> None:
+        x = x[np.isfinite(x)]
+        if len(x):
+            hits, end = self.kernel.run(self.numbers, list(self.state or self.kernel.cold(self.numbers)), self.before, x, self.lead)
+            self.k, self.state = self.k + len(hits), [float(v) for v in end]
+            self.lead = (self.lead[0] + len(x), self.lead[1] + float(x.sum()))
+            self.before = np.concatenate([self.before, x])[-self.back:] if self.back else self.before
+
+
 def permuted_alarms(s: Series, value: str, config: dict, scheme: str, block: str, reps: int) -> DataFrame:
     """Alarms (``_k``) of one configuration on every permuted series that has any.
 
-    Without a smoother the permuted values come packed, and a task reads the chunks of a series in order; it keeps one
-    chunk, the state of the detector and the rows before that it may look back on. Rows that are not finite are passed over.
+    Without a smoother a task holds the values of a series, permutes them for its share of the replicates and reads them
+    in chunks, so no replicate is ever stored or shuffled. Series above HELD rows come packed for every replicate, and a
+    task reads their chunks in order; it keeps one chunk, the state of the detector and the rows before that it may look
+    back on. Rows that are not finite are passed over.
     """
     if (config.get("smoother") or ("none", {}))[0] != "none":
         return detect(permuted(s, scheme, block, reps), value, [config]).groupBy(*s.keys, "rep").agg(F.count(F.lit(1)).alias("_k"))
+    deal = _permuted_in_tasks if s.longest <= HELD else _permuted_in_packs
+    return deal(s, value, config, scheme, block, reps).where("_k > 0")
+
+
+def _counted(rows: list[tuple], schema: pa.Schema, group: list[str]) -> pa.RecordBatch:
+    kinds = [*(schema.field(c).type if c != "rep" else pa.int32() for c in group), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], [*group, "_k"])
+
+
+def _counted_kind(s: Series) -> str:
+    names = {f.name: f.dataType.simpleString() for f in s.df.schema.fields}
+    return ", ".join(f"`{c}` {names[c]}" for c in s.keys) + ", rep int, `_k` bigint"
+
+
+def _permuted_in_tasks(s: Series, value: str, config: dict, scheme: str, block: str, reps: int) -> DataFrame:
+    keys, size = list(s.keys), session.chunk_rows(s.spark)
+    tasks = TASKS * s.spark.sparkContext.defaultParallelism
+    parts = min(reps, max(1, -(-tasks // max(1, s.count))))
+    group = [*keys, "_part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, schema = None, [], None
+        for batch in batches:
+            schema = batch.schema
+            for i in range(batch.num_rows):
+                now = tuple(batch.column(c)[i].as_py() for c in group)
+                if held and now != here:
+                    yield _counted(alarms(here, held), schema, [*keys, "rep"])
+                    held = []
+                here = now
+                held.append([batch.column(c)[i] for c in ("_from", "_m", "_rank", "_values")])
+        if held:
+            yield _counted(alarms(here, held), schema, [*keys, "rep"])
+
+    def alarms(here: tuple, held: list) -> list[tuple]:
+        runs = [(f.as_py(), v.values.to_numpy(zero_copy_only=False)) for f, m, _, v in held if not m.is_valid]
+        blocks = np.array(sorted([f.as_py(), m.as_py(), r.as_py()] for f, m, r, _ in held if m.is_valid), np.int64).reshape(-1, 3)
+        x = np.full(max([0, *(f + len(v) for f, v in runs), *blocks[:, :2].sum(axis=1).tolist()]), np.nan)
+        for f, v in runs:
+            x[f:f + len(v)] = v
+        held.clear()
+        walk, found = _Walk(config), []
+        for rep in range(here[-1], reps, parts):
+            y = permuted_array(x, blocks, scheme, rep)
+            walk.begin()
+            for a in range(0, len(y), size):
+                walk.read(y[a:a + size])
+            found.append((*here[:-1], rep, walk.k))
+        return found
+
+    rows = packed_series(s, value, scheme, block).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    if parts > 1:  # few series: one task for each part
+        numbers = s.df.select(*keys).distinct().withColumn("_task", F.row_number().over(Window.orderBy(*keys)) - 1)
+        rows = rows.join(F.broadcast(numbers), keys)
+        rows = rows.repartitionById(s.count * parts, (F.col("_task") * parts + F.col("_part")).cast("int")).drop("_task")
+    else:
+        rows = rows.repartition(session.parallelism(s.spark), *keys)
+    return rows.sortWithinPartitions(*group).mapInArrow(run, _counted_kind(s))
+
+
+def _permuted_in_packs(s: Series, value: str, config: dict, scheme: str, block: str, reps: int) -> DataFrame:
     keys, size = list(s.keys), session.chunk_rows(s.spark)
-    kernel = kernels.DETECTORS[config["detector"]]
-    bound = bound_config(config)
-    numbers = {k: (v({}) if callable(v) else v) for k, v in bound.items() if not k.startswith("_")}
-    back = kernel.reach(numbers) if kernel.settles else 0
     group = [*keys, "rep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, chunk, parts, state = None, None, [], None
-        k, before, lead = 0, np.zeros(0), (0.0, 0.0)
+        here, chunk, parts, walk = None, None, [], _Walk(config)
 
         def close() -> None:
-            nonlocal parts, state, k, before, lead
+            nonlocal parts
             if not parts:
                 return
             x = np.full(1 + max(int(at.max()) for at, _ in parts), np.nan)
             for at, v in parts:
                 x[at] = v
-            x, parts = x[np.isfinite(x)], []
-            if len(x):
-                hits, end = kernel.run(numbers, list(state or kernel.cold(numbers)), before, x, lead)
-                k, state, lead = k + len(hits), [float(v) for v in end], (lead[0] + len(x), lead[1] + float(x.sum()))
-                before = np.concatenate([before, x])[-back:] if back else before
+            parts = []
+            walk.read(x)
 
         schema = None
         for batch in batches:
@@ -107,37 +189,38 @@ def permuted_alarms(s: Series, value: str, config: dict, scheme: str, block: str
                     close()
                     if now != here:
                         if here is not None:
-                            done.append((*here, k))
-                        state, k, before, lead = None, 0, np.zeros(0), (0.0, 0.0)
+                            done.append((*here, walk.k))
+                        walk.begin()
                     here, chunk = now, at
                 parts.append((np.frombuffer(batch.column("at")[i].as_py(), np.int32), np.frombuffer(batch.column("x")[i].as_py())))
-            yield counted(done, schema)
+            yield _counted(done, schema, group)
         if here is not None:
             close()
-            yield counted([(*here, k)], schema)
-
-    def counted(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-        kinds = [*(schema.field(c).type for c in group), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], [*group, "_k"])
+            yield _counted([(*here, walk.k)], schema, group)
 
-    names = {f.name: f.dataType.simpleString() for f in s.df.schema.fields}
     packed = packed_permutations(s, value, scheme, block, reps, size)
     dealt = packed.repartition(session.parallelism(s.spark), *group).sortWithinPartitions(*group, "chunk")
-    found = dealt.mapInArrow(run, ", ".join(f"`{c}` {names[c]}" for c in keys) + ", rep int, `_k` bigint")
-    return found.where("_k > 0")
+    return dealt.mapInArrow(run, _counted_kind(s))
+
+
+def observed_alarms(df: DataFrame, keys: list[str], value: str, config: dict, block: str, order: list[str]) -> tuple[Series, DataFrame]:
+    """The series, stored with the columns that permutations need, and their alarm counts."""
+    real = series(df.select(*dict.fromkeys([*keys, value, block, *order])), keys, order)
+    real = real.using(session.cut(real.df.select(*dict.fromkeys([*keys, value, block]), real.idx)))
+    return real, session.cut(detect(real, value, [config]).groupBy(*keys).agg(F.count(F.lit(1)).alias("k_obs")))
 
 
 def permutation_null(
     df: DataFrame, keys: list[str], value: str, config: dict, reps: int, scheme: str, block: str, order: list[str],
+    found: tuple[Series, DataFrame] | None = None,
 ) -> DataFrame:
     """Alarm counts of permuted series against the observed count, per series.
 
-    A replicate is a further key, so all replicates run at once.
+    A replicate is a further key, so all replicates run at once. ``found`` are the ``observed_alarms`` if they are known.
     """
-    real = series(df, keys, order)
-    observed = detect(real, value, [config]).groupBy(*keys).agg(F.count(F.lit(1)).alias("k_obs"))
-    counts = permuted_alarms(real, value, config, scheme, block, reps).withColumnRenamed("_k", "k")
-    every = df.select(*keys).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    real, observed = found or observed_alarms(df, keys, value, config, block, order)
+    counts = session.cut(permuted_alarms(real, value, config, scheme, block, reps)).withColumnRenamed("_k", "k")
+    every = real.df.select(*keys).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     counts = every.join(counts, [*keys, "rep"], "left").join(observed, keys, "left").fillna(0, ["k", "k_obs"])
     q = exact_quantiles(counts, keys, "k", [0.05, 0.5, 0.95])
     out = counts.groupBy(*keys).agg(

@@ -443,8 +443,9 @@ def both_units(spark, sf):
 def permutation_null(spark, sf):
     out = None
     base = A.errors(spark, sf).where(F.col("year") == BASE)
+    found = S.observed_alarms(base, ["model"], "ade_traj", split_config("s"), "match_id", ORDER)
     for scheme in ("blocks", "within", "full"):
-        part = S.permutation_null(base, ["model"], "ade_traj", split_config("s"), 200, scheme, "match_id", ORDER)
+        part = S.permutation_null(base, ["model"], "ade_traj", split_config("s"), 200, scheme, "match_id", ORDER, found)
         out = part if out is None else out.unionByName(part)
     return G.rounded(out, "k_mean", "k_p5", "k_median", "k_p95", "p_value")
 
